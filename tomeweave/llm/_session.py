@@ -38,3 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(uri: str):
+    """(Arrow file system, path) of a URI below a shared folder, for files that Spark has no writer for."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeweave.llm import language, toxicity
+from tomeweave.llm._sample import held_out
 from tomeweave.llm.exact_dedup import exact_dedup
 from tomeweave.llm.mixing import mix, word_tokens
 from tomeweave.llm.packing import pack
+from tomeweave.llm.quality import quality_rules
 from tomeweave.llm.simhash import near_duplicates
+from tomeweave.llm.suffix_dedup import remove_repeats
+from tomeweave.llm.token_counts import token_counts
 from tomeweave.llm.token_tables import read_tables, write_tables
 
 
@@ -30,10 +35,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language.fit(docs.where(~held_out(F.col("doc_id"))))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir))
+
+
 def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tables(write_tables(_documents(spark, sf_dir)))
 
@@ -42,8 +61,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).drop("n_bytes")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    grammar = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, grammar).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_simhash, op5_pack, op7_token_tables, op8_exact_dedup)
+    f.__name__: f for f in (
+        op1_mix_sources, op2_simhash, op3_language, op4_suffix_dedup, op5_pack,
+        op6_quality, op7_token_tables, op8_exact_dedup, op9_toxicity, op10_token_counts,
+    )
 }
 
 #: Permuted order and quota as op1_mix_sources defines them; the exponent is bisected in a recursive query.

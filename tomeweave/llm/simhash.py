@@ -72,7 +72,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key (halves of a 128-bit text hash) and fp, the fingerprint as a signed bigint."""
+    """doc_id and fp, the fingerprint as a signed bigint, of every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's component_id; all columns.
 
     Documents with null doc_id stay. Repeated rows of the staying doc_id all stay.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import materialize, work_dir
+from tomeweave.llm._session import file_system, materialize, work_dir
 from tomeweave.llm._text import col, raw_bytes, sliced
 from tomeweave.llm._tokens import WordEncoder
 
@@ -177,14 +177,6 @@ class TableReader:
         return next((v for x, v in self._block(k) if x == key), None) if k >= 0 else None
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_tables(docs: DataFrame, folder: str | None = None, end_id: int = 2, tokenizer: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode every document and write files in ascending doc_id order; returns the manifest.
 
@@ -202,7 +194,7 @@ def write_tables(docs: DataFrame, folder: str | None = None, end_id: int = 2, to
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        files, root = _file_system(folder)
+        files, root = file_system(folder)
         files.create_dir(root, recursive=True)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         encoder, writer, stream, done, last, ordinal = WordEncoder(tokenizer), None, None, [], object(), 0
@@ -243,7 +235,7 @@ def read_tables(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(col(batch, "path").to_pylist(), col(batch, "base").to_pylist(), strict=True):
-                files, at = _file_system(path)
+                files, at = file_system(path)
                 with files.open_input_file(at) as stream:
                     rows, start = [], base
                     for key, value in TableReader(stream, stream.size()).scan():
