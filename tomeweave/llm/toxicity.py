@@ -140,14 +140,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar:
-    """Fit on rows (doc_id, text, toxic 0 or 1); about ``fit_rows`` of either label, drawn by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar:
+    """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0 or 1) marks.
 
-    Words are counted on the executors; the driver gets those that pass the thresholds, and three numbers a row.
-    Without rows of both labels the grammar has no learned words.
+    About ``fit_rows`` labels of either value are drawn by a hash of doc_id; so few that they are broadcast to
+    find their texts, and no text is shuffled. Words are counted on the executors; the driver gets those that
+    pass the thresholds, and three numbers a row. Null labels and texts are left out. Without rows of both
+    labels the grammar has no learned words.
     """
-    rows = labelled.where("toxic is not null and text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    drawn = materialize(stratified(rows, "toxic", fit_rows))
+    marked = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    chosen = materialize(stratified(marked, "toxic", fit_rows))
+    drawn = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"))
     sizes = {r[0]: r[1] for r in drawn.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         base = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
@@ -170,7 +173,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar:
 
     seen = np.array([tuple(r) for r in drawn.select("toxic", "text").mapInArrow(run, "toxic int, a double, b double, c double").collect()])
     w = _logistic(seen[:, 1:], seen[:, 0])
-    total = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    total = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     w[0] += np.log(total[1] / total[0]) - np.log(scale)  # from the drawn share of toxic rows to that of all
     return Grammar(insults, stems, w)
 
