@@ -48,7 +48,7 @@ def plan_names(items: DataFrame, groups: DataFrame, survivors: DataFrame, option
     labels = best_names(clusters.join(universe.select("item_id", "display"), "item_id"))
     biggest = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min("item_id").alias("first")).agg(F.max_by("cluster", F.struct(F.col("n"), -F.col("first"))).alias("cluster"))
     default = biggest.join(labels, "cluster", "left").select(F.coalesce("label", F.lit(o.fallback_series)).alias("default"))
-    rows = items.where("volume is not null").join(survivors.select("item_id"), "item_id", "left_semi")
+    rows = items.where("volume is not null").join(survivors.select("item_id"), "item_id", "left_semi").select("item_id", "volume", "volume_kind")
     widest = F.aggregate(F.split("volume", "-"), F.lit(0), lambda a, p: F.greatest(a, F.greatest(F.length(F.regexp_replace(p, "^0+", "")), F.lit(1))))
     chapter = F.col("volume_kind") == "chapter"
     digits = rows.agg(
