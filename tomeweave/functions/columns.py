@@ -64,7 +64,7 @@ def editions(text: Column) -> Column:
 def series_key(text: Column) -> Column:
     """Comparable form of a lower-cased, NFKC-normalised series."""
     kana = F.translate(text, KATAKANA, HIRAGANA)
-    return F.regexp_replace(F.regexp_replace(kana, r"[^0-9a-z぀-ヿ㐀-䶿一-鿿豈-﫿]", ""), "ー", "")
+    return F.regexp_replace(F.regexp_replace(kana, r"[^0-9a-z\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]", ""), "ー", "")
 
 
 def block_key(kind: Column, volume: Column, editions: Column) -> Column:
@@ -73,7 +73,7 @@ def block_key(kind: Column, volume: Column, editions: Column) -> Column:
 
 
 def has_japanese(text: Column) -> Column:
-    return text.rlike(r"[぀-鿿]")
+    return text.rlike(r"[\u3040-\u9fff]")
 
 
 def file_safe(text: Column) -> Column:

@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tomeweave.functions import columns as C
 from tomeweave.operators.cluster import connected_components
@@ -41,7 +42,7 @@ def adopt_scope_series(items: DataFrame, aliases: dict | None = None) -> DataFra
     return items.join(donors, "scope", "left").withColumn("series", F.when(nameless, F.col("donor")).otherwise(F.col("series"))).drop("donor").select(*items.columns)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; it depends on the order of its arguments."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype=float)
