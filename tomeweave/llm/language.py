@@ -21,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tomeweave.llm._sample import stratified
+from tomeweave.llm._scored import with_columns
 from tomeweave.llm._text import col, sliced
 
 LONGEST, BUCKETS = 4, 1 << 18
@@ -66,8 +68,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROW
     """
     rows = labelled.where("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
     drawn = stratified(rows, "lang", fit_rows)
-    share = F.pmod(F.xxhash64(F.lit("landmark"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = drawn.where(share < min(1.0, landmarks / fit_rows))
+    chosen = stratified(drawn, "lang", landmarks, salt="landmark")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()
@@ -79,8 +80,6 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROW
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["grams"])
 
     marks = [np.asarray(r[0]) for r in chosen.mapInArrow(grams, "grams array<int>").collect()]
-    if not marks:
-        marks = [np.asarray(r[0]) for r in drawn.limit(landmarks).mapInArrow(grams, "grams array<int>").collect()]
     if not marks:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     buckets = np.unique(np.concatenate(marks))
@@ -112,12 +111,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A text that is null or has no letter, and any text if the model has no language, gets ``und`` with score 0.
     Columns named lang_pred and score are replaced.
     """
-    keep = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the size of the landmarks, which is bounded
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         m, presence = shared.value, Presence()
-        for batch in sliced(batches, "text", 1 << 20):
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
             n = batch.num_rows
             matrix, norm, valid = np.zeros((min(n, 256), len(m.buckets)), np.float32), np.ones(n), np.zeros(n, bool)
             scores = np.zeros((n, max(1, len(m.languages))))
@@ -137,8 +136,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             share = np.exp(STEEP * (scores - scores.max(axis=1, keepdims=True)))
             share = share[np.arange(n), top] / share.sum(axis=1)
             names = [m.languages[t] if v else "und" for t, v in zip(top.tolist(), valid.tolist(), strict=True)]
-            kept = [col(batch, f.name) for f in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.where(valid, share, 0.0))], [*(f.name for f in keep), "lang_pred", "score"])
+            return [pa.array(names, pa.string()), pa.array(np.where(valid, share, 0.0))]
+
+        return run
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["lang_pred string", "score double"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in keep)).mapInArrow(run, schema)
+    added = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return with_columns(docs, added, make, 1 << 20)

@@ -26,9 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tomeweave.llm._sample import stratified
 from tomeweave.llm._session import materialize
+from tomeweave.llm._scored import with_columns
 from tomeweave.llm._text import col, raw_bytes, sliced, split_words
 from tomeweave.llm._tokens import _LETTER, _LOWER, _MARK
 
@@ -184,16 +186,16 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> DataFram
     Null and empty texts have no hits and get the score of such texts. Columns named score and predicted
     are replaced.
     """
-    keep = [f for f in docs.schema if f.name not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # words of a bounded sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         machine = Machine()
-        for batch in sliced(batches, "text"):
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
             x = np.column_stack((np.ones(batch.num_rows), _features(batch, shared.value, machine)))
             p = 1 / (1 + np.exp(-np.clip(x @ shared.value.logistic, -30, 30)))
-            kept = [col(batch, f.name) for f in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*(f.name for f in keep), "score", "predicted"])
+            return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+
+        return run
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["score double", "predicted int"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in keep)).mapInArrow(run, schema)
+    return with_columns(docs, StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType())]), make)
