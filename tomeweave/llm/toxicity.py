@@ -36,9 +36,10 @@ from tomeweave.llm._tokens import _LETTER, _LOWER, _MARK
 
 #: Bound of the fit: labelled rows of either label.
 FIT_ROWS = 6000
-#: A word or beginning is an insult if so many toxic rows have it, and so large a share of the rows (at equal label counts).
-LEAST_ROWS, LEAST_SHARE = 8, 0.93
-BEGINNINGS = (4, 5, 6)
+#: A word or beginning is an insult if so large a share of the rows that have it are toxic (at equal label counts), and so
+#: large a share of the toxic rows has it, but so many rows at least.
+LEAST_SHARE, LEAST_ROWS = 0.985, {"word": (0.004, 3), "beginning": (0.015, 5)}
+BEGINNINGS = (4, 5, 6, 7)
 NEGATED = 3
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
 #: Words of the grammar in English, German, French and Spanish.
@@ -160,11 +161,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     scale = sizes[1] / sizes[0]
     words = drawn.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("w"))
     counts = materialize(words.groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
-    sure = lambda df: df.where((F.col("p") >= LEAST_ROWS) & (F.col("p") >= LEAST_SHARE * (F.col("p") + scale * F.col("n"))))
+
+    def sure(df: DataFrame, what: str) -> DataFrame:
+        share, rows = LEAST_ROWS[what]
+        return df.where((F.col("p") >= max(rows, share * sizes[1])) & (F.col("p") >= LEAST_SHARE * (F.col("p") + scale * F.col("n"))))
+
     weight = lambda r: float(min(3.0, np.log((r["p"] + 0.5) / (scale * r["n"] + 0.5)) / 2))
-    insults = {r["w"]: weight(r) for r in sure(counts).collect()}
+    insults = {r["w"]: weight(r) for r in sure(counts, "word").collect()}
     begun = counts.select("p", "n", F.explode(F.array(*(F.when(F.length("w") > k, F.substring("w", 1, k)) for k in BEGINNINGS))).alias("w"))
-    stems = {r["w"]: weight(r) for r in sure(begun.where("w is not null").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= 3 * LEAST_ROWS)).collect()}
+    stems = {r["w"]: weight(r) for r in sure(begun.where("w is not null").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "beginning").collect()}
     grammar = Grammar(insults, stems, np.zeros(4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
