@@ -30,6 +30,8 @@ from tomeweave.llm._tokens import WordEncoder
 
 #: Ranks within a length are counted in so many parts, so that one frequent length is dealt to many tasks.
 SALTS = 64
+#: Bytes of text encoded at once; a task's memory follows it.
+SLICE_BYTES = 3 << 20
 
 
 def best_fit_plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
@@ -92,7 +94,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer
 
         encoder = WordEncoder(tokenizer)
         uid = TaskContext.get().partitionId() << 40
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE_BYTES):
             ids, offsets = encoder.encode(*raw_bytes(col(batch, "text")))
             rows: list[list] = [[] for _ in range(7)]
             for doc, (a, b) in zip(col(batch, "doc_id").to_pylist(), zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), strict=True):
