@@ -36,7 +36,7 @@ def vocabulary_path(path: str | None) -> str:
 class WordEncoder:
     """Encodes batches of texts with a word-end BPE; keeps the ids of up to ``max_words`` pieces between batches."""
 
-    def __init__(self, path: str | None = None, max_words: int = 300_000):
+    def __init__(self, path: str | None = None, max_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,13 +45,18 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.max_words = max_words
-        self._reset()
-
-    def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.begins = np.zeros(1, np.int64)
 
+    def _retain(self, words: list[bytes]) -> None:
+        """Forget all but ``words``: what the batch at hand has again is likely to come again."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        begins, sizes = self.begins[at], self.begins[at + 1] - self.begins[at]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        self.flat = self.flat[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])]
+        self.begins, self.known = ends, dict(zip(words, range(len(words)), strict=True))
+
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, sizes) of words that are one run of letters each: a word's last id is the one that ends a word."""
         joined = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
@@ -88,7 +93,7 @@ class WordEncoder:
         coded = words.array().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.max_words:
-            self._reset()
+            self._retain([w for w in distinct if w in self.known])
         if missing := [w for w in distinct if w not in self.known]:
             self._learn(missing)
         at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
