@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tomeweave.operators import matching, measure, outliers, overflow, winners
 from tomeweave.operators.cluster import connected_components
-from tomeweave.plans.engine import analyze, ready, titled
+from tomeweave.plans.engine import analyze, titled
 from tomeweave.plans.options import Options
 from tomeweave.sources.catalogue import load_aliases
 
@@ -22,7 +22,6 @@ def make(spark, names, **metrics):
 
 
 def groups_of(spark, names, options=None, adopt=True):
-    ready(spark)
     items = make(spark, names)
     items = matching.adopt_scope_series(items, options.aliases if options else None) if adopt else items
     groups, reviews = matching.group_items(items, options)
@@ -61,7 +60,6 @@ def test_scores(spark):
 
 
 def test_components(spark):
-    ready(spark)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, 2000)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
@@ -80,7 +78,6 @@ def test_components(spark):
 
 
 def test_overflow(spark):
-    ready(spark)
 
     def run(names):
         items = make(spark, names)

@@ -121,3 +121,40 @@ def test_sinks(spark, tmp_path):
     sinks.write_evidence_file(row, str(tmp_path / "e.csv"))
     assert (tmp_path / "e.csv").read_bytes().startswith(b"\xef\xbb\xbfgroup,role")
     assert "-rr5p" in sinks.rar_command("a", "b.rar")
+
+
+def test_archive_format(spark, tree, tmp_path):
+    from tomeweave.sources.archive_source import register
+
+    register(spark)
+    rows = spark.read.format("archive").option("content", "true").load(tree).collect()
+    assert len({r.container for r in rows}) == 7 and sum(r.error is not None for r in rows) == 1
+    assert images.image_header(next(r.content for r in rows if r.container == "07.zip")) == ("PNG", 60, 85)
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("archive").load(str(tmp_path / "empty")).count() == 0
+
+
+def test_actions_and_wrapping(spark, tmp_path, monkeypatch):
+    for name in ("a.zip", "b.zip"):
+        (tmp_path / name).write_bytes(zipped({"p.txt": b"1" * 1000}))
+    (tmp_path / "dup").mkdir()
+    (tmp_path / "dup/a.zip").write_bytes(b"")
+    plan = spark.createDataFrame([(1, "move", "a.zip", "dup/a.zip"), (2, "delete", "b.zip", None), (3, "delete", "none.zip", None)], "item_id bigint, action string, source string, destination string")
+    assert sinks.apply_actions(plan, str(tmp_path)) == [("a.zip", "planned"), ("b.zip", "planned"), ("none.zip", "planned")]
+    assert sinks.apply_actions(plan, str(tmp_path), dry_run=False) == [("a.zip", "moved"), ("b.zip", "deleted"), ("none.zip", "skipped")]
+    assert (tmp_path / "dup/a (2).zip").exists() and not (tmp_path / "b.zip").exists()
+    sinks.recompress(str(tmp_path / "dup/a (2).zip"), str(tmp_path / "c.zip"))
+    assert sinks.verify_zip(str(tmp_path / "c.zip"), [("p.txt", 1000, zipfile.ZIP_DEFLATED)]) == []
+    monkeypatch.setattr(sinks.shutil, "which", lambda name: None)
+    path, warning = sinks.wrap(str(tmp_path / "dup"), str(tmp_path / "out"))
+    assert path.endswith("out.zip") and warning
+    assert sinks.replace_original(str(tmp_path / "c.zip"), path).endswith(".zip")
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from tomeweave.__main__ import main
+
+    assert main([tree, "--evidence", str(tmp_path / "e.csv")]) == 2
+    assert "items 10" in capsys.readouterr().out and (tmp_path / "e.csv").stat().st_size > 100
+    assert main([tree, "--margin", "2"]) == 1
+    assert main([str(tmp_path / "nothing")]) == 1

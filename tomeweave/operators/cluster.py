@@ -14,14 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 60
-
+from tomeweave.plans.storage import materialize
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    return df.checkpoint()
+MOST_ROUNDS = 60
 
 
-def connected_components(edges: DataFrame, materialize: Callable[[DataFrame], DataFrame] = _checkpoint, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, materialize: Callable[[DataFrame], DataFrame] = materialize, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of an edge table; component is the smallest node reachable.
 
     Loops, repeated and reversed edges are allowed, edges with a null end are ignored. A node that has

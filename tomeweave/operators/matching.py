@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from tomeweave.functions import columns as C
 from tomeweave.operators.cluster import connected_components
 from tomeweave.plans.options import Options
+from tomeweave.plans.storage import materialize
 
 SUBSTRING, LEAST_SUBSTRING, ONE_SIDED = 0.9, 4, 0.7
 MOST_PLAUSIBLE = 999
@@ -117,7 +118,7 @@ def group_items(items: DataFrame, options: Options | None = None, score: Callabl
     """
     o = options or Options()
     classed = classes(items, o.aliases).select("item_id", "rel_path", "block", "canon", "rep", "last", "n")
-    pairs = class_pairs(classed, o.review, score)
+    pairs = materialize(class_pairs(classed, o.review, score))  # read several times below; scoring is the costly part
     sure = F.lit(True) if o.accept_review else F.col("score") >= o.auto
     accepted = pairs.where(sure).select(F.col("rep_l").alias("src"), F.col("rep_r").alias("dst"), "score")
     gray = pairs.where(~sure)

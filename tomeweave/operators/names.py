@@ -9,6 +9,7 @@ from tomeweave.functions import columns as C
 from tomeweave.operators.cluster import connected_components
 from tomeweave.operators.matching import scored, with_canonical
 from tomeweave.plans.options import CHAPTER, CHAPTER_ONLY, Options
+from tomeweave.plans.storage import materialize
 
 LEAST_DIGITS, LEAST_CHAPTER_DIGITS = 2, 3
 
@@ -44,7 +45,7 @@ def plan_names(items: DataFrame, groups: DataFrame, survivors: DataFrame, option
     o = (options or Options()).checked()
     many = groups.join(groups.groupBy("group_key").count().where("count > 1").select("group_key"), "group_key", "left_semi")
     universe = items.join(survivors.select("item_id").unionByName(many.select("item_id")).distinct(), "item_id", "left_semi")
-    clusters = series_clusters(universe, many, o).checkpoint()
+    clusters = materialize(series_clusters(universe, many, o))
     labels = best_names(clusters.join(universe.select("item_id", "display"), "item_id"))
     biggest = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min("item_id").alias("first")).agg(F.max_by("cluster", F.struct(F.col("n"), -F.col("first"))).alias("cluster"))
     default = biggest.join(labels, "cluster", "left").select(F.coalesce("label", F.lit(o.fallback_series)).alias("default"))

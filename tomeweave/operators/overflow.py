@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tomeweave.functions import columns as C
 from tomeweave.operators.matching import MOST_PLAUSIBLE, scored, with_canonical
+from tomeweave.plans.storage import materialize
 
 
 def single_groups(groups: DataFrame, items: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def overflowing(singles: DataFrame, depth: int) -> DataFrame:
 def retry_overflow(groups: DataFrame, reviews: DataFrame, items: DataFrame, aliases: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, reviews) with the merges done and the reviews inside merged folders dropped."""
     items = with_canonical(items, aliases or {})
-    singles = single_groups(groups, items).checkpoint()
+    singles = materialize(single_groups(groups, items))
     deepest = singles.agg(F.max("deep")).first()[0]
     merges = None  # group_key -> new_key, order
     for depth in range(deepest or 0, -1, -1) if deepest is not None else ():
@@ -52,10 +53,10 @@ def retry_overflow(groups: DataFrame, reviews: DataFrame, items: DataFrame, alia
         under = singles.where(F.col("deep") >= depth).withColumn("scope", scope).join(overflowing(singles, depth).select("scope"), "scope", "left_semi")
         many = under.groupBy("scope", "block").count().where("count > 1").select("scope", "block")
         now = under.join(many, ["scope", "block"]).withColumn("new_key", F.concat("block", F.lit("#relaxed:"), F.when(F.col("scope") == "", ".").otherwise(F.col("scope"))))
-        now = now.select("group_key", "new_key", "scope", "first", "canon").checkpoint()
+        now = materialize(now.select("group_key", "new_key", "scope", "first", "canon"))
         if now.limit(1).count():
             merges = now if merges is None else merges.unionByName(now)
-            singles = singles.join(now, "group_key", "left_anti").checkpoint()
+            singles = materialize(singles.join(now, "group_key", "left_anti"))
     if merges is None:
         return groups, reviews
     left, right = (merges.select("new_key", F.col("first").alias(f"first_{s}"), F.col("canon").alias(f"canon_{s}")) for s in "lr")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.functions import columns as C
@@ -12,38 +12,74 @@ from tomeweave.functions.title import parsed
 from tomeweave.operators import matching, names, outliers, overflow, winners
 from tomeweave.plans import actions
 from tomeweave.plans.options import Options
+from tomeweave.plans.storage import materialize
 
 
-@dataclass
 class Result:
-    """The analysis's tables; each is lazy."""
-
-    items: DataFrame
-    groups: DataFrame
-    reviews: DataFrame
-    outliers: DataFrame
-    decisions: DataFrame
-    actions: DataFrame
-    survivors: DataFrame
-    names: DataFrame
-    flat: DataFrame
-    evidence: DataFrame
-    summary: DataFrame
-
-
-def ready(spark: SparkSession) -> None:
-    """Groups are cut off from their lineage by checkpoint(), which needs a folder: spark.checkpoint.dir, or on a local master a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-            else:
-                import tempfile
-
-                folder = tempfile.mkdtemp(prefix="tomeweave-")
-        context.setCheckpointDir(folder)
+    """The analysis's tables, each made when it is first asked for.
+
+    items, groups, reviews, outliers, decisions, actions, survivors, names, flat, evidence, summary. What several tables
+    are made from is written to the shared folder once.
+    """
+
+    def __init__(self, items: DataFrame, options: Options):
+        self.options = options.checked()
+        self._items = items
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return materialize(matching.adopt_scope_series(self._items, self.options.aliases))
+
+    @cached_property
+    def _grouped(self) -> tuple[DataFrame, DataFrame]:
+        groups, reviews = matching.group_items(self.items, self.options)
+        if self.options.retry_overflow:
+            groups, reviews = overflow.retry_overflow(materialize(groups), reviews, self.items, self.options.aliases)
+        return materialize(groups), reviews
+
+    @property
+    def groups(self) -> DataFrame:
+        return self._grouped[0]
+
+    @property
+    def reviews(self) -> DataFrame:
+        return self._grouped[1]
+
+    @cached_property
+    def outliers(self) -> DataFrame:
+        return outliers.size_outliers(self.items.join(self.groups.select("item_id"), "item_id", "left_semi"))
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        o, many = self.options, self.groups.groupBy("group_key").count().where("count > 1").select("group_key")
+        many = self.groups.join(many, "group_key", "left_semi")
+        thin = outliers.thin_members(many.join(self.items, "item_id"))
+        flagged = thin.unionByName(self.outliers.join(thin.select("item_id"), "item_id", "left_anti"))
+        return materialize(winners.select_winners(many, self.items, flagged, o.margin, o.verify_content, o.hash_distance))
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return actions.loser_actions(self.decisions, self.items, self.options)
+
+    @cached_property
+    def survivors(self) -> DataFrame:
+        return actions.survivors(self.items, self.decisions, self.options)
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return names.plan_names(self.items, self.groups, self.survivors, self.options)
+
+    @cached_property
+    def flat(self) -> DataFrame:
+        return actions.flatten_plan(self.items, self.survivors, self.names, self.decisions, self.outliers, self.options)
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return actions.evidence(self.groups, self.decisions, self.reviews, self.items, self.actions)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return actions.summary(self.items, self.groups, self.decisions, self.reviews)
 
 
 def titled(items: DataFrame) -> DataFrame:
@@ -55,24 +91,4 @@ def titled(items: DataFrame) -> DataFrame:
 
 def analyze(items: DataFrame, options: Options | None = None) -> Result:
     """Analyse titled items with metrics (page_count, total_bytes, median_pixels, median_bpp, measured)."""
-    o = (options or Options()).checked()
-    ready(items.sparkSession)
-    items = matching.adopt_scope_series(items, o.aliases).checkpoint()
-    groups, reviews = matching.group_items(items, o)
-    if o.retry_overflow:
-        groups, reviews = overflow.retry_overflow(groups.checkpoint(), reviews, items, o.aliases)
-    groups = groups.checkpoint()
-    odd = outliers.size_outliers(items.join(groups.select("item_id"), "item_id", "left_semi"))
-    many = groups.join(groups.groupBy("group_key").count().where("count > 1").select("group_key"), "group_key", "left_semi")
-    thin = outliers.thin_members(many.join(items, "item_id"))
-    flagged = thin.unionByName(odd.join(thin.select("item_id"), "item_id", "left_anti"))
-    decisions = winners.select_winners(many, items, flagged, o.margin, o.verify_content, o.hash_distance).checkpoint()
-    planned = actions.loser_actions(decisions, items, o)
-    alive = actions.survivors(items, decisions, o)
-    named = names.plan_names(items, groups, alive, o)
-    return Result(
-        items, groups, reviews, odd, decisions, planned, alive, named,
-        actions.flatten_plan(items, alive, named, decisions, odd, o),
-        actions.evidence(groups, decisions, reviews, items, planned),
-        actions.summary(items, groups, decisions, reviews),
-    )
+    return Result(items, options or Options())

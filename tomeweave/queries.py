@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tomeweave.functions import columns as C
 from tomeweave.operators import matching, measure, names, outliers, overflow, winners
 from tomeweave.plans import actions
-from tomeweave.plans.engine import Result, analyze, ready, titled
+from tomeweave.plans.engine import Result, analyze, titled
 from tomeweave.plans.options import Options
+from tomeweave.plans.storage import materialize
 
 _NAME = """CASE p_partkey % 6
   WHEN 0 THEN concat(p_name, ' 第', lpad(CAST(p_size AS STRING), 2, '0'), '巻.zip')
@@ -53,7 +54,6 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str, adopt: bool = True) -> DataFrame:
-    ready(spark)
     items = _items(spark, sf_dir)
     metrics = measure.item_metrics(_pages(spark, sf_dir))
     rows = items.join(metrics, "item_id", "left").withColumn("measured", F.col("page_count").isNotNull())
@@ -139,7 +139,6 @@ def exact_groups(spark, sf_dir):
 
 
 def dup_groups(spark, sf_dir):
-    ready(spark)
     groups, _ = matching.group_items(matching.adopt_scope_series(_items(spark, sf_dir)), None, matching.cheap_scored)
     return groups.select("item_id", "group_id", F.round("similarity", 6).alias("similarity"))
 
@@ -163,10 +162,9 @@ def overflow_scopes(spark, sf_dir):
 
 
 def overflow_regroup(spark, sf_dir):
-    ready(spark)
-    items = matching.adopt_scope_series(_items(spark, sf_dir)).checkpoint()
+    items = materialize(matching.adopt_scope_series(_items(spark, sf_dir)))
     groups, reviews = matching.group_items(items)
-    groups, _ = overflow.retry_overflow(groups.checkpoint(), reviews, items)
+    groups, _ = overflow.retry_overflow(materialize(groups), reviews, items)
     return groups.select("item_id", "group_key", "similarity", "pos")
 
 

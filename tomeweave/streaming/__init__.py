@@ -1,0 +1 @@
+"""No operator of the catalogue works on streams; each analysis is one batch over a catalogue."""
