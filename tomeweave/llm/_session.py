@@ -1,43 +1,10 @@
-"""Shared storage for intermediate tables.
-
-Lineage is cut by writing Parquet into the folder named in ``spark.checkpoint.dir``, which
-every executor sees, so a lost executor costs a re-read and not a re-computation.
-"""
+"""Files below the shared folder; tables there are the library's ``materialize``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``.
-
-    Where that is unset, the context's own checkpoint folder is used; else, on a local master, a
-    temporary folder; else one below the SQL warehouse, which a cluster shares.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if master.startswith("local") and not master.startswith("local-cluster"):
-            base = "file://" + tempfile.mkdtemp(prefix="tomeweave-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base if base.startswith("/") else base
-    return f"{base.rstrip('/')}/tomeweave-{uuid.uuid4().hex}"
-
+from tomeweave.plans.storage import materialize, work_dir
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["file_system", "materialize", "work_dir"]
 
 
 def file_system(uri: str):
