@@ -57,9 +57,9 @@ class WordEncoder:
         self.flat = self.flat[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])]
         self.begins, self.known = ends, dict(zip(words, range(len(words)), strict=True))
 
-    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, sizes) of words that are one run of letters each: a word's last id is the one that ends a word."""
-        joined = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        joined = [b" ".join(words[i : i + JOINED]).decode("utf-8", "replace") for i in range(0, len(words), JOINED)]
         found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
         last = np.flatnonzero(self.ends[ids])
@@ -68,17 +68,19 @@ class WordEncoder:
         return ids, np.diff(last, prepend=-1)
 
     def _learn(self, missing: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in missing]
-        simple = [x.isalpha() and max(x) < "İ" for x in texts]
-        plain = self._plain([x for x, s in zip(texts, simple, strict=True) if s])
-        if plain is None:
-            simple, plain = [False] * len(texts), (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        rest = [x.ids for x in self.tokenizer.encode_batch_fast([x for x, s in zip(texts, simple, strict=True) if not s], add_special_tokens=False)]
-        order = [w for w, s in zip(missing, simple, strict=True) if s] + [w for w, s in zip(missing, simple, strict=True) if not s]
-        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
-        sizes = np.concatenate((plain[1], np.fromiter(map(len, rest), np.int64, len(rest))))
-        more = np.fromiter((i for ids in rest for i in ids), np.uint32, int(sizes[len(plain[1]) :].sum()))
-        self.flat = np.concatenate((self.flat, plain[0], more))
+        plain = [w for w in missing if w.isalpha()]  # of bytes: ASCII letters only
+        other = {w: w.decode("utf-8", "replace") for w in missing if not w.isalpha()}
+        plain += [w for w, x in other.items() if x.isalpha() and max(x) < "İ"]
+        coded = self._plain(plain)
+        if coded is None:
+            plain, coded = [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        done = set(plain)
+        rest = [w for w in missing if w not in done]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([other.get(w) or w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)]
+        self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(missing)), strict=True))
+        sizes = np.concatenate((coded[1], np.fromiter(map(len, ids), np.int64, len(ids))))
+        more = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes[len(plain) :].sum()))
+        self.flat = np.concatenate((self.flat, coded[0], more))
         self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(sizes)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
