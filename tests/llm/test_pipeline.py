@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tomeweave.llm._session import materialize
 
 from .conftest import ODD
-from .test_dedup import brute_components
+from .test_similar import brute_groups
 
 
 def test_stages(spark, table):
@@ -22,8 +22,9 @@ def test_stages(spark, table):
         best[r.text] = max(best.get(r.text, r.doc_id), r.doc_id)
     assert {r.doc_id for r in exact.collect()} == set(best.values())
     near = materialize(corpus_pipeline.near_duplicates(spark, exact, ""))
-    rows = [(r.doc_id, r.text) for r in exact.collect()]
-    assert {r.doc_id for r in near.collect()} == set(brute_components(rows)[1])
+    groups = brute_groups([(r.doc_id, r.text) for r in exact.collect()])
+    staying = {r.doc_id for r in near.collect()}
+    assert len(staying ^ set(groups.values())) <= 0.1 * (len(groups) - len(set(groups.values())))
     mixed = materialize(corpus_pipeline.mix_sources(spark, near, ""))
     copies = Counter(r.doc_id for r in mixed.collect())
     assert mixed.columns == docs.columns and set(copies) == {r.doc_id for r in near.collect()} and max(copies.values()) <= 3

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.llm._session import materialize
-from tomeweave.llm._text import col, raw_bytes, sliced, split_words
+from tomeweave.llm._text import LOWER, col, raw_bytes, sliced, split_words
 from tomeweave.operators.cluster import connected_components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -31,10 +31,6 @@ NODE_MEMBERS = 2048
 #: Members of the lowest inner node, and inner nodes of the next.
 FAN_OUT = 16
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
-
-
 def _bits_of(hashes: np.ndarray) -> np.ndarray:
     """How often each of the 64 bits is set, highest first."""
     total = np.zeros(64, np.int64)
@@ -47,11 +43,11 @@ def _bits_of(hashes: np.ndarray) -> np.ndarray:
 _WEIGHTS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of every text: bit set if over half the shingles' XXH64 (seed 42) have it."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For every text the XXH64 (seed 42) of its shingles in order; none if it has no word."""
     import xxhash
 
-    words = split_words(_LOWER[data], offsets)
+    words = split_words(LOWER[data], offsets)
     sizes = np.diff(words.offsets)
     n_words = len(sizes)
     spaced_offsets = words.offsets + np.arange(n_words + 1)  # each word with a space after it
@@ -60,13 +56,19 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
         spaced[np.arange(len(words.data)) + np.repeat(np.arange(n_words), sizes)] = words.data
     text = spaced.tobytes()
     digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    for d, (a, b) in enumerate(zip(words.docs[:-1].tolist(), words.docs[1:].tolist(), strict=True)):
+    for a, b in zip(words.docs[:-1].tolist(), words.docs[1:].tolist(), strict=True):
         if a == b:
+            yield np.zeros(0, np.uint64)
             continue
         begins = spaced_offsets[a : max(a + 1, b - shingle + 1)].tolist()
         ends = (spaced_offsets[min(b, a + shingle) : b + 1] - 1).tolist()
-        hashes = np.fromiter((digest(text[i:j], SEED) for i, j in zip(begins, ends, strict=True)), np.uint64, len(begins))
+        yield np.fromiter((digest(text[i:j], SEED) for i, j in zip(begins, ends, strict=True)), np.uint64, len(begins))
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of every text: bit set if over half the shingles' hashes have it."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for d, hashes in enumerate(shingle_hashes(data, offsets, shingle)):
         out[d] = _WEIGHTS[2 * _bits_of(hashes) > len(hashes)].sum(dtype=np.uint64)
     return out
 
@@ -123,18 +125,9 @@ class GrayIndex:
         return q[near], node[near]
 
 
-def stars(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (value, its star's centre) that connect exactly what links within ``distance`` connect."""
-    index = GrayIndex(values)
-    v = index.values
-    label = np.arange(len(v))
-    left, right = [], []
-    for at in range(0, len(v), 256):
-        q, m = index.search(v[at : at + 256], distance)
-        q = q + at
-        left.append(q[m < q])
-        right.append(m[m < q])
-    a, b = np.concatenate(left), np.concatenate(right)
+def stars_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` positions the smallest that the links (a, b) reach."""
+    label = np.arange(n)
     while len(a):
         low = np.minimum(label[a], label[b])
         was = label.copy()
@@ -145,6 +138,20 @@ def stars(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.
         label = label[label]
         if (label == was).all():
             break
+    return label
+
+
+def stars(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (value, its star's centre) that connect exactly what links within ``distance`` connect."""
+    index = GrayIndex(values)
+    v = index.values
+    left, right = [], []
+    for at in range(0, len(v), 256):
+        q, m = index.search(v[at : at + 256], distance)
+        q = q + at
+        left.append(q[m < q])
+        right.append(m[m < q])
+    label = stars_of(len(v), np.concatenate(left), np.concatenate(right))
     moved = np.flatnonzero(label != np.arange(len(v)))
     return v[moved], v[label[moved]]
 
