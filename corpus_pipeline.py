@@ -14,7 +14,7 @@ from tomeweave.llm._session import materialize
 from tomeweave.llm.exact_dedup import drop_exact
 from tomeweave.llm.mixing import mix
 from tomeweave.llm.packing import pack
-from tomeweave.llm.simhash import keep_one
+from tomeweave.llm.similar import keep_one_similar
 
 #: A document is rejected if no language can be told (null text, no letter) or the best share is below this.
 LEAST_SCORE = 0.3
@@ -34,8 +34,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints (3-word shingles, up to 2 bits) keep the row with the smallest doc_id."""
-    return keep_one(docs).select(*docs.columns)
+    """Of texts linked by a similarity of 0.8 or more (5-word shingles) keep the row with the smallest doc_id."""
+    return keep_one_similar(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
