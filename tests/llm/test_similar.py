@@ -103,3 +103,26 @@ def test_recall_on_table(table):
 def test_candidates_connect():
     i, j, d = np.array([1, 2, 3, 5, 4, 5]), np.array([0, 1, 0, 4, 0, 0]), np.array([150, 151, 160, 140, 170, 175])
     assert set(similar.candidates(np.arange(6), i, j, d).tolist()) >= {0, 1, 2, 3, 4}
+
+
+def groups_of(spark, rows):
+    return {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+
+def lost(rows, got):
+    """Pairs at or above the similarity that ended up apart."""
+    sets = [(d, shingles(t)) for d, t in rows]
+    return [(d, e) for (d, a), (e, b) in combinations(sets, 2) if got[d] != got[e] and jaccard(a, b) >= 0.8]
+
+
+def test_pieces_of_hot_patterns_meet(spark, monkeypatch):
+    """Pairs above the similarity in a family of one template mostly below it, with patterns and prefix shingles dealt in pieces."""
+    monkeypatch.setattr(similar, "NODE_MEMBERS", 32)
+    monkeypatch.setattr(similar, "PIECE", 16)
+    rng = random.Random(3)
+    base = [f"t{k}" for k in range(300)]
+    rows = []
+    for g in range(150):
+        page = edited(base, 5, rng).split()
+        rows += [(2 * g, " ".join(page)), (2 * g + 1, edited(page, 5, rng))]
+    assert lost(rows, groups_of(spark, rows)) == []

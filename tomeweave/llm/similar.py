@@ -5,6 +5,11 @@ texts get BITS bits over their distinct shingles: two sets of similarity J diffe
 Pairs at clearly fewer bits link; pairs about the expected number are candidates, and
 those that would join what is not joined yet are held against their whole shingle sets.
 
+Fingerprints only spare work: what they leave apart is met by an exact join. If two sets reach the similarity, the first of
+their common shingles, in any fixed order, is among the first n - ceil(similarity * n) + 1 of either (its prefix). Texts of
+different components that share a prefix shingle are compared unless sizes, places or parity bits exclude the similarity
+for certain, and all that remain are held against their whole shingle sets.
+
 Each distinct fingerprint is filed under several masked bit patterns (bands), so many that a pair at the similarity asked
 for agrees on one of them with probability RECALL. Below a pattern, members stand in Gray order and differences are added
 up over groups of words; a pair is left out once they exceed the limit. A pattern with more than NODE_MEMBERS members is
@@ -37,6 +42,10 @@ LEAST_MASK, SPARE = 11, 8
 NODE_MEMBERS = 1024
 #: Words compared before pairs beyond the limit are left out, and bits added to a pattern that is filed anew.
 FIRST_WORDS, MORE_BITS = 6, 4
+#: Frequent shingles come last in the order: those of so many documents' sample, at most so many. Any order is exact.
+SAMPLE_DOCS, FREQUENT = 8192, 1 << 16
+#: Parity bits of a shingle set, members of a prefix shingle in a piece, and prefix shingles that are broadcast at most.
+PARITY, PIECE, BROADCAST = 512, 4096, 1 << 18
 
 _WIDTH = BITS // 64
 _ONES = np.uint64(0x0101010101010101)
@@ -134,15 +143,59 @@ def wide_fingerprints_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (BITS / 8 bytes) of every row."""
+def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Of every row doc_id, fp (BITS / 8 bytes), k1, k2 and n (128 bits of digest and size of its shingle set), prefix and parity."""
+    ranks = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+    least = _millionths(similarity)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
-            found = wide_fingerprints_of(*shingles_of(*raw_bytes(col(batch, "text")), shingle))
-            yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "fp"])
+            hashes, bounds = shingles_of(*raw_bytes(col(batch, "text")), shingle)
+            found = wide_fingerprints_of(hashes, bounds)
+            n = np.diff(bounds)
+            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_finish(hashes * odd), dtype=np.uint64)]) for odd in _ODD[:2]]
+            digests = [pa.array((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64)) for t in sums]
+            prefix, at = prefixes_of(hashes, bounds, ranks.value, least)
+            parts = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(prefix.view(np.int64)))
+            made = [col(batch, "doc_id"), pa.array([f.tobytes() for f in found], pa.binary()), *digests, pa.array(n.astype(np.int32)), parts, pa.array([f.tobytes() for f in parity_of(hashes, bounds)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "fp", "k1", "k2", "n", "prefix", "parity"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(read, "doc_id bigint, fp binary, k1 bigint, k2 bigint, n int, prefix array<bigint>, parity binary")
+
+
+def frequent_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, their ranks from 1 on by frequency) of shingles that several documents of a sample have."""
+    share = max(1, docs.count() // SAMPLE_DOCS)
+    drawn = shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), shingle)
+    counts = drawn.select(F.explode("shingles").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT)
+    h = counts.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)[::-1]
+    order = np.argsort(h)
+    return h[order], order + 1
+
+
+def _millionths(similarity: float) -> int:
+    return round(similarity * 1_000_000)
+
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id bigint, fp binary")
+def prefixes_of(hashes: np.ndarray, bounds: np.ndarray, ranks: tuple[np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of each text's prefix, rare shingles first."""
+    n = np.diff(bounds)
+    known, rank = ranks
+    if len(known) and len(hashes):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        owner = np.repeat(np.arange(len(n)), n)
+        hashes = hashes[np.argsort(owner * (len(known) + 1) + np.where(known[at] == hashes, rank[at], 0), kind="stable")]
+    size = np.where(n > 0, n + (-least * n) // 1_000_000 + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return hashes[np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], size)], ends
+
+
+def parity_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts, PARITY / 8) bytes: is the number of shingles that fall on a bit odd? Sets differ in as many shingles as bits at least."""
+    texts = len(bounds) - 1
+    place = np.repeat(np.arange(texts), np.diff(bounds)) * PARITY + (_finish(hashes * _ODD[2]) % np.uint64(PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=texts * PARITY) & 1).astype(np.uint8).reshape(texts, PARITY), axis=1)
 
 
 def _matrix(fps: pa.Array) -> np.ndarray:
@@ -322,17 +375,85 @@ def alike_enough(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: fl
     a, b = (sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"s_{end}")) for end in ("src", "dst"))
     both = F.size(F.array_intersect("s_src", "s_dst"))
     # in whole millionths, so that a similarity of just 0.8 is not lost to rounding
-    enough = both.cast("bigint") * 1_000_000 >= (F.size("s_src") + F.size("s_dst") - both) * F.lit(round(similarity * 1_000_000)).cast("bigint")
+    enough = both.cast("bigint") * 1_000_000 >= (F.size("s_src") + F.size("s_dst") - both) * F.lit(_millionths(similarity)).cast("bigint")
     return pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst").distinct()
 
 
+def possible_pairs(n: np.ndarray, reach: np.ndarray, parity: np.ndarray, comp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of members of a prefix shingle, ``n`` ascending, that may reach the similarity; different components only.
+
+    ``reach``: shingles from the common one on, so at most so many are common if it is the first.
+    """
+    for at in range(0, len(n), 256):
+        end = min(at + 256, len(n))
+        low = int(np.searchsorted(n, -((-least * n[at]) // 1_000_000)))
+        need = -((-least * (n[at:end, None] + n[None, low:end])) // (1_000_000 + least))
+        i, j = np.nonzero((np.minimum(reach[at:end, None], reach[None, low:end]) >= need) & (comp[at:end, None] != comp[None, low:end]))
+        need = need[i, j]
+        i, j = i + at, j + low
+        keep = j < i
+        i, j, need = i[keep], j[keep], need[keep]
+        keep = np.concatenate([np.bitwise_count(parity[i[k : k + 65536]] ^ parity[j[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 65536)] or [np.zeros(0, np.int64)]) <= n[i] + n[j] - 2 * need
+        yield i[keep], j[keep]
+
+
+def possible_links(made: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of documents in different components, all that may reach the similarity; ``made`` as of wide_fingerprints."""
+    least = _millionths(similarity)
+    own = linked.select(F.col("node").alias("doc_id"), "component")
+    base = materialize(made.drop("fp").join(own, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "prefix", "parity"))
+    tokens = base.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("count"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    mixed = materialize(tokens.where("a <> b").select("token", "count"))
+    if mixed.limit(BROADCAST + 1).count() <= BROADCAST:
+        mixed = F.broadcast(mixed)
+    rows = base.select("doc_id", "comp", "n", F.posexplode("prefix").alias("at", "token")).join(mixed, "token")
+    pieces = F.ceil(F.col("count") / PIECE).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), pieces).cast("int")
+    # every two pieces of a frequent shingle meet
+    salts = F.transform(F.sequence(F.lit(0), pieces - 1), lambda p: F.least(p, own) * pieces + F.greatest(p, own))
+    dealt = rows.join(base.select("doc_id", "parity"), "doc_id").select("token", F.explode(salts).alias("salt"), "doc_id", "comp", "n", (F.col("n") - F.col("at")).alias("reach"), "parity")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([col(batch, c).to_numpy().astype(np.int64) for c in ("token", "salt")], axis=1)
+            cuts = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(k)], strict=True):
+                if tuple(k[a]) != key:
+                    yield from below(held)
+                    held, key = [], tuple(k[a])
+                held.append(batch.slice(a, b - a))
+        yield from below(held)
+
+    def below(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in held) < 2:
+            return
+        table = pa.Table.from_batches(held)
+        doc, comp, n, reach = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "comp", "n", "reach"))
+        if (comp == comp[0]).all():
+            return
+        order = np.argsort(n, kind="stable")
+        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(n), PARITY // 64)
+        doc = doc[order]
+        for i, j in possible_pairs(n[order], reach[order], parity[order], comp[order], least):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j]))], ["src", "dst"])
+
+    met = dealt.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(compare, "src bigint, dst bigint")
+    return met.distinct()
+
+
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable by links) of every distinct non-null doc_id.
 
     Words as in ``simhash``; a text with fewer than ``shingle`` words has one shingle of all its words, and texts
     without words (null, empty) are alike. Rows of one doc_id count as one document. Extra columns are not read.
     """
-    made = materialize(wide_fingerprints(docs.where(F.col("doc_id").isNotNull()), shingle))
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    made = materialize(wide_fingerprints(docs, shingle, similarity))
     known = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
     alike = made.join(known, "fp").where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     found = materialize(similar_edges(known, similarity).distinct())
@@ -342,8 +463,12 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     apart = F.coalesce("at_src", "src") != F.coalesce("at_dst", "dst")
     check = materialize(found.where("not sure").join(a, "src", "left").join(b, "dst", "left").where(apart).select("src", "dst"))
     if check.limit(1).count():
-        true = alike_enough(docs, check, shingle, similarity)
-        linked = connected_components(materialize(sure.unionByName(true)), materialize)
+        sure = materialize(sure.unionByName(alike_enough(docs, check, shingle, similarity)))
+        linked = connected_components(sure, materialize)
+    check = materialize(possible_links(made, linked, similarity))
+    if check.limit(1).count():
+        sure = sure.unionByName(alike_enough(docs, check, shingle, similarity))
+        linked = connected_components(materialize(sure), materialize)
     ids = made.select("doc_id").distinct()
     return ids.join(linked, ids["doc_id"] == linked["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
