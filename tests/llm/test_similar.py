@@ -126,3 +126,11 @@ def test_pieces_of_hot_patterns_meet(spark, monkeypatch):
         page = edited(base, 5, rng).split()
         rows += [(2 * g, " ".join(page)), (2 * g + 1, edited(page, 5, rng))]
     assert lost(rows, groups_of(spark, rows)) == []
+
+
+def test_links_are_held_against_texts(spark):
+    """A family whose pairs are all a little below the similarity stays apart, however few bits some of them differ in."""
+    rng = random.Random(11)
+    base = [f"t{k}" for k in range(300)]
+    rows = [(i, edited(base, 4, rng)) for i in range(250)]
+    assert groups_of(spark, rows) == brute_groups(rows)

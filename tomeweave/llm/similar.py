@@ -2,8 +2,8 @@
 
 A 64-bit fingerprint can't be searched at the distance that a Jaccard similarity of 0.8 stands for (about ten bits), so
 texts get BITS bits over their distinct shingles: two sets of similarity J differ in about acos(2J / (1 + J)) / pi of them.
-Pairs at clearly fewer bits link; pairs about the expected number are candidates, and
-those that would join what is not joined yet are held against their whole shingle sets.
+Pairs at up to about the expected number are candidates; each member's closest
+is held against the whole shingle sets. Only equal shingle sets link without that.
 
 Fingerprints only spare work: what they leave apart is met by an exact join. If two sets reach the similarity, the first of
 their common shingles, in any fixed order, is among the first n - ceil(similarity * n) + 1 of either (its prefix). Texts of
@@ -258,8 +258,8 @@ def _file(nodes: DataFrame, bands: list[list[int]], more: int) -> DataFrame:
     return nodes.mapInArrow(file, "node bigint, fp binary, path int, pattern bigint")
 
 
-def _search(filed: DataFrame, sure: int, limit: int) -> DataFrame:
-    """Below each (path, pattern, salt): star edges of sure links (src, dst, sure), candidates, and as (src, null, null, path, fp) members that no pivot reaches.
+def _search(filed: DataFrame, limit: int) -> DataFrame:
+    """Below each (path, pattern, salt): candidates (src, dst, bits), and as (src, null, null, path, fp) members that no pivot reaches.
 
     The latter only where there are pivots.
     """
@@ -293,13 +293,9 @@ def _search(filed: DataFrame, sure: int, limit: int) -> DataFrame:
         order = np.argsort(gray_rank(v[:, 0]), kind="stable")
         node, pivot = table.column("node").to_numpy()[order], table.column("pivot").to_numpy()[order]
         i, j, d = near_pairs(v[order], limit)
-        label = stars_of(len(v), i[d <= sure], j[d <= sure])
-        moved = np.flatnonzero(label != np.arange(len(v)))
-        if len(moved):
-            yield _rows(node[moved], node[label[moved]], True)
-        check = candidates(label, i, j, d)
+        check = candidates(np.arange(len(v)), i, j, d)
         if len(check):
-            yield _rows(node[i[check]], node[j[check]], False)
+            yield _rows(node[i[check]], node[j[check]], d[check])
         if table.column("hot")[0].as_py():
             label = stars_of(len(v), i, j)
             reached = np.zeros(len(v), bool)
@@ -311,28 +307,28 @@ def _search(filed: DataFrame, sure: int, limit: int) -> DataFrame:
             t = table.take(pa.array(at)).combine_chunks()
             yield _rows(t.column("node").to_numpy(), None, None, t.column("path"), t.column("fp"))
 
-    def _rows(src, dst, sure, path=None, fp=None) -> pa.RecordBatch:
+    def _rows(src, dst, bits, path=None, fp=None) -> pa.RecordBatch:
         n = len(src)
         made = [
             pa.array(src),
             pa.nulls(n, pa.int64()) if dst is None else pa.array(dst),
-            pa.nulls(n, pa.bool_()) if dst is None else pa.array(np.full(n, sure)),
+            pa.nulls(n, pa.int32()) if dst is None else pa.array(bits.astype(np.int32)),
             pa.nulls(n, pa.int32()) if path is None else path.combine_chunks(),
             pa.nulls(n, pa.binary()) if fp is None else fp.combine_chunks(),
         ]
-        return pa.RecordBatch.from_arrays(made, ["src", "dst", "sure", "path", "fp"])
+        return pa.RecordBatch.from_arrays(made, ["src", "dst", "bits", "path", "fp"])
 
     return (
         filed.repartition("path", "pattern", "salt")
         .sortWithinPartitions("path", "pattern", "salt")
         .select("node", "fp", "path", "pattern", "salt", "pivot", "hot")
-        .mapInArrow(search, "src bigint, dst bigint, sure boolean, path int, fp binary")
+        .mapInArrow(search, "src bigint, dst bigint, bits int, path int, fp binary")
     )
 
 
 def similar_edges(known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (src, dst, sure) between the nodes of ``known`` (node, fp; distinct fingerprints): stars of sure ones and candidates."""
-    (sure, limit), bands = limits_of(similarity), bands_of(known.count(), similarity)
+    """Candidates (src, dst, bits) between the nodes of ``known`` (node, fp; distinct fingerprints)."""
+    (_, limit), bands = limits_of(similarity), bands_of(known.count(), similarity)
     level, more, edges = _file(known, bands, 0), 0, None
     while True:
         sizes = level.groupBy("path", "pattern").count()
@@ -347,8 +343,8 @@ def similar_edges(known: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             own = F.array(F.pmod(F.hash("fp", "path"), pieces))
             dealt = members.select("node", "fp", "path", "pattern", drawn.alias("pivot"), F.explode(F.when(drawn, F.sequence(F.lit(0), pieces - 1)).otherwise(own)).alias("salt"))
             flat = flat.unionByName(dealt.withColumn("hot", F.lit(True)))
-        found = materialize(_search(flat, sure, limit))
-        new = found.where(F.col("dst").isNotNull()).select("src", "dst", "sure")
+        found = materialize(_search(flat, limit))
+        new = found.where(F.col("dst").isNotNull()).select("src", "dst", "bits")
         edges = new if edges is None else edges.unionByName(new)
         if not any_hot:
             return edges
@@ -454,17 +450,15 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     made = materialize(wide_fingerprints(docs, shingle, similarity))
+    same = ["k1", "k2", "n"]
     known = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
-    alike = made.join(known, "fp").where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
-    found = materialize(similar_edges(known, similarity).distinct())
-    sure = materialize(found.where("sure").select("src", "dst").unionByName(alike))
+    first = made.groupBy(*same).agg(F.min("doc_id").alias("dst"))
+    alike = made.join(first, same).where(F.col("doc_id") != F.col("dst")).select(F.col("doc_id").alias("src"), "dst").distinct()
+    # of each member the closest that stands before it; whatever else is linked meets by its prefix
+    found = similar_edges(known, similarity).groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))
+    check = materialize(found.select("src", "dst"))
+    sure = materialize(alike.unionByName(alike_enough(docs, check, shingle, similarity)))
     linked = connected_components(sure, materialize)
-    a, b = (linked.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")) for end in ("src", "dst"))
-    apart = F.coalesce("at_src", "src") != F.coalesce("at_dst", "dst")
-    check = materialize(found.where("not sure").join(a, "src", "left").join(b, "dst", "left").where(apart).select("src", "dst"))
-    if check.limit(1).count():
-        sure = materialize(sure.unionByName(alike_enough(docs, check, shingle, similarity)))
-        linked = connected_components(sure, materialize)
     check = materialize(possible_links(made, linked, similarity))
     if check.limit(1).count():
         sure = sure.unionByName(alike_enough(docs, check, shingle, similarity))
