@@ -45,7 +45,7 @@ FIRST_WORDS, MORE_BITS = 6, 4
 #: Frequent shingles come last in the order: those of so many documents' sample, at most so many. Any order is exact.
 SAMPLE_DOCS, FREQUENT = 8192, 1 << 16
 #: Parity bits of a shingle set, members of a prefix shingle in a piece, and prefix shingles that are broadcast at most.
-PARITY, PIECE, BROADCAST = 512, 4096, 1 << 18
+PARITY, PIECE, BROADCAST = 512, 4096, 1 << 20
 
 _WIDTH = BITS // 64
 _ONES = np.uint64(0x0101010101010101)
@@ -375,22 +375,25 @@ def alike_enough(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: fl
     return pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst").distinct()
 
 
-def possible_pairs(n: np.ndarray, reach: np.ndarray, parity: np.ndarray, comp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) of members of a prefix shingle, ``n`` ascending, that may reach the similarity; different components only.
+def possible_pairs(n: np.ndarray, reach: np.ndarray, parity: np.ndarray, comp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions (i, j) of members of a prefix shingle, ``n`` ascending, that may reach the similarity, of different components, and asked.
 
-    ``reach``: shingles from the common one on, so at most so many are common if it is the first.
+    A pair that reaches it is found below ``asked`` shingles at least: ``reach`` counts a text's shingles from the common one
+    on and falls along the order, so a pair is found below its first m common ones. Either the next one's reach is too small,
+    which leaves m + need - slack - 1 in common at most, or none in the prefixes follows, which leaves m + the larger text's rest.
     """
     for at in range(0, len(n), 256):
         end = min(at + 256, len(n))
         low = int(np.searchsorted(n, -((-least * n[at]) // 1_000_000)))
         need = -((-least * (n[at:end, None] + n[None, low:end])) // (1_000_000 + least))
-        i, j = np.nonzero((np.minimum(reach[at:end, None], reach[None, low:end]) >= need) & (comp[at:end, None] != comp[None, low:end]))
+        i, j = np.nonzero((np.minimum(reach[at:end, None], reach[None, low:end]) >= need - need // 32) & (comp[at:end, None] != comp[None, low:end]))
         need = need[i, j]
         i, j = i + at, j + low
-        keep = j < i
+        keep = (j < i) & (n[j] >= need)
         i, j, need = i[keep], j[keep], need[keep]
         keep = np.concatenate([np.bitwise_count(parity[i[k : k + 65536]] ^ parity[j[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 65536)] or [np.zeros(0, np.int64)]) <= n[i] + n[j] - 2 * need
-        yield i[keep], j[keep]
+        i, j, need = i[keep], j[keep], need[keep]
+        yield i, j, np.minimum(need // 32, need + (-least * n[i]) // 1_000_000) + 1
 
 
 def possible_links(made: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
@@ -434,12 +437,12 @@ def possible_links(made: DataFrame, linked: DataFrame, similarity: float) -> Dat
         order = np.argsort(n, kind="stable")
         parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(n), PARITY // 64)
         doc = doc[order]
-        for i, j in possible_pairs(n[order], reach[order], parity[order], comp[order], least):
+        for i, j, asked in possible_pairs(n[order], reach[order], parity[order], comp[order], least):
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j]))], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(asked)], ["src", "dst", "asked"])
 
-    met = dealt.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(compare, "src bigint, dst bigint")
-    return met.distinct()
+    met = dealt.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(compare, "src bigint, dst bigint, asked bigint")
+    return met.groupBy("src", "dst", "asked").count().where("count >= asked").select("src", "dst").distinct()
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
