@@ -126,3 +126,16 @@ def test_mix_reaches_its_targets(spark):
     assert all(got[s] >= tokens[s] for s in tokens) and max(got[s] / tokens[s] for s in tokens) < 3.1 and max(epochs.values()) == 2
     got, _ = weights(target_entropy=0.0, max_repetition=1.0, budget=total // 2)
     assert abs(sum(got.values()) - total // 2) < 60
+
+
+def test_insults_beside_other_marks():
+    """Words are runs of letters when scored, as they are when learned."""
+    import pyarrow as pa
+
+    g = toxicity.Grammar({"idiota": 1.0}, {"dumm": 1.0}, np.zeros(4))
+    texts = ["idiota", "¡idiota!", "“idiota”", "«idiota»", "so—idiota", "l'idiota", "l’idiota", "„dummkopf“", "¿dummkopf?"]
+    x = toxicity._features(pa.record_batch([pa.array(texts)], ["text"]), g, toxicity.Machine())
+    assert x[:, 0].tolist() == [1.0] * len(texts)
+    sizes, kinds, _ = toxicity._classes(["3.5".encode(), b"...", b"don't", "ja…nein".encode()], g)
+    E, O = toxicity.END, toxicity.OTHER
+    assert sizes.tolist() == [1, 1, 2, 3] and kinds.tolist() == [O, E, O, O, O, E, O]

@@ -49,6 +49,8 @@ WORDS = {
     NEGATION: "not no never without nicht kein keine nie ohne pas jamais sans nunca sin",
     REPORTED: "said says called wrote quoted claimed sagte sagt nannte schrieb dit écrit appelé dijo dice llamó escribió",
 }
+#: Marks that end a clause (or begin the next), and those that make up a word of marks.
+CLAUSE_ENDS, MARKS = ".;:!?…¡¿", ".,;:!?\"'()[]…¡¿«»‹›„“”‚‘’–—"
 THREAT_WEIGHT, TARGET_GAIN, NEGATION_LOSS, REPORTED_LOSS = 0.5, 1.25, 0.5, 0.7
 
 
@@ -91,22 +93,34 @@ class Grammar(NamedTuple):
     logistic: np.ndarray  # intercept and three coefficients
 
 
-def _classes(distinct: list[bytes], g: Grammar) -> tuple[np.ndarray, np.ndarray]:
-    """Class and weight of each distinct word."""
+def _classes(distinct: list[bytes], g: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of classes of each distinct word, the classes and their weights; a word has one for each run of letters, as in ``fit``."""
     fixed = {w: c for c, text in WORDS.items() for w in text.split()}
-    classes, weights = np.zeros(len(distinct), np.int8), np.zeros(len(distinct))
+    sizes, classes, weights = np.ones(len(distinct), np.int64), [], []
+
+    def add(c: int, w: float = 0.0):
+        classes.append(c)
+        weights.append(w)
+
     for i, raw in enumerate(distinct):
-        w = raw.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]")
-        if not w:
-            classes[i] = END if any(x in raw for x in b".;:!?") else OTHER
-        elif w in g.words:
-            classes[i], weights[i] = INSULT, g.words[w]
-        elif w in fixed:
-            classes[i] = fixed[w]
-            weights[i] = THREAT_WEIGHT if classes[i] == THREAT else 0
-        elif found := [g.beginnings[w[:n]] for n in BEGINNINGS if len(w) > n and w[:n] in g.beginnings]:
-            classes[i], weights[i] = INSULT, max(found)
-    return classes, weights
+        word, before = raw.decode("utf-8", "replace").lower(), len(classes)
+        runs = [(True, word)] if word.isalpha() else [(k, "".join(r)) for k, r in itertools.groupby(word, str.isalpha)]
+        for letters, w in runs:
+            if not letters:
+                if any(x in w for x in CLAUSE_ENDS) and (len(runs) > 1 or not w.strip(MARKS)):
+                    add(END)
+            elif w in g.words:
+                add(INSULT, g.words[w])
+            elif w in fixed:
+                add(fixed[w], THREAT_WEIGHT if fixed[w] == THREAT else 0.0)
+            elif found := [g.beginnings[w[:n]] for n in BEGINNINGS if len(w) > n and w[:n] in g.beginnings]:
+                add(INSULT, max(found))
+            else:
+                add(OTHER)
+        if len(classes) == before:
+            add(OTHER)
+        sizes[i] = len(classes) - before
+    return sizes, np.array(classes, np.int8), np.array(weights)
 
 
 def _features(batch: pa.RecordBatch, grammar: Grammar, machine: Machine) -> np.ndarray:
@@ -117,13 +131,15 @@ def _features(batch: pa.RecordBatch, grammar: Grammar, machine: Machine) -> np.n
     words = split_words(_LOWER[data], offsets, breaks)
     coded = words.array().dictionary_encode()
     at = coded.indices.to_numpy()
-    kinds, weights = _classes(coded.dictionary.to_pylist(), grammar)
-    kind, weight = kinds[at], weights[at]
+    sizes, kinds, weights = _classes(coded.dictionary.to_pylist(), grammar)
+    ends = np.concatenate(([0], np.cumsum(sizes[at])))
+    places = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], sizes[at])
+    kind, weight, docs = kinds[places], weights[places], ends[words.docs]
     hits = np.concatenate(([0], np.cumsum((kind == INSULT) | (kind == THREAT))))
     out = np.zeros((batch.num_rows, 3))
-    some = np.flatnonzero(np.diff(hits[words.docs]))
+    some = np.flatnonzero(np.diff(hits[docs]))
     for d in some.tolist():
-        i, j = words.docs[d], words.docs[d + 1]
+        i, j = docs[d], docs[d + 1]
         best, total, n = machine.run(kind[i:j].tolist(), weight[i:j].tolist())
         out[d] = best, np.log1p(total), n / (j - i)
     return out
