@@ -81,6 +81,23 @@ def test_entries_and_ranges(spark, tmp_path):
     assert paths == {"bad.cbz", "x v01-02.zip/x v01.zip", "x v01-02.zip/sub/x v02.zip"}
 
 
+def test_inner_volumes_are_items(spark, tmp_path):
+    """A range archive's volumes are items, measured and compared; page hashes can't be asked for."""
+    from tomeweave.__main__ import main
+
+    one, two = (zipped({f"p{i}.png": png(40 + k, 60) for i in range(3)}) for k in range(2))
+    (tmp_path / "x v01-02.zip").write_bytes(zipped({"x v01.zip": one, "x v02.zip": two}))
+    (tmp_path / "x v02.zip").write_bytes(two)
+    items = catalogue.read_catalogue(spark, str(tmp_path))
+    got = {r.rel_path: r for r in items.collect()}
+    assert set(got) == {"x v02.zip", "x v01-02.zip/x v01.zip", "x v01-02.zip/x v02.zip"}
+    assert all(r.measured and r.page_count == 3 for r in got.values()) and got["x v01-02.zip/x v02.zip"].total_bytes == len(two)
+    r = analyze(items, Options())
+    roles = {x.rel_path: x.role for x in r.decisions.join(r.items.select("item_id", "rel_path"), "item_id").collect()}
+    assert sorted(roles[p] for p in ("x v02.zip", "x v01-02.zip/x v02.zip")) == ["loser", "winner"]
+    assert main([str(tmp_path), "--verify-content"]) == 1
+
+
 def test_backends(monkeypatch):
     data = zipped({"a.txt": b"1"})
 

@@ -30,6 +30,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.verify_content:
+        print("--verify-content needs page hashes (a column hashes), which reading folders does not give", file=sys.stderr)
+        return 1
     from pathlib import Path
 
     from pyspark.sql import SparkSession

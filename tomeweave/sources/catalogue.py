@@ -43,8 +43,14 @@ def _contents(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("rel_path", _relative(root)).withColumn("kind", C.kind_of(F.col("rel_path")))
 
 
-def archive_entries(spark: SparkSession, root: str, backend: str = "auto") -> DataFrame:
-    """Members of every archive below ``root``; an archive that can't be read gives one row with the error."""
+def _archives(spark: SparkSession, root: str, backend: str, expand: bool) -> DataFrame:
+    """rel_path, kind and content of every archive; with ``expand`` inner volumes in place of archives titled as a range."""
+    rows = expand_ranges(spark, root, backend) if expand else _contents(spark, root).where("kind <> ''")
+    return rows.select("rel_path", "kind", "content")
+
+
+def archive_entries(spark: SparkSession, root: str, backend: str = "auto", expand: bool = False) -> DataFrame:
+    """Members of every archive below ``root``; an archive that can't be read gives one row with the error. ``expand``: see ``_archives``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -55,11 +61,10 @@ def archive_entries(spark: SparkSession, root: str, backend: str = "auto") -> Da
                     rows = [(path, None, None, False, str(e))]
                 yield pd.DataFrame(rows, columns=["container", "name", "size", "is_dir", "error"]).astype({"size": "Int64"})
 
-    rows = _contents(spark, root).where("kind <> ''").select("rel_path", "kind", "content")
-    return rows.mapInPandas(run, ENTRY).withColumn("name", C.safe_member(F.col("name")))
+    return _archives(spark, root, backend, expand).mapInPandas(run, ENTRY).withColumn("name", C.safe_member(F.col("name")))
 
 
-def archive_pages(spark: SparkSession, root: str, sample: int = 16, backend: str = "auto") -> DataFrame:
+def archive_pages(spark: SparkSession, root: str, sample: int = 16, backend: str = "auto", expand: bool = False) -> DataFrame:
     """Measured pages of every archive below ``root``: at most ``sample`` a container, by place in natural order."""
     import re
 
@@ -94,7 +99,7 @@ def archive_pages(spark: SparkSession, root: str, sample: int = 16, backend: str
                     rows = [(path, None, None, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["container", "name", "size_bytes", "width", "height", "image_format", "error"]).astype({"size_bytes": "Int64", "width": "Int32", "height": "Int32"})
 
-    return _contents(spark, root).where("kind <> ''").select("rel_path", "kind", "content").mapInPandas(run, PAGE)
+    return _archives(spark, root, backend, expand).mapInPandas(run, PAGE)
 
 
 def discover(listing: DataFrame, duplicates_folder: str = "_重複") -> DataFrame:
@@ -209,9 +214,11 @@ def read_catalogue(spark: SparkSession, root: str, sample: int = 16, backend: st
     """Titled, measured items below ``root``, ready for the engine."""
     from tomeweave.operators.measure import item_metrics
 
-    listing = files(spark, root)
-    items = numbered(discover(listing))
-    inner = archive_pages(spark, root, sample, backend)
+    plain = files(spark, root).where(C.kind_of(F.col("rel_path")) == "").select("rel_path", "size")
+    # volumes inside archives titled as a range are items of their own
+    volumes = expand_ranges(spark, root, backend).select("rel_path", F.length("content").cast("bigint").alias("size"))
+    items = numbered(discover(plain.unionByName(volumes)))
+    inner = archive_pages(spark, root, sample, backend, expand=True)
     loose = _contents(spark, root).where(C.is_image(F.col("rel_path"))).select("rel_path", "content")
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +233,7 @@ def read_catalogue(spark: SparkSession, root: str, sample: int = 16, backend: st
     of_folders = placed.join(folders, "folder").where(same).select("item_id", "size_bytes", "width", "height")
     of_archives = inner.where("error is null").join(items.select("item_id", F.col("rel_path").alias("container")), "container").select("item_id", "size_bytes", "width", "height")
     errors = inner.where("error is not null").select(F.col("container").alias("rel_path"), F.col("error").alias("measure_error"))
-    counts = archive_entries(spark, root, backend).where("error is null").where(C.is_page(F.col("name"), F.col("is_dir"))).groupBy(F.col("container").alias("rel_path")).agg(F.count("*").cast("int").alias("inner_pages"))
+    counts = archive_entries(spark, root, backend, expand=True).where("error is null").where(C.is_page(F.col("name"), F.col("is_dir"))).groupBy(F.col("container").alias("rel_path")).agg(F.count("*").cast("int").alias("inner_pages"))
     metrics = item_metrics(of_folders.unionByName(of_archives)).select("item_id", "median_pixels", "median_bpp")
     out = items.join(metrics, "item_id", "left").join(errors, "rel_path", "left").join(counts, "rel_path", "left")
     return out.select(
