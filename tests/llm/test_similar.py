@@ -134,3 +134,11 @@ def test_links_are_held_against_texts(spark):
     base = [f"t{k}" for k in range(300)]
     rows = [(i, edited(base, 4, rng)) for i in range(250)]
     assert groups_of(spark, rows) == brute_groups(rows)
+
+
+def test_failed_candidates_are_replaced(spark):
+    """Variants on either side of the similarity: a closest pair by bits is often not the most similar."""
+    rng = random.Random(5)
+    base = [f"t{k}" for k in range(300)]
+    rows = [(i, edited(base, 3 + i % 2, rng)) for i in range(160)]
+    assert lost(rows, groups_of(spark, rows)) == []
