@@ -142,3 +142,15 @@ def test_failed_candidates_are_replaced(spark):
     base = [f"t{k}" for k in range(300)]
     rows = [(i, edited(base, 3 + i % 2, rng)) for i in range(160)]
     assert lost(rows, groups_of(spark, rows)) == []
+
+
+def test_refiled_members_meet(spark, monkeypatch):
+    """Pairs just above the similarity in patterns that are filed anew several times."""
+    monkeypatch.setattr(similar, "NODE_MEMBERS", 4)
+    rng = random.Random(13)
+    base = [f"t{k}" for k in range(300)]
+    rows = []
+    for g in range(150):
+        page = edited(base, 20, rng).split()
+        rows += [(2 * g, " ".join(page)), (2 * g + 1, edited(page, 6, rng))]
+    assert lost(rows, groups_of(spark, rows)) == []
