@@ -154,3 +154,13 @@ def test_refiled_members_meet(spark, monkeypatch):
         page = edited(base, 20, rng).split()
         rows += [(2 * g, " ".join(page)), (2 * g + 1, edited(page, 6, rng))]
     assert lost(rows, groups_of(spark, rows)) == []
+
+
+def test_short_texts(spark):
+    """Texts of 8 and 9 words share 4 of 5 shingles; 12 and 15 shingles are at the similarity too."""
+    rng = random.Random(17)
+    rows = []
+    for g in range(120):
+        words = [f"s{rng.randrange(10**6)}" for _ in range(16 if g % 2 else 8)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words + [f"more{g}_{k}" for k in range(3 if g % 2 else 1)]))]
+    assert groups_of(spark, rows) == brute_groups(rows)
