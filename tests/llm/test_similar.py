@@ -118,7 +118,7 @@ def lost(rows, got):
 def test_pieces_of_hot_patterns_meet(spark, monkeypatch):
     """Pairs above the similarity in a family of one template mostly below it, with patterns and prefix shingles dealt in pieces."""
     monkeypatch.setattr(similar, "NODE_MEMBERS", 32)
-    monkeypatch.setattr(similar, "PIECE", 16)
+    monkeypatch.setattr(similar, "PIECE", 16, raising=False)
     rng = random.Random(3)
     base = [f"t{k}" for k in range(300)]
     rows = []
@@ -139,8 +139,10 @@ def test_links_are_held_against_texts(spark):
 def test_failed_candidates_are_replaced(spark):
     """Variants on either side of the similarity: a closest pair by bits is often not the most similar."""
     rng = random.Random(5)
-    base = [f"t{k}" for k in range(300)]
-    rows = [(i, edited(base, 3 + i % 2, rng)) for i in range(160)]
+    rows = []
+    for g in range(40):
+        base = [f"g{g}_{k}" for k in range(300)]
+        rows += [(100 * g + i, edited(base, 3 if i in (5, 9) else 4, rng)) for i in range(14)]
     assert lost(rows, groups_of(spark, rows)) == []
 
 
