@@ -85,16 +85,71 @@ def test_quality(odd, none, table):
     assert quality.quality_rules(none).collect() == []
 
 
-def test_suffix_array():
+def brute_repeats(words, shortest):
+    """(words under repeated windows of 8, words under repeats, longest repeat, maximal repeats), by every substring."""
+    n, spans, longest, maximal = len(words), {8: set(), shortest: set()}, 0, 0
+    for size in range(shortest, n):
+        places = {}
+        for i in range(n - size + 1):
+            places.setdefault(tuple(words[i : i + size]), []).append(i)
+        for at in places.values():
+            if len(at) > 1:
+                longest = size
+                for least, held in spans.items():
+                    if size >= least:
+                        held.update(j for i in at for j in range(i, i + size))
+                before, after = {words[i - 1] if i else None for i in at}, {words[i + size] if i + size < n else None for i in at}
+                maximal += (len(before) > 1 or None in before) and len(after) > 1
+    return len(spans[8]), len(spans[shortest]), longest, maximal
+
+
+def test_repeats():
     rng = np.random.default_rng(7)
-    for n in (0, 1, 2, 9, 60):
-        for _ in range(20):
-            w = rng.integers(0, 3, n).tolist()
-            order, lcp = quality.suffix_array(np.array(w, np.int64))
-            assert order.tolist() == sorted(range(n), key=lambda i: w[i:])
-            for k in range(1, n):
-                a, b = w[order[k - 1] :], w[order[k] :]
-                assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for _ in range(60):
+        docs = []
+        for _ in range(int(rng.integers(0, 5))):
+            words = rng.integers(0, rng.choice([1, 2, 3, 20]), rng.integers(0, 40)).tolist()
+            docs.append(words + words[: int(rng.integers(0, len(words) + 1))])
+        bounds = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
+        flat = np.array([w for d in docs for w in d], np.int64)
+        for shortest in (2, 3, 5, 8):
+            got = np.stack(quality.repeat_measures(flat, bounds, shortest), axis=1)
+            assert [tuple(r) for r in got.tolist()] == [brute_repeats(d, shortest) for d in docs]
+
+
+def test_repeats_of_one_word_are_linear():
+    import tracemalloc
+
+    n = 300_000
+    tracemalloc.start()
+    got = quality.repeat_measures(np.zeros(n, np.int64), np.array([0, n]))
+    assert tracemalloc.get_traced_memory()[1] < 400 * n
+    tracemalloc.stop()
+    assert [x.tolist() for x in got] == [[n], [n], [n - 1], [n - 5]]
+
+
+def test_verdict(spark):
+    """kept against the brute measures; either limit rejects a text that the base keeps."""
+    rng = np.random.default_rng(9)
+    own = lambda n: [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+    short = own(6)
+    many = [w for _ in range(8) for w in short + own(4)]
+    stutter = own(74) + ["la"] * 22
+    rows = [(0, " ".join(many), "en", "s"), (1, " ".join(stutter), "en", "s"), (2, " ".join(own(100)), "en", "s"), (3, "la " * 100, "en", "s")]
+    for i in range(60):
+        part = own(int(rng.integers(1, 12)))
+        rows.append((4 + i, " ".join(w for _ in range(int(rng.integers(1, 6))) for w in part + own(int(rng.integers(0, 30)))), "en", "s"))
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text, _, _ in rows:
+        words = text.split()
+        windows, covered, longest, maximal = brute_repeats(words, quality.SHORTEST)
+        base = len(words) < 20 or 100 * windows > 30 * len(words)
+        r = got[i]
+        assert (r.n_covered_words, r.longest_repeat, r.n_repeats, r.base_failed) == (covered, longest, maximal, base)
+        assert r.kept == (not base and covered <= 0.3 * len(words) and longest <= 0.2 * len(words))
+    assert [got[i].base_failed for i in range(4)] == [False, False, False, True]
+    assert [got[i].kept for i in range(4)] == [False, False, True, False]
+    assert got[0].longest_repeat <= 0.2 * got[0].n_words and got[1].n_covered_words <= 0.3 * got[1].n_words
 
 
 def brute_mix_totals(docs, epochs_of):
