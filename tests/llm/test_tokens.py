@@ -130,7 +130,7 @@ def test_table_file():
 
 
 def test_counts(odd, none, table):
-    scores = token_counts.unigram_scores()
+    scores = token_counts.fit_scores(table, rounds=2)
     model = Tokenizer(models.Unigram([("<unk>", -100.0), *scores.items()], 0, False))
     from .test_dedup import WORDS
 
@@ -138,11 +138,38 @@ def test_counts(odd, none, table):
         words = WORDS.findall(text or "")
         return len(words), sum(len(model.encode(token_counts.MARK + w).ids) for w in words)
 
-    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(table).collect()}
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(table, scores=scores).collect()}
     assert got == {r.doc_id: count(r.text) for r in table.collect()}
-    rows = token_counts.token_counts(odd).collect()
+    rows = token_counts.token_counts(odd, scores=scores).collect()
     assert Counter((r.doc_id, r.n_pretokens) for r in rows) == Counter((d, count(t)[0]) for d, t, _, _ in ODD)
     assert token_counts.token_counts(none).collect() == []
+    assert token_counts.token_counts(odd).count() == len(ODD)
+
+
+def test_scores_are_re_estimated_over_all_pretokens(odd):
+    """Against plain Viterbi re-estimation over the words one by one."""
+    import math
+
+    from .test_dedup import WORDS
+
+    pieces = token_counts.pieces_of()
+    words = Counter(token_counts.MARK + w for _, t, _, _ in ODD for w in WORDS.findall(t or ""))
+    scores = dict.fromkeys(pieces, -math.log(len(pieces)))
+    for _ in range(3):
+        seen, unknown = Counter(), min(scores.values()) + token_counts.UNKNOWN
+        for word, times in words.items():
+            best = [(0.0, 0, ())]  # score, fewest tokens, path; the shorter last piece first
+            for end in range(1, len(word) + 1):
+                steps = [(best[end - 1][0] + unknown, -best[end - 1][1] - 1, end - 1)]
+                steps += [(best[a][0] + scores[word[a:end]], -best[a][1] - 1, a) for a in range(max(0, end - 40), end) if word[a:end] in scores]
+                score, n, a = max(steps)
+                best.append((score, -n, (*best[a][2], word[a:end])))
+            for piece in best[-1][2]:
+                seen[piece] += times * (piece in scores)
+        total = sum(seen.values()) + len(pieces)
+        scores = {p: math.log((seen[p] + 1) / total) for p in pieces}
+    assert token_counts.fit_scores(odd, rounds=3) == scores
+    assert token_counts.fit_scores(odd.repartition(7), rounds=3) == scores
 
 
 def test_trie_against_plain_dynamic_programming():
