@@ -35,6 +35,41 @@ def test_kernel_is_the_presence_kernel():
     assert len(sets[0] & sets[1]) == len({"a", "b", "c", "ab", "bc", "ca", "bca", "cab", "bcab"})
 
 
+def test_predictions_are_the_kernel_matrix_times_alpha(spark, table):
+    """Against kernels by intersection of n-gram sets, one pair at a time, and plain ridge regression."""
+    from tomeweave.llm._sample import stratified
+
+    rows = table.where("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
+    drawn = stratified(rows, "lang", 12)
+    marks = [r.text for r in stratified(drawn, "lang", 4, salt="landmark").collect()]
+    seen = drawn.collect()
+    presence = language.Presence()
+
+    def grams(text):
+        presence.fill(text)
+        return set(np.flatnonzero(presence.map).tolist())
+
+    held = [grams(t) for t in marks]
+    kernel = lambda texts: np.array([[len(g & m) / np.sqrt(len(g) * len(m)) for m in held] for g in map(grams, texts)])
+    languages = sorted({r.lang for r in seen})
+    k_nm, k_mm = kernel([r.text for r in seen]), kernel(marks)
+    y = np.array([[1.0 if r.lang == x else -1.0 for x in languages] for r in seen])
+    alpha = np.linalg.solve(k_nm.T @ k_nm + language.RIDGE * len(seen) * k_mm + 1e-9 * len(seen) * np.eye(len(marks)), k_nm.T @ y)
+    tested = rows.limit(40).collect()
+    want = kernel([r.text for r in tested]) @ alpha
+    share = np.exp(language.STEEP * (want - want.max(axis=1, keepdims=True)))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(rows, language.fit(rows, landmarks=4, fit_rows=12)).collect()}
+    for r, w, p in zip(tested, want, share, strict=True):
+        assert got[r.doc_id][0] == languages[int(w.argmax())] and abs(got[r.doc_id][1] - p.max() / p.sum()) < 2e-3
+
+
+def test_number_signs_are_no_letters(spark, table):
+    texts = ["½ ②", "² Ⅷ ①", "_ 12", "a 1", "½é"]
+    rows = spark.createDataFrame([(i, t, None, "s") for i, t in enumerate(texts)], SCHEMA)
+    found = {r.doc_id: r.lang_pred for r in language.predict(rows, language.fit(table)).collect()}
+    assert [found[i] == "und" for i in range(5)] == [not any(c.isalpha() for c in t) for t in texts] == [True, True, True, False, False]
+
+
 def test_toxicity(spark, odd, none, table):
     try:
         labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")

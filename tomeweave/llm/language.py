@@ -13,7 +13,6 @@ matrix times alpha.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tomeweave.llm._sample import stratified
 from tomeweave.llm._scored import with_columns
+from tomeweave.llm._session import materialize
 from tomeweave.llm._text import col, sliced
 
 LONGEST, BUCKETS = 4, 1 << 18
@@ -32,7 +32,8 @@ LONGEST, BUCKETS = 4, 1 << 18
 LANDMARKS, FIT_ROWS, RIDGE = 60, 800, 1e-4
 #: Steepness of the softmax that turns scores into shares.
 STEEP = 6.0
-_LETTER = re.compile(r"[^\W\d_]")
+#: Texts whose presence stands in memory at once.
+ROWS_AT_ONCE = 256
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -61,13 +62,15 @@ class Model(NamedTuple):
 
 
 def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, ridge: float = RIDGE) -> Model:
-    """Fit on rows (doc_id, text, lang); rows with null text or lang are left out.
+    """Fit on rows (doc_id, text, lang); rows with null lang, or null or empty text, are left out.
 
-    Takes about ``fit_rows`` rows of each language and of those about ``landmarks`` as landmarks. The driver gets the
-    landmarks' n-gram buckets and the kernel rows, both of bounded size. Without rows: a model without languages.
+    Takes about ``fit_rows`` rows of each language and of those about ``landmarks`` as landmarks; they are drawn by doc_id
+    and lang alone and written once, so texts are read once. The driver gets the landmarks' n-gram buckets and the
+    kernel rows, both of bounded size; long texts count whole. Repeated rows are drawn together. Without rows: a model
+    without languages.
     """
-    rows = labelled.where("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
-    drawn = stratified(rows, "lang", fit_rows)
+    rows = labelled.where("lang is not null").select("doc_id", "text", "lang")
+    drawn = materialize(stratified(rows, "lang", fit_rows).where("text is not null and text <> ''"))
     chosen = stratified(drawn, "lang", landmarks, salt="landmark")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +92,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROW
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in sliced(batches, "text", 1 << 20) for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             rows = np.zeros((batch.num_rows, len(buckets)), np.float32)
             for i, text in enumerate(col(batch, "text").to_pylist()):
                 n = presence.fill(text)
@@ -108,8 +111,9 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROW
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score (0 to 1), from the whole text alone.
 
-    A text that is null or has no letter, and any text if the model has no language, gets ``und`` with score 0.
-    Columns named lang_pred and score are replaced.
+    A text that is null or has no letter (``str.isalpha``; number signs are none), and any text if the model has no
+    language, gets ``und`` with score 0. Repeated rows get equal results, an empty table gives no rows, and a text of any
+    length is read whole. Columns named lang_pred and score are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the size of the landmarks, which is bounded
 
@@ -118,19 +122,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             n = batch.num_rows
-            matrix, norm, valid = np.zeros((min(n, 256), len(m.buckets)), np.float32), np.ones(n), np.zeros(n, bool)
+            matrix, norm, valid = np.zeros((min(n, ROWS_AT_ONCE), len(m.buckets)), np.float32), np.ones(n), np.zeros(n, bool)
             scores = np.zeros((n, max(1, len(m.languages))))
             texts = col(batch, "text").to_pylist()
-            for begin in range(0, n, 256):
-                for i, text in enumerate(texts[begin : begin + 256], begin):
-                    valid[i] = bool(m.languages and text and _LETTER.search(text))
+            for begin in range(0, n, ROWS_AT_ONCE):
+                for i, text in enumerate(texts[begin : begin + ROWS_AT_ONCE], begin):
+                    valid[i] = bool(m.languages and text and any(map(str.isalpha, text)))
                     if valid[i]:
                         norm[i] = np.sqrt(presence.fill(text))
                         matrix[i - begin] = presence.map[m.buckets]
                     else:
                         matrix[i - begin] = 0
                 if m.languages:
-                    end = min(n, begin + 256)
+                    end = min(n, begin + ROWS_AT_ONCE)
                     scores[begin:end] = (matrix[: end - begin] @ m.weights) / norm[begin:end, None]
             top = scores.argmax(axis=1)
             share = np.exp(STEEP * (scores - scores.max(axis=1, keepdims=True)))
