@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeweave.operators import matching, measure, outliers, overflow, winners
+from tomeweave.operators import cluster
 from tomeweave.operators.cluster import connected_components
 from tomeweave.plans.engine import analyze, titled
 from tomeweave.plans.options import Options
@@ -59,7 +60,9 @@ def test_scores(spark):
     assert by[pairs[2]][0] == 0.7 and by[pairs[3]] == (1.0, "volume_only") and by[pairs[4]] == (1.0, "equal")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 18, 0])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(cluster, "ONE_TASK", at_once)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, 2000)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}

@@ -4,19 +4,55 @@ Alternating large-star and small-star steps: every round replaces edges by edges
 known neighbour, so a component becomes a star around its smallest node in about log(n) rounds.
 Node minima are aggregated before any shuffle and met again by an equi-join, which adaptive execution
 can split, so a node with very many edges is no bottleneck. Each round is written out, which cuts the
-lineage.
+lineage. A graph of no more than ONE_TASK edges is settled in one task instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.plans.storage import materialize
 
 MOST_ROUNDS = 60
+#: Edges of a graph that one task settles: at most some tens of MB there.
+ONE_TASK = 1 << 18
+
+
+def smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` positions the smallest that the links (a, b) reach."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        was = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        np.minimum.at(label, was[a], low)
+        np.minimum.at(label, was[b], low)
+        label = label[label]
+        if (label == was).all():
+            break
+    return label
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, component) of a small graph (u, v)."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            ends = pa.concat_arrays([table.column(c).combine_chunks() for c in "uv"])
+            names, code = np.unique(ends.to_numpy(zero_copy_only=False), return_inverse=True)
+            label = smallest_reached(len(names), code[: table.num_rows], code[table.num_rows :])
+            yield pa.RecordBatch.from_arrays([pa.array(names, ends.type), pa.array(names[label], ends.type)], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(settle, f"node {kind}, component {kind}")
 
 
 def connected_components(edges: DataFrame, materialize: Callable[[DataFrame], DataFrame] = materialize, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -25,7 +61,10 @@ def connected_components(edges: DataFrame, materialize: Callable[[DataFrame], Da
     Loops, repeated and reversed edges are allowed, edges with a null end are ignored. A node that has
     only a loop is its own component. An empty table gives no rows. Raises if MOST_ROUNDS don't suffice.
     """
-    known = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    known = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct()
+    known = materialize(known)
+    if known.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return _in_one_task(known)
     loops = known.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = materialize(known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
