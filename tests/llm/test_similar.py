@@ -75,7 +75,7 @@ def edited(words, n, rng):
 
 @pytest.mark.parametrize("members", [1024, 48])
 def test_planted_copies(spark, monkeypatch, members):
-    """Small edits are found, also where patterns are dealt in pieces; texts below the similarity stay apart."""
+    """Small edits are found, also where nodes are dealt in pieces; texts below the similarity stay apart."""
     monkeypatch.setattr(similar, "NODE_MEMBERS", members)
     rng = random.Random(7)
     rows = []
@@ -118,7 +118,7 @@ def lost(rows, got):
 def test_pieces_of_hot_patterns_meet(spark, monkeypatch):
     """Pairs above the similarity in a family of one template mostly below it, with patterns and prefix shingles dealt in pieces."""
     monkeypatch.setattr(similar, "NODE_MEMBERS", 32)
-    monkeypatch.setattr(similar, "PIECE", 16, raising=False)
+    monkeypatch.setattr(similar, "FAMILY_SHINGLES", 4000)
     rng = random.Random(3)
     base = [f"t{k}" for k in range(300)]
     rows = []

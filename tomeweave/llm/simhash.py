@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tomeweave.llm._session import materialize
 from tomeweave.llm._text import LOWER, col, raw_bytes, sliced, split_words
 from tomeweave.operators.cluster import connected_components
+from tomeweave.operators.cluster import smallest_reached as stars_of
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: A top node with more members is filed anew under the parts of its free bits.
@@ -125,22 +126,6 @@ class GrayIndex:
         return q[near], node[near]
 
 
-def stars_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of ``n`` positions the smallest that the links (a, b) reach."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        was = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, was[a], low)
-        np.minimum.at(label, was[b], low)
-        label = label[label]
-        if (label == was).all():
-            break
-    return label
-
-
 def stars(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Edges (value, its star's centre) that connect exactly what links within ``distance`` connect."""
     index = GrayIndex(values)

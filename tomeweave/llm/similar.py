@@ -1,21 +1,24 @@
-"""Near-duplicates by similarity: wide SimHash fingerprints under masked bit patterns.
+"""Near-duplicates by similarity: wide SimHash fingerprints under a Gray-order hierarchical index, then an exact check.
 
 A 64-bit fingerprint can't be searched at the distance that a Jaccard similarity of 0.8 stands for (about ten bits), so
 texts get BITS bits over their distinct shingles: two sets of similarity J differ in about acos(2J / (1 + J)) / pi of them.
-Pairs at up to about the expected number are candidates; each member's closest
-is held against the whole shingle sets. Only equal shingle sets link without that.
-
-Fingerprints only spare work: what they leave apart is met by an exact join. If two sets reach the similarity, the first of
-their common shingles, in any fixed order, is among the first n - ceil(similarity * n) + 1 of either (its prefix). Texts of
-different components that share a prefix shingle are compared unless sizes, places or parity bits exclude the similarity
-for certain, and all that remain are held against their whole shingle sets.
-
-Each distinct fingerprint is filed under several masked bit patterns (bands), so many that a pair at the similarity asked
-for agrees on one of them with probability RECALL. Below a pattern, members stand in Gray order and differences are added
-up over groups of words; a pair is left out once they exceed the limit. A pattern with more than NODE_MEMBERS members is
-dealt in salted pieces, each of which also gets about NODE_MEMBERS / 2 pivots of the whole pattern: members linked to a pivot are
-done there, the others are filed anew under four more bits. So no task meets an unbounded pattern, and
-a group of copies, however large, hangs together by its pivots.
+The index goes from loose links to exact ones:
+
+1. Equal shingle sets are alike. Of the others, each fingerprint is filed under BANDS masked bit patterns, the top nodes
+   of the index. Below a node, fingerprints stand in Gray order and runs of FAN_OUT neighbours form inner nodes that hold
+   the bits all their members share; a search adds up the differences to them, word by word, and leaves out whole
+   runs once they exceed the limit. What is left are loose links. Each member's closest is held against the
+   shingle sets: the sure links.
+2. Patterns may part a pair, so top nodes of another kind cover all pairs: if two sets reach the similarity, the first of
+   their common shingles, in any fixed order, is among the first n - ceil(similarity * n) + 1 of either (its prefix).
+   Each prefix shingle that texts of different loose families have is a top node; those that the same texts
+   have are one. Below it the same index is searched, for small sets by parity bits, and gives more loose links.
+   Only certain bounds leave a pair out: sizes, places, parity bits, and SURE_SDS standard deviations of the fingerprints.
+3. So a pair that reaches the similarity lies in one loose family. In each family all pairs of texts that sure links
+   leave apart are held against their whole shingle sets. No link is lost and none is unverified.
+
+A node or family with too many members is dealt in pieces: its largest connected part meets the others piece by piece, the
+others meet each other, and no task holds more than a bounded number. Links leave a task as a star for each group.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.llm._session import materialize
@@ -35,17 +38,18 @@ from tomeweave.operators.cluster import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS = 1024
-#: Probability that a pair at exactly the similarity shares a pattern.
-RECALL = 0.97
-#: Bits of a pattern: at least so many, and for more documents as many as leave 2**8 unrelated ones under each.
-LEAST_MASK, SPARE = 11, 8
-NODE_MEMBERS = 1024
-#: Words compared before pairs beyond the limit are left out, and bits added to a pattern that is filed anew.
-FIRST_WORDS, MORE_BITS = 6, 4
+#: Masked patterns of a fingerprint, and bits of one: as many as part all but 2**-SPARE unrelated members, and so many more.
+BANDS, SPARE = 16, 3
+#: Members of a pattern or prefix shingle in a piece, shingles of a family in a piece, members of an inner node.
+NODE_MEMBERS, FAMILY_SHINGLES, FAN_OUT = 2048, 1 << 20, 16
+#: Words compared at a time.
+WORDS_AT_ONCE = 4
+#: Standard deviations beyond the expected distance that leave a pair out, for sets of LEAST_SIZE shingles or more.
+SURE_SDS, LEAST_SIZE = 6, 32
 #: Frequent shingles come last in the order: those of so many documents' sample, at most so many. Any order is exact.
 SAMPLE_DOCS, FREQUENT = 8192, 1 << 16
-#: Parity bits of a shingle set, members of a prefix shingle in a piece, and prefix shingles that are broadcast at most.
-PARITY, PIECE, BROADCAST = 512, 4096, 1 << 20
+#: Parity bits of a shingle set, and prefix shingles that are broadcast at most.
+PARITY, BROADCAST = 512, 1 << 20
 
 _WIDTH = BITS // 64
 _ONES = np.uint64(0x0101010101010101)
@@ -58,22 +62,18 @@ def share_of(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def limits_of(similarity: float) -> tuple[int, int]:
-    """Most differing bits of a sure link, and of a candidate: 1.5 standard deviations below, 2 above the expected number."""
+def limit_of(similarity: float) -> int:
+    """Most differing bits of a pair that is looked at."""
     p = share_of(similarity)
-    sd = math.sqrt(BITS * p * (1 - p))
-    return round(BITS * p - 1.5 * sd), round(BITS * p + 2 * sd)
+    return round(BITS * p + SURE_SDS * math.sqrt(BITS * p * (1 - p)))
 
 
-def bands_of(n: int, similarity: float) -> list[list[int]]:
-    """For each band the bits of its pattern, followed by those to add if a pattern has too many members."""
-    mask = max(LEAST_MASK, math.ceil(math.log2(max(n, 2))) - SPARE)
-    n_bands = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share_of(similarity)) ** mask))
+def bands_of(n: int) -> list[np.ndarray]:
+    """For each band the bits of its pattern, for ``n`` fingerprints. More of them take more bits and not more bands."""
+    mask = math.ceil(math.log2(max(n, 2))) + SPARE
     order = np.random.default_rng(SEED + 1)
-    bits: list[int] = []
-    while len(bits) < n_bands * mask:
-        bits += order.permutation(BITS).tolist()
-    return [[mask] + list(dict.fromkeys(bits[b * mask : (b + 1) * mask] + order.permutation(BITS).tolist())) for b in range(n_bands)]
+    bits = np.concatenate([order.permutation(BITS) for _ in range(-(-BANDS * mask // BITS))])
+    return [bits[b * mask : (b + 1) * mask] for b in range(BANDS)]
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -203,40 +203,73 @@ def _matrix(fps: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(len(fps), _WIDTH)
 
 
-def near_pairs(v: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, differing bits) of positions of rows that differ in at most ``limit`` bits."""
-    found = []
-    for at in range(0, len(v), 64):
-        q, m = v[at : at + 64], v[: at + 64]
-        first = np.zeros((len(q), len(m)), np.uint16)
-        for w in range(FIRST_WORDS):
-            first += np.bitwise_count(q[:, w, None] ^ m[None, :, w])
-        i, j = np.nonzero(first <= limit)
-        keep = j < i + at
-        i, j = i[keep], j[keep]
-        d = first[i, j] + np.bitwise_count(q[i, FIRST_WORDS:] ^ m[j, FIRST_WORDS:]).sum(axis=1, dtype=np.uint16)
-        near = d <= limit
-        found.append((i[near] + at, j[near], d[near]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-
-
-def candidates(label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) between different labels to check: each member's closest, and a forest of closest pairs."""
-    open_ = np.flatnonzero(label[i] != label[j])
-    open_ = open_[np.argsort(d[open_], kind="stable")]
-    chosen = [open_[np.unique(x[open_], return_index=True)[1]] for x in (i, j)]
-    while len(open_):
-        new = np.concatenate([open_[np.unique(label[x[open_]], return_index=True)[1]] for x in (i, j)])
-        chosen.append(new)
-        label = stars_of(len(label), np.concatenate([i[new], np.arange(len(label))]), np.concatenate([j[new], label]))
-        open_ = open_[label[i[open_]] != label[j[open_]]]
-    return np.unique(np.concatenate(chosen))
-
-
-def _file(nodes: DataFrame, bands: list[list[int]], more: int) -> DataFrame:
-    """``nodes`` (node, fp, path or none) under the pattern of their band, or of every band: node, fp, path, pattern."""
-    picks = [np.array(b[1 : 1 + min(BITS, b[0] + more)]) for b in bands]
-    every = "path" not in nodes.columns
+class WideGrayIndex:
+    """Wide fingerprints in Gray order of their first word, under inner nodes of the bits that neighbours share."""
+
+    def __init__(self, values: np.ndarray):
+        self.order = np.argsort(gray_rank(values[:, 0]), kind="stable")
+        self.values = values[self.order]
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (mask of shared bits, their pattern), lowest first
+        both = any_ = self.values
+        while len(both) > FAN_OUT:
+            at = np.arange(0, len(both), FAN_OUT)
+            both, any_ = np.bitwise_and.reduceat(both, at, axis=0), np.bitwise_or.reduceat(any_, at, axis=0)
+            self.levels.append((~(both ^ any_), both))
+
+    @staticmethod
+    def _within(q: np.ndarray, at: np.ndarray, pattern: np.ndarray, node: np.ndarray, mask: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs (at, node) whose differences, added up over the words, don't exceed the limit, and the differences."""
+        sums = np.zeros(len(at), np.uint16)
+        for w in range(0, q.shape[1], WORDS_AT_ONCE):
+            words = slice(w, w + WORDS_AT_ONCE)
+            differ = q[at, words] ^ pattern[node, words]
+            sums += np.bitwise_count(differ if mask is None else differ & mask[node, words]).sum(axis=1, dtype=np.uint16)
+            near = sums <= limit
+            at, node, sums = at[near], node[near], sums[near]
+        return at, node, sums
+
+    def pairs(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(later, earlier, differing bits) of positions in Gray order, of all pairs within the limit."""
+        top = self.levels[-1][0] if self.levels else self.values
+        for begin in range(0, len(self.values), 64):
+            q = self.values[begin : begin + 64]
+            at, node = np.repeat(np.arange(len(q)), len(top)), np.tile(np.arange(len(top)), len(q))
+            for level in range(len(self.levels) - 1, -1, -1):
+                first = FAN_OUT ** (level + 1) * node <= begin + at  # a run that begins later holds no earlier member
+                at, node = at[first], node[first]
+                mask, pattern = self.levels[level]
+                at, node, _ = self._within(q, at, pattern, node, mask, limit)
+                below = len(self.levels[level - 1][0]) if level else len(self.values)
+                at, node = np.repeat(at, FAN_OUT), (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
+                at, node = at[node < below], node[node < below]
+            earlier = node < begin + at
+            at, node, bits = self._within(q, at[earlier], self.values, node[earlier], None, limit)
+            yield begin + at, node, bits
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows sorted by whole-number ``keys``, those of equal keys together."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([col(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys], axis=1)
+        cuts = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(k)], strict=True):
+            if held and tuple(k[a]) != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = tuple(k[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pattern_links(known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Loose links (src, dst, bits) between the nodes of ``known`` (node, fp): of each member, below each pattern, the closest
+    that stands before it, and others that connect what is connected."""
+    bands, limit = bands_of(known.count()), limit_of(similarity)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -244,112 +277,41 @@ def _file(nodes: DataFrame, bands: list[list[int]], more: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                node, fp = col(part, "node"), col(part, "fp")
-                bits = np.unpackbits(_matrix(fp).view(np.uint8), axis=1, bitorder="little")
-                path = None if every else col(part, "path").to_numpy()
-                for b, pick in enumerate(picks):
-                    rows = np.arange(len(bits)) if path is None else np.flatnonzero(path == b)
-                    if len(rows):
-                        packed = np.packbits(bits[rows][:, pick], axis=1)
-                        pattern = np.fromiter((xxhash.xxh64_intdigest(p.tobytes(), b) for p in packed), np.uint64, len(rows)).view(np.int64)
-                        take = pa.array(rows)
-                        yield pa.RecordBatch.from_arrays([node.take(take), fp.take(take), pa.array(np.full(len(rows), b, np.int32)), pa.array(pattern)], ["node", "fp", "path", "pattern"])
-
-    return nodes.mapInArrow(file, "node bigint, fp binary, path int, pattern bigint")
-
-
-def _search(filed: DataFrame, limit: int) -> DataFrame:
-    """Below each (path, pattern, salt): candidates (src, dst, bits), and as (src, null, null, path, fp) members that no pivot reaches.
-
-    The latter only where there are pivots.
-    """
+                bits = np.unpackbits(_matrix(col(part, "fp")).view(np.uint8), axis=1, bitorder="little")
+                for b, pick in enumerate(bands):
+                    packed = np.packbits(bits[:, pick], axis=1)
+                    pattern = np.fromiter((xxhash.xxh64_intdigest(p.tobytes(), b) for p in packed), np.uint64, len(packed)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([col(part, "node"), pa.array(pattern)], ["node", "pattern"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.stack([col(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("path", "pattern", "salt")], axis=1)
-            cuts = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
-            for a, b in zip([0, *cuts], [*cuts, len(k)], strict=True):
-                if tuple(k[a]) != key:
-                    if held:
-                        yield from below(held)
-                    held, key = [], tuple(k[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from below(held)
-
-    def below(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(b.num_rows for b in held)
-        if n < 2:
-            if n and not held[0].column(5)[0].as_py() and held[0].column(6)[0].as_py():
-                yield from rest(pa.Table.from_batches(held), np.array([0]))
-            return
-        table = pa.Table.from_batches(held)
-        fps = table.column("fp").combine_chunks()
-        v = _matrix(fps)
-        order = np.argsort(gray_rank(v[:, 0]), kind="stable")
-        node, pivot = table.column("node").to_numpy()[order], table.column("pivot").to_numpy()[order]
-        i, j, d = near_pairs(v[order], limit)
-        check = candidates(np.arange(len(v)), i, j, d)
-        if len(check):
-            yield _rows(node[i[check]], node[j[check]], d[check])
-        if table.column("hot")[0].as_py():
-            label = stars_of(len(v), i, j)
-            reached = np.zeros(len(v), bool)
-            reached[label[pivot]] = True
-            yield from rest(table, order[~reached[label]])
-
-    def rest(table: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(at):
-            t = table.take(pa.array(at)).combine_chunks()
-            yield _rows(t.column("node").to_numpy(), None, None, t.column("path"), t.column("fp"))
-
-    def _rows(src, dst, bits, path=None, fp=None) -> pa.RecordBatch:
-        n = len(src)
-        made = [
-            pa.array(src),
-            pa.nulls(n, pa.int64()) if dst is None else pa.array(dst),
-            pa.nulls(n, pa.int32()) if dst is None else pa.array(bits.astype(np.int32)),
-            pa.nulls(n, pa.int32()) if path is None else path.combine_chunks(),
-            pa.nulls(n, pa.binary()) if fp is None else fp.combine_chunks(),
-        ]
-        return pa.RecordBatch.from_arrays(made, ["src", "dst", "bits", "path", "fp"])
-
-    return (
-        filed.repartition("path", "pattern", "salt")
-        .sortWithinPartitions("path", "pattern", "salt")
-        .select("node", "fp", "path", "pattern", "salt", "pivot", "hot")
-        .mapInArrow(search, "src bigint, dst bigint, bits int, path int, fp binary")
-    )
+        for table in _nodes(batches, ("pattern", "piece")):
+            if table.num_rows > 1:
+                index = WideGrayIndex(_matrix(table.column("fp")))
+                i, j, d = (np.concatenate(x) for x in zip(*index.pairs(limit), strict=True))
+                if len(i):
+                    kept = candidates(np.arange(table.num_rows), i, j, d)
+                    node = table.column("node").to_numpy()[index.order]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i[kept]]), pa.array(node[j[kept]]), pa.array(d[kept].astype(np.int32))], ["src", "dst", "bits"])
+
+    # only patterns and numbers are shuffled for all; fingerprints go where a pattern has several members
+    filed = known.mapInArrow(file, "node bigint, pattern bigint")
+    several = filed.groupBy("pattern").count().where("count > 1")
+    piece = F.pmod(F.xxhash64("node", "pattern"), F.ceil(F.col("count") / NODE_MEMBERS)).cast("int")
+    shared = filed.join(several, "pattern").select("node", "pattern", piece.alias("piece"))
+    rows = shared.join(known, "node").select("node", "pattern", "piece", "fp")
+    return rows.repartition("pattern", "piece").sortWithinPartitions("pattern", "piece").mapInArrow(search, "src bigint, dst bigint, bits int")
 
 
-def similar_edges(known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Candidates (src, dst, bits) between the nodes of ``known`` (node, fp; distinct fingerprints)."""
-    (_, limit), bands = limits_of(similarity), bands_of(known.count(), similarity)
-    level, more, edges = _file(known, bands, 0), 0, None
-    while True:
-        sizes = level.groupBy("path", "pattern").count()
-        hot = materialize(sizes.where(F.col("count") > NODE_MEMBERS).select("path", "pattern", "count"))
-        any_hot = hot.limit(1).count() > 0
-        cold = level.join(hot, ["path", "pattern"], "left_anti") if any_hot else level
-        flat = cold.select("*", F.lit(0).alias("salt"), F.lit(False).alias("pivot"), F.lit(False).alias("hot"))
-        if any_hot:
-            members = level.join(hot, ["path", "pattern"])
-            pieces = F.ceil(F.col("count") / NODE_MEMBERS).cast("int")
-            drawn = F.pmod(F.xxhash64("fp", "path"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * (NODE_MEMBERS // 2) / F.col("count")
-            own = F.array(F.pmod(F.hash("fp", "path"), pieces))
-            dealt = members.select("node", "fp", "path", "pattern", drawn.alias("pivot"), F.explode(F.when(drawn, F.sequence(F.lit(0), pieces - 1)).otherwise(own)).alias("salt"))
-            flat = flat.unionByName(dealt.withColumn("hot", F.lit(True)))
-        found = materialize(_search(flat, limit))
-        new = found.where(F.col("dst").isNotNull()).select("src", "dst", "bits")
-        edges = new if edges is None else edges.unionByName(new)
-        if not any_hot:
-            return edges
-        more += MORE_BITS
-        level = _file(found.where(F.col("dst").isNull()).select(F.col("src").alias("node"), "fp", "path"), bands, more)
+def candidates(label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j): each member's closest, and a forest of closest pairs."""
+    open_ = np.argsort(d, kind="stable")
+    chosen = [open_[np.unique(x[open_], return_index=True)[1]] for x in (i, j)]
+    while len(open_):
+        new = np.concatenate([open_[np.unique(label[x[open_]], return_index=True)[1]] for x in (i, j)])
+        chosen.append(new)
+        label = stars_of(len(label), np.concatenate([i[new], np.arange(len(label))]), np.concatenate([j[new], label]))
+        open_ = open_[label[i[open_]] != label[j[open_]]]
+    return np.unique(np.concatenate(chosen))
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -375,97 +337,159 @@ def alike_enough(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: fl
     return pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst").distinct()
 
 
-def possible_pairs(n: np.ndarray, reach: np.ndarray, parity: np.ndarray, comp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions (i, j) of members of a prefix shingle, ``n`` ascending, that may reach the similarity, of different components, and asked.
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """``rows`` written out, and broadcast in a join if they are no more than BROADCAST."""
+    rows = materialize(rows)
+    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
+
 
-    A pair that reaches it is found below ``asked`` shingles at least: ``reach`` counts a text's shingles from the common one
-    on and falls along the order, so a pair is found below its first m common ones. Either the next one's reach is too small,
-    which leaves m + need - slack - 1 in common at most, or none in the prefixes follows, which leaves m + the larger text's rest.
+def _dealt(rows: DataFrame, key: str, part: str, size: Column, most: int) -> DataFrame:
+    """``rows`` with cell, a copy for each cell of its ``key``, and own, its piece: every two rows of different ``part`` meet in a cell.
+
+    A key of at most ``most`` in size is one cell. In others the largest part is cut in pieces that meet only those of the
+    other parts; pieces of the others meet each other too.
+    """
+    by_part = rows.groupBy(key, part).agg(F.sum(size).alias("s"))
+    sums = by_part.groupBy(key).agg(F.sum("s").alias("s"), F.max(F.struct("s", part)).alias("largest")).where(F.col("s") > most)
+    sums = sums.select(key, F.col(f"largest.{part}").alias("major"), F.ceil(F.col("largest.s") / most).cast("int").alias("majors"), F.ceil((F.col("s") - F.col("largest.s")) / most).cast("int").alias("minors"))
+    dealt = rows.join(_looked_up(sums), key, "left")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col(part) == F.col("major"), F.col("majors")).otherwise(F.greatest(F.col("minors"), F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.col("minors") - 1)
+    # minors' pieces are numbered first; cells are pairs of pieces
+    cells = (
+        F.when(F.col("major").isNull(), F.array(F.lit(0).cast("bigint")))
+        .when(F.col(part) == F.col("major"), F.transform(others, lambda p: p.cast("bigint") * (1 << 31) + F.col("minors") + drawn))
+        .otherwise(
+            F.concat(
+                F.transform(others, lambda p: F.least(p, drawn).cast("bigint") * (1 << 31) + F.greatest(p, drawn)),
+                F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda p: drawn.cast("bigint") * (1 << 31) + F.col("minors") + p),
+            )
+        )
+    )
+    return dealt.where("major is null or minors > 0").withColumn("cell", F.explode(cells)).drop("major", "majors", "minors")
+
+
+def prefix_links(made: DataFrame, family: DataFrame, similarity: float) -> DataFrame:
+    """Loose links (src, dst) that, with those inside the families of ``family`` (doc_id, family), connect every pair that may
+    reach the similarity; ``made`` as of wide_fingerprints, without texts that are alike."""
+    least, limit = _millionths(similarity), limit_of(similarity)
+    base = made.select("doc_id", "n", "prefix").join(_looked_up(family), "doc_id", "left").select("doc_id", F.coalesce("family", "doc_id").alias("family"), "n", "prefix")
+    tokens = base.select("doc_id", "family", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("family").alias("a"), F.max("family").alias("b"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
+    mixed = _looked_up(tokens.where("a <> b").select("token", F.xxhash64("a", "b", "x").alias("node")))  # equal texts, equal node
+    rows = base.select("doc_id", "family", "n", F.posexplode("prefix").alias("at", "token")).join(mixed, "token")
+    rows = materialize(rows.groupBy("doc_id", "family", "n", "node").agg((F.col("n") - F.min("at")).alias("reach")))
+    dealt = _dealt(rows, "node", "family", F.lit(1), NODE_MEMBERS).join(made.select("doc_id", F.col("n").alias("size"), "fp", "parity"), "doc_id").where("n = size").drop("size")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _nodes(batches, ("node", "cell")):
+            family = table.column("family").to_numpy()
+            if (family == family[0]).all():
+                continue
+            n, reach = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "reach"))
+            parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(n), PARITY // 64)
+
+            def possible(i: np.ndarray, j: np.ndarray, family=family, n=n, reach=reach, parity=parity) -> tuple[np.ndarray, np.ndarray]:
+                need = -((-least * (n[i] + n[j])) // (1_000_000 + least))
+                fits = (family[i] != family[j]) & (np.minimum(reach[i], reach[j]) >= need)
+                i, j, need = i[fits], j[fits], need[fits]
+                fits = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need
+                return i[fits], j[fits]
+
+            found = []
+            large = np.flatnonzero(n >= LEAST_SIZE)
+            if len(large) > 1:
+                index = WideGrayIndex(_matrix(table.column("fp").take(pa.array(large))))
+                place = large[index.order]
+                found += [possible(place[i], place[j]) for i, j, _ in index.pairs(limit)]
+            order = np.argsort(n, kind="stable")
+            some = order[n[order] < LEAST_SIZE]
+            for k in range(len(some)):  # with all that are no smaller; at most so much larger
+                end = int(np.searchsorted(n[order], 1_000_000 * n[some[k]] // least, side="right"))
+                found.append(possible(np.full(end - k - 1, some[k]), order[k + 1 : end]))
+            if found and sum(len(i) for i, _ in found):
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                parts, own = np.unique(family, return_inverse=True)
+                label = stars_of(len(parts), own[i], own[j])
+                moved = np.flatnonzero(label != np.arange(len(parts)))
+                yield pa.RecordBatch.from_arrays([pa.array(parts[moved]), pa.array(parts[label[moved]])], ["src", "dst"])
+
+    return dealt.repartition("node", "cell").sortWithinPartitions("node", "cell").select("doc_id", "family", "n", "reach", "fp", "parity", "node", "cell").mapInArrow(search, "src bigint, dst bigint")
+
+
+def family_links(docs: DataFrame, family: DataFrame, sure: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (src, dst) between ``sure`` groups (doc_id, part): each is of two texts of one family that reach the similarity.
+
+    ``family`` has doc_id and family of all documents to compare. With the sure links they connect all such texts.
     """
-    for at in range(0, len(n), 256):
-        end = min(at + 256, len(n))
-        low = int(np.searchsorted(n, -((-least * n[at]) // 1_000_000)))
-        need = -((-least * (n[at:end, None] + n[None, low:end])) // (1_000_000 + least))
-        i, j = np.nonzero((np.minimum(reach[at:end, None], reach[None, low:end]) >= need - need // 32) & (comp[at:end, None] != comp[None, low:end]))
-        need = need[i, j]
-        i, j = i + at, j + low
-        keep = (j < i) & (n[j] >= need)
-        i, j, need = i[keep], j[keep], need[keep]
-        keep = np.concatenate([np.bitwise_count(parity[i[k : k + 65536]] ^ parity[j[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 65536)] or [np.zeros(0, np.int64)]) <= n[i] + n[j] - 2 * need
-        i, j, need = i[keep], j[keep], need[keep]
-        yield i, j, np.minimum(need // 32, need + (-least * n[i]) // 1_000_000) + 1
-
-
-def possible_links(made: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (src, dst) of documents in different components, all that may reach the similarity; ``made`` as of wide_fingerprints."""
     least = _millionths(similarity)
-    own = linked.select(F.col("node").alias("doc_id"), "component")
-    base = materialize(made.drop("fp").join(own, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "prefix", "parity"))
-    tokens = base.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("count"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-    mixed = materialize(tokens.where("a <> b").select("token", "count"))
-    if mixed.limit(BROADCAST + 1).count() <= BROADCAST:
-        mixed = F.broadcast(mixed)
-    rows = base.select("doc_id", "comp", "n", F.posexplode("prefix").alias("at", "token")).join(mixed, "token")
-    pieces = F.ceil(F.col("count") / PIECE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), pieces).cast("int")
-    # every two pieces of a frequent shingle meet
-    salts = F.transform(F.sequence(F.lit(0), pieces - 1), lambda p: F.least(p, own) * pieces + F.greatest(p, own))
-    dealt = rows.join(base.select("doc_id", "parity"), "doc_id").select("token", F.explode(salts).alias("salt"), "doc_id", "comp", "n", (F.col("n") - F.col("at")).alias("reach"), "parity")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
+    placed = family.join(sure, "doc_id", "left").select("doc_id", "family", F.coalesce("part", "doc_id").alias("part"))
+    mixed = placed.groupBy("family").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("family")
+    placed = materialize(placed.join(mixed, "family", "left_semi"))
+    sets = shingle_sets(docs.join(placed.select("doc_id"), "doc_id", "left_semi"), shingle)
+    rows = materialize(sets.join(placed, "doc_id").where(F.size("shingles") > 0))
+    sizes = rows.select("doc_id", "family", "part", F.size("shingles").alias("n"))
+    cells = _dealt(sizes, "family", "part", F.col("n"), FAMILY_SHINGLES).select("doc_id", "family", "cell", "n").distinct()
+    dealt = cells.join(rows, ["doc_id", "family"]).where(F.size("shingles") == F.col("n"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _nodes(batches, ("family", "cell")):
+            part = table.column("part").to_numpy()
+            if (part == part[0]).all():
                 continue
-            k = np.stack([col(batch, c).to_numpy().astype(np.int64) for c in ("token", "salt")], axis=1)
-            cuts = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
-            for a, b in zip([0, *cuts], [*cuts, len(k)], strict=True):
-                if tuple(k[a]) != key:
-                    yield from below(held)
-                    held, key = [], tuple(k[a])
-                held.append(batch.slice(a, b - a))
-        yield from below(held)
-
-    def below(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sum(b.num_rows for b in held) < 2:
-            return
-        table = pa.Table.from_batches(held)
-        doc, comp, n, reach = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "comp", "n", "reach"))
-        if (comp == comp[0]).all():
-            return
-        order = np.argsort(n, kind="stable")
-        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(n), PARITY // 64)
-        doc = doc[order]
-        for i, j, asked in possible_pairs(n[order], reach[order], parity[order], comp[order], least):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(asked)], ["src", "dst", "asked"])
-
-    met = dealt.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(compare, "src bigint, dst bigint, asked bigint")
-    return met.groupBy("src", "dst", "asked").count().where("count >= asked").select("src", "dst").distinct()
+            n = table.column("n").to_numpy().astype(np.int64)
+            order = np.argsort(n, kind="stable")
+            n, part = n[order], part[order]
+            lists = table.column("shingles").combine_chunks().take(pa.array(order))
+            names, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            bounds = np.concatenate(([0], np.cumsum(n)))
+            parts, label = np.unique(part, return_inverse=True)
+            group = np.arange(len(parts))  # of each part, merged as links are found
+            held = np.zeros(len(names), bool)
+            for k in range(1, len(n)):
+                low = int(np.searchsorted(n[:k], -((-least * n[k]) // 1_000_000)))
+                if low == k or (group[label[low:k]] == group[label[k]]).all():
+                    continue
+                own = flat[bounds[k] : bounds[k + 1]]
+                held[own] = True
+                both = np.add.reduceat(held[flat[bounds[low] : bounds[k]]], bounds[low:k] - bounds[low], dtype=np.int64)
+                held[own] = False
+                # in whole millionths, so that a similarity of just 0.8 is not lost to rounding
+                for other in np.unique(group[label[low:k][both * 1_000_000 >= least * (n[low:k] + n[k] - both)]]).tolist():
+                    group[group == other] = group[label[k]]
+            moved = np.flatnonzero(group != np.arange(len(parts)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(parts[moved]), pa.array(parts[group[moved]])], ["src", "dst"])
+
+    return dealt.select("doc_id", "family", "part", "n", "shingles", "cell").repartition("family", "cell").sortWithinPartitions("family", "cell").mapInArrow(verify, "src bigint, dst bigint")
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable by links) of every distinct non-null doc_id.
 
     Words as in ``simhash``; a text with fewer than ``shingle`` words has one shingle of all its words, and texts
-    without words (null, empty) are alike. Rows of one doc_id count as one document. Extra columns are not read.
+    without words (null, empty) are alike. Rows of one doc_id count as one document. Extra columns are not read, an
+    empty table gives no rows, and a text of any length is compared whole. Shingles are compared by 64-bit hashes.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     made = materialize(wide_fingerprints(docs, shingle, similarity))
     same = ["k1", "k2", "n"]
-    known = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
-    first = made.groupBy(*same).agg(F.min("doc_id").alias("dst"))
-    alike = made.join(first, same).where(F.col("doc_id") != F.col("dst")).select(F.col("doc_id").alias("src"), "dst").distinct()
-    # of each member the closest that stands before it; whatever else is linked meets by its prefix
-    found = similar_edges(known, similarity).groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))
-    check = materialize(found.select("src", "dst"))
-    sure = materialize(alike.unionByName(alike_enough(docs, check, shingle, similarity)))
-    linked = connected_components(sure, materialize)
-    check = materialize(possible_links(made, linked, similarity))
-    if check.limit(1).count():
-        sure = sure.unionByName(alike_enough(docs, check, shingle, similarity))
-        linked = connected_components(materialize(sure), materialize)
+    repeated = _looked_up(made.groupBy(*same).agg(F.min("doc_id").alias("dst"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    repeats = materialize(made.select("doc_id", *same).join(repeated, same).where("doc_id <> dst").distinct())
+    alike = repeats.select(F.col("doc_id").alias("src"), "dst")
+    single = made.where("n > 0").join(_looked_up(repeats.drop("dst")), ["doc_id", *same], "left_anti")
+    found = materialize(pattern_links(single.where(F.col("n") >= LEAST_SIZE).select(F.col("doc_id").alias("node"), "fp"), similarity))
+    closest = materialize(found.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst")).where("src <> dst"))
+    sure = materialize(alike.unionByName(alike_enough(docs, closest, shingle, similarity)))
+    loose = found.select("src", "dst").unionByName(alike)
+    named = lambda linked, name: linked.select(F.col("node").alias("doc_id"), F.col("component").alias(name))
+    family = materialize(named(connected_components(loose, materialize), "family"))
+    more = materialize(prefix_links(single, family, similarity))
+    if more.limit(1).count():
+        family = materialize(named(connected_components(loose.unionByName(more), materialize), "family"))
+    part = materialize(named(connected_components(sure, materialize), "part"))
+    compared = family.join(_looked_up(repeats.select("doc_id").distinct()), "doc_id", "left_anti")  # one of each equal texts
+    links = sure.unionByName(family_links(docs, compared, part, shingle, similarity))
+    linked = connected_components(links, materialize)
     ids = made.select("doc_id").distinct()
     return ids.join(linked, ids["doc_id"] == linked["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
