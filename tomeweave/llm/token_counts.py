@@ -35,7 +35,7 @@ MARK = "▁"
 #: Added to the lowest piece score for a code point outside the vocabulary.
 UNKNOWN = -10.0
 #: Rounds of re-estimation, and pre-tokens a task counts before it sends them on.
-ROUNDS, COUNTED_AT_ONCE = 4, 1 << 18
+ROUNDS, COUNTED_AT_ONCE = 2, 1 << 17
 
 
 def pieces_of(path: str | None = None) -> list[str]:
@@ -166,17 +166,15 @@ def token_counts(docs: DataFrame, path: str | None = None, kept_words: int = 200
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TrieCounter(shared.value)
-        known: dict[bytes, int] = {}
-        for batch in sliced(batches, "text"):
+        known: dict[str, int] = {}
+        for batch in sliced(batches, "text", 12 << 20):
             words = split_words(*raw_bytes(col(batch, "text")))
             coded = words.array().dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
+            distinct = [MARK + w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()]
             if len(known) > kept_words:
                 known.clear()
-            new = {MARK + w.decode("utf-8", "replace"): w for w in distinct if w not in known}
-            ordered = sorted(new)
-            found = dict(zip(ordered, counter.counts(ordered), strict=True))
-            known.update((w, found[MARK + w.decode("utf-8", "replace")]) for w in distinct if w not in known)
+            new = sorted({w for w in distinct if w not in known})
+            known.update(zip(new, counter.counts(new), strict=True))
             each = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
             total = np.concatenate(([0], np.cumsum(each[coded.indices.to_numpy()])))
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array(np.diff(words.docs)), pa.array(np.diff(total[words.docs]))], ["doc_id", "n_pretokens", "n_tokens"])
