@@ -90,13 +90,53 @@ def test_toxicity(spark, odd, none, table):
 def test_machine():
     m = toxicity.Machine()
     insult, target, negation, said, end, other = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORTED, toxicity.END, toxicity.OTHER
-    run = lambda *c: round(m.run(list(c), [1.0 if x == insult else 0.0 for x in c])[1], 4)
-    assert run(insult) == 1 and run(target, insult) == 1.25 and run(negation, insult) == 0.5 and run(said, insult) == 0.7
-    assert run(negation, other, other, other, insult) == 1 and run(target, end, insult) == 1
-    assert run(said, target, negation, insult) == round(1.25 * 0.5 * 0.7, 4)
+    threat, intent, head, link = toxicity.THREAT, toxicity.INTENT, toxicity.HEAD, toxicity.LINK
+    run = lambda *c: round(m.run(list(c), [1.0 if x in (insult, threat) else 0.0 for x in c])[1], 4)
+    assert run(insult) == 1 and run(target, insult) == run(insult, other, target) == 1.25 and run(negation, insult) == 0.5 and run(said, insult) == 0.7
+    assert run(negation, other, other, other, insult) == 1 and run(target, end, insult) == run(insult, end, target) == 1
+    assert run(said, target, negation, insult) == round(1.25 * 0.5 * 0.7, 4) and run(target, insult, target) == 1.25
+    assert run(head, link, link, insult) == 1.3 and run(head, insult) == run(link, insult) == run(head, link, end, insult) == 1
+    assert run(intent, other, threat) == 2 and run(threat) == run(intent, other, other, other, other, threat) == 1 and run(intent, negation, threat) == 1
     assert m.run([insult, insult, end, insult], [1, 1, 0, 1]) == (2, 3, 3)
 
 
+def test_composed_machine_is_the_layers_one_after_another():
+    rng = np.random.default_rng(3)
+    layers = list(toxicity.LAYERS.values())
+    m = toxicity.Machine()
+    for _ in range(300):
+        read = rng.integers(0, toxicity.HIT, rng.integers(0, 40)).tolist()
+        weights = rng.random(len(read)).tolist()
+        now, gain, factor = list(read), [1.0] * len(read), [1.0] * len(read)
+        for layer in layers:  # each reads the whole text that the one before has written
+            state, written = 0, []
+            for k, c in enumerate(now):
+                gain[k] *= layer.gain[state, c]
+                factor[k] *= layer.clause[state, c]
+                written.append(int(layer.out[state, c]))
+                state = int(layer.next[state, c])
+            now = written
+        clauses, clause, whole = [], 0.0, 1.0
+        for k, c in enumerate([*now, toxicity.END]):
+            if k < len(now):
+                whole *= factor[k]
+                clause += gain[k] * weights[k] if c == toxicity.HIT else 0.0
+            if c == toxicity.END:
+                clauses.append(clause * whole)
+                clause, whole = 0.0, 1.0
+        best, total, hits = m.run(read, weights)
+        assert abs(best - max(clauses)) < 1e-9 and abs(total - sum(clauses)) < 1e-9 and hits == now.count(toxicity.HIT)
+
+
+def test_clause_ends():
+    import pyarrow as pa
+
+    g = toxicity.Grammar({"idiot": 1.0}, {}, np.zeros(4))
+    texts = ["you tue. idiot", "you tué. idiot", "you 2020. idiot", "you\nidiot", "you tué\nidiot", "you 12\n13 idiot", 'you "so." idiot', "you 3.5 idiot", "you, idiot", "idiot, you", "idiot.\nyou"]
+    x = toxicity._features(pa.record_batch([pa.array(texts)], ["text"]), g, toxicity.Machine())
+    assert x[:, 0].tolist() == [1.0] * 7 + [1.25] * 3 + [1.0]
+
+
 def brute_quality(text):
     text = text or ""
     words = WORDS.findall(text)
@@ -227,5 +267,5 @@ def test_insults_beside_other_marks():
     x = toxicity._features(pa.record_batch([pa.array(texts)], ["text"]), g, toxicity.Machine())
     assert x[:, 0].tolist() == [1.0] * len(texts)
     sizes, kinds, _ = toxicity._classes(["3.5".encode(), b"...", b"don't", "ja…nein".encode()], g)
-    E, O = toxicity.END, toxicity.OTHER
-    assert sizes.tolist() == [1, 1, 2, 3] and kinds.tolist() == [O, E, O, O, O, E, O]
+    E, N, O = toxicity.END, toxicity.NEGATION, toxicity.OTHER
+    assert sizes.tolist() == [1, 1, 2, 3] and kinds.tolist() == [O, E, N, O, O, E, O]

@@ -1,25 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A chain of transducers over the words of a clause:
+A text is a sequence of clauses, a clause a sequence of words, and a lexicon turns each word into a class (and insults and
+threats into a weight). Five transducers then read a clause one after the other; each is data (states, rules) and rewrites
+classes, scales the hits it reads or the whole clause:
 
-  words -> classes    insult, threat, target, negation, reported speech, clause end or other, with a
-                      weight for insults (learned) and threats
-  target              a hit in a clause that names a person counts more
-  negation            a hit up to NEGATED words after a negation counts less
-  reported speech     a hit after a verb of saying counts less
+  insult          insults are hits; more after a head and its links ("piece of ...")
+  threat          words of violence are hits; more within INTENDED words after an intent ("will ...")
+  target          a clause that names a person, before or after its hits, counts more
+  negation        a hit up to NEGATED words after a negation counts less
+  reported        a hit after a verb of saying counts less
 
-They are composed into one deterministic machine; its states are (target seen, words left under a
-negation, reported). A clause's score is the sum of the weights along its path. A document's score is
-a logistic function of its best clause, its sum and its hits for each word, so words out of place don't add up
-to a verdict by themselves.
+``compose`` makes one transducer of two, so the five are one machine and a text is read once. A clause's score is the sum of
+its scaled hits times its own factor. A document's score is a logistic function of its best clause, its sum and its hits for
+each word, so words out of place don't add up to a verdict by themselves.
 
 Insults are learned: words and word beginnings that labelled toxic rows have and others don't.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -40,51 +42,103 @@ FIT_ROWS = 6000
 #: large a share of the toxic rows has it, but so many rows at least.
 LEAST_SHARE, LEAST_ROWS = 0.985, {"word": (0.004, 3), "beginning": (0.015, 5)}
 BEGINNINGS = (4, 5, 6, 7)
-NEGATED = 3
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
+#: How far an intent and a negation reach, in words.
+INTENDED, NEGATED = 4, 3
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END, INTENT, HEAD, LINK, HIT = range(11)
 #: Words of the grammar in English, German, French and Spanish.
 WORDS = {
     THREAT: "kill hurt destroy burn beat töten umbringen vernichten tuer détruire frapper matar destruir quemar",
     TARGET: "you your he she they them people du dich dir ihr euch leute tu toi vous vos ils tú ustedes ellos gente",
-    NEGATION: "not no never without nicht kein keine nie ohne pas jamais sans nunca sin",
+    NEGATION: "not no never without don isn aren wasn weren won didn doesn nicht kein keine nie ohne ne pas jamais sans nunca sin",
     REPORTED: "said says called wrote quoted claimed sagte sagt nannte schrieb dit écrit appelé dijo dice llamó escribió",
+    INTENT: "will gonna shall ll werde wird vais va voy vamos",
+    HEAD: "piece pile bunch sack son stück haufen sohn tas bande fils pedazo montón hijo",
+    LINK: "of a an von einer de du une un una la",
+}
+#: Marks that end a clause (or begin the next), and closing marks that may follow them.
+CLAUSE_ENDS, CLOSING = ".;:!?…¡¿", "\"')]»“”’"
+#: Stands for a line's end, which ends a clause too.
+_LINE_END = 0x1E
+THREAT_WEIGHT, INTENT_GAIN, PHRASE_GAIN, TARGET_GAIN, NEGATION_LOSS, REPORTED_LOSS = 0.5, 2.0, 1.3, 1.25, 0.5, 0.7
+
+
+class Transducer(NamedTuple):
+    """A complete deterministic transducer over the classes, by state and class read; it starts in state 0."""
+
+    next: np.ndarray
+    out: np.ndarray  # the class written
+    gain: np.ndarray  # factor on a hit that is read or made here
+    clause: np.ndarray  # factor on the whole clause
+
+
+def transducer(states: int, falls: dict[int, int], rules: dict[tuple[int, int], tuple]) -> Transducer:
+    """``rules``: (state, class) to (next state, class written, gain, factor on the clause), later ones optional.
+
+    Where no rule holds, the class is passed on and the state falls to ``falls`` of it (0 by default). A clause's end
+    leads back to state 0.
+    """
+    every = np.tile(np.arange(HIT + 1), (states, 1))
+    made = Transducer(np.array([[falls.get(q, 0)] * (HIT + 1) for q in range(states)]), every.copy(), np.ones(every.shape), np.ones(every.shape))
+    made.next[:, END] = 0
+    for (state, read), (to, *more) in rules.items():
+        made.next[state, read] = to
+        for table, value in zip(made[1:], more, strict=False):
+            table[state, read] = value
+    return made
+
+
+def compose(first: Transducer, then: Transducer) -> Transducer:
+    """The transducer that does what ``then`` does with what ``first`` writes; states are the pairs that can be reached."""
+    place, queue = {(0, 0): 0}, [(0, 0)]
+    rows: list[list[tuple]] = []
+    for a, b in queue:  # grows meanwhile
+        row = []
+        for read in range(HIT + 1):
+            passed = int(first.out[a, read])
+            to = (int(first.next[a, read]), int(then.next[b, passed]))
+            if to not in place:
+                place[to] = len(queue)
+                queue.append(to)
+            row.append((place[to], int(then.out[b, passed]), first.gain[a, read] * then.gain[b, passed], first.clause[a, read] * then.clause[b, passed]))
+        rows.append(row)
+    return Transducer(*(np.array([[x[k] for x in row] for row in rows]) for k in range(4)))
+
+
+#: The five layers in order of reading.
+LAYERS = {
+    "insult": transducer(3, {}, {(0, HEAD): (1,), (1, HEAD): (1,), (2, HEAD): (1,), (1, LINK): (2,), (2, LINK): (2,), (0, INSULT): (0, HIT), (1, INSULT): (0, HIT), (2, INSULT): (0, HIT, PHRASE_GAIN)}),
+    "threat": transducer(
+        INTENDED + 1,
+        {q: q - 1 for q in range(1, INTENDED + 1)},
+        {(q, INTENT): (INTENDED,) for q in range(INTENDED + 1)} | {(q, THREAT): (0, HIT, INTENT_GAIN if q else 1.0) for q in range(INTENDED + 1)},
+    ),
+    "target": transducer(2, {1: 1}, {(0, TARGET): (1, TARGET, 1.0, TARGET_GAIN)}),
+    "negation": transducer(
+        NEGATED + 1, {q: q - 1 for q in range(1, NEGATED + 1)}, {(q, HIT): (q - 1, HIT, NEGATION_LOSS) for q in range(1, NEGATED + 1)} | {(q, NEGATION): (NEGATED,) for q in range(NEGATED + 1)}
+    ),
+    "reported": transducer(2, {1: 1}, {(0, REPORTED): (1,), (1, HIT): (1, HIT, REPORTED_LOSS)}),
 }
-#: Marks that end a clause (or begin the next), and those that make up a word of marks.
-CLAUSE_ENDS, MARKS = ".;:!?…¡¿", ".,;:!?\"'()[]…¡¿«»‹›„“”‚‘’–—"
-THREAT_WEIGHT, TARGET_GAIN, NEGATION_LOSS, REPORTED_LOSS = 0.5, 1.25, 0.5, 0.7
 
 
 class Machine:
-    """The composed transducer: next state and weight factor by (state, class)."""
-
-    def __init__(self):
-        states = list(itertools.product((0, 1), range(NEGATED + 1), (0, 1)))
-        place = {s: i for i, s in enumerate(states)}
-        self.start = place[(0, 0, 0)]
-        self.next = np.zeros((len(states), 7), int)
-        self.factor = np.zeros((len(states), 7))
-        for (target, negated, reported), i in place.items():
-            for c in range(7):
-                if c == END:
-                    after = (0, 0, 0)
-                else:
-                    after = (int(target or c == TARGET), NEGATED if c == NEGATION else max(0, negated - 1), int(reported or c == REPORTED))
-                if c in (INSULT, THREAT):
-                    self.factor[i, c] = (TARGET_GAIN if target else 1) * (NEGATION_LOSS if negated else 1) * (REPORTED_LOSS if reported else 1)
-                self.next[i, c] = place[after]
-        self.table = [list(zip(a, b, strict=True)) for a, b in zip(self.next.tolist(), self.factor.tolist(), strict=True)]
+    """All layers as one transducer."""
+
+    def __init__(self, layers: Iterable[Transducer] = LAYERS.values()):
+        self.whole = functools.reduce(compose, layers)
+        self.table = [list(zip(*rows, strict=True)) for rows in zip(*(t.tolist() for t in self.whole), strict=True)]
 
     def run(self, classes: list[int], weights: list[float]) -> tuple[float, float, int]:
         """(best clause, sum, hits) of a text."""
-        state, clause, best, total, hits = self.start, 0.0, 0.0, 0.0, 0
+        state, clause, factor, best, total, hits = 0, 0.0, 1.0, 0.0, 0.0, 0
         for c, w in zip(classes, weights, strict=True):
-            state, factor = self.table[state][c]
-            if factor:
-                clause += factor * w
+            state, out, gain, whole = self.table[state][c]
+            factor *= whole
+            if out == HIT:
+                clause += gain * w
                 hits += 1
             elif c == END:
-                best, total, clause = max(best, clause), total + clause, 0.0
-        return max(best, clause), total + clause, hits
+                best, total, clause, factor = max(best, clause * factor), total + clause * factor, 0.0, 1.0
+        return max(best, clause * factor), total + clause * factor, hits
 
 
 class Grammar(NamedTuple):
@@ -105,9 +159,10 @@ def _classes(distinct: list[bytes], g: Grammar) -> tuple[np.ndarray, np.ndarray,
     for i, raw in enumerate(distinct):
         word, before = raw.decode("utf-8", "replace").lower(), len(classes)
         runs = [(True, word)] if word.isalpha() else [(k, "".join(r)) for k, r in itertools.groupby(word, str.isalpha)]
-        for letters, w in runs:
+        for k, (letters, w) in enumerate(runs):
             if not letters:
-                if any(x in w for x in CLAUSE_ENDS) and (len(runs) > 1 or not w.strip(MARKS)):
+                # a mark between digits (3.5) ends nothing; one at the end, or between letters, does
+                if (any(x in w for x in CLAUSE_ENDS) if k + 1 < len(runs) else w.rstrip(CLOSING)[-1:] in tuple(CLAUSE_ENDS)) or chr(_LINE_END) in w:
                     add(END)
             elif w in g.words:
                 add(INSULT, g.words[w])
@@ -125,7 +180,8 @@ def _classes(distinct: list[bytes], g: Grammar) -> tuple[np.ndarray, np.ndarray,
 
 def _features(batch: pa.RecordBatch, grammar: Grammar, machine: Machine) -> np.ndarray:
     data, offsets = raw_bytes(col(batch, "text"))
-    letter, mark = _LETTER[data], _MARK[data]
+    data = np.where(data == 0x0A, np.uint8(_LINE_END), data)
+    letter, mark = _LETTER[data], _MARK[data] | (data == _LINE_END)
     breaks = np.zeros(len(data), bool)
     breaks[1:] = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
     words = split_words(_LOWER[data], offsets, breaks)
