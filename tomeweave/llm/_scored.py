@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tomeweave.llm._session import bound_batches
 from tomeweave.llm._text import col, sliced
 
 
@@ -27,5 +28,6 @@ def with_columns(docs: DataFrame, added: StructType, make: Callable[[], Callable
         for batch in sliced(batches, "text", max_bytes):
             yield pa.RecordBatch.from_arrays([*(col(batch, n) for n in plain), *work(batch)], inner.fieldNames())
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(*(F.col(f"`{f.name}`").alias(n) for n, f in zip(plain, keep, strict=True)))
     return rows.mapInArrow(run, inner).toDF(*(f.name for f in keep), *added.fieldNames())

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tomeweave.plans.storage import materialize, work_dir
 
-__all__ = ["file_system", "materialize", "work_dir"]
+__all__ = ["file_system", "materialize", "texts", "work_dir"]
+
+#: Bytes of an Arrow batch between Spark and its Python workers. Rows are whole texts; Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
+_BOUND, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", (str(64 << 20), f"{64 << 20}b", "64m")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, unless it has a bound of its own."""
+    if spark.conf.get(_BOUND, None) in _SPARKS_OWN:
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``docs``, in batches of bounded size."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def file_system(uri: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -60,6 +61,15 @@ def split_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None
     return Words(np.ascontiguousarray(data[solid]), word_offsets, np.searchsorted(at, offsets))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a task's worker lives on and takes tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``max_bytes`` of text, a longer text alone."""
     for batch in batches:
@@ -70,6 +80,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:

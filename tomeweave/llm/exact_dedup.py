@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import materialize
+from tomeweave.llm._session import materialize, texts
 from tomeweave.llm._text import col, raw_bytes, sliced
 
 #: Chunk sizes in bytes. A text of up to LEAST is one chunk.
@@ -75,7 +75,7 @@ def recipes(docs: DataFrame) -> DataFrame:
             )
             uid += n
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return texts(docs).mapInArrow(cut, schema)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tomeweave.llm._session import materialize
+from tomeweave.llm._session import materialize, texts
 from tomeweave.llm._text import col, raw_bytes, sliced
 from tomeweave.llm._tokens import WordEncoder
 
@@ -109,7 +109,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer
             n = 7 if with_ids else 6
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows[:n], kinds[:n], strict=True)], names[:n])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return texts(docs).mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeweave.llm._session import texts
 from tomeweave.llm._text import col, raw_bytes, sliced, split_words
 
 WINDOW, LEAST_WORDS, MOST_REPEATED, SHORTEST = 8, 20, 30, 5
@@ -180,7 +181,7 @@ def measure(docs: DataFrame) -> DataFrame:
             columns = [np.diff(words.docs), np.diff(lead[at]), np.diff(marks[at]), doubled, *repeat_measures(code.astype(np.int64), words.docs)]
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), *(pa.array(np.asarray(c, np.int64)) for c in columns)], names)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 

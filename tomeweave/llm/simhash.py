@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import materialize
+from tomeweave.llm._session import materialize, texts
 from tomeweave.llm._text import LOWER, col, raw_bytes, sliced, split_words
 from tomeweave.operators.cluster import connected_components
 from tomeweave.operators.cluster import smallest_reached as stars_of
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = fingerprints_of(*raw_bytes(col(batch, "text")), shingle=shingle)
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id bigint, fp bigint")
+    return texts(docs).mapInArrow(read, "doc_id bigint, fp bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

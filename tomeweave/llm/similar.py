@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import materialize
-from tomeweave.llm._text import LOWER, col, raw_bytes, sliced, split_words
+from tomeweave.llm._session import materialize, texts
+from tomeweave.llm._text import LOWER, col, give_back, raw_bytes, sliced, split_words
 from tomeweave.llm.simhash import SEED, gray_rank, stars_of
 from tomeweave.operators.cluster import connected_components
 
@@ -160,7 +160,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, similarity: float
             made = [col(batch, "doc_id"), pa.array([f.tobytes() for f in found], pa.binary()), *digests, pa.array(n.astype(np.int32)), parts, pa.array([f.tobytes() for f in parity_of(hashes, bounds)], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "fp", "k1", "k2", "n", "prefix", "parity"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     return rows.mapInArrow(read, "doc_id bigint, fp binary, k1 bigint, k2 bigint, n int, prefix array<bigint>, parity binary")
 
 
@@ -264,6 +264,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def pattern_links(known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -322,7 +323,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             hashes, bounds = shingles_of(*raw_bytes(col(batch, "text")), shingle)
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id bigint, shingles array<bigint>")
+    return texts(docs).mapInArrow(read, "doc_id bigint, shingles array<bigint>")
 
 
 def alike_enough(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import file_system, materialize, work_dir
+from tomeweave.llm._session import file_system, materialize, texts, work_dir
 from tomeweave.llm._text import col, raw_bytes, sliced
 
 WINDOW, GRAM, SHALLOW = 100, 20, 24
@@ -396,7 +396,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     not read. Blocks stay in the shared folder, as the result is read from them.
     """
     root = work_dir(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     sent = rows.mapInArrow(_store(root), _SCHEMA)
     met = materialize(sent.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "block", "doc", "a").mapInArrow(_meet, _SCHEMA).select("kind", "key", "block", "doc", "a", "b", "doc_id"))
     fetched = met.where(F.col("kind") == _FETCH).repartition("block").sortWithinPartitions("block", "doc", "a").mapInArrow(_fetch(root), "key bigint, block bigint, doc int, a int, b int, doc_id bigint, bytes binary")

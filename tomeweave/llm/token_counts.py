@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import materialize
+from tomeweave.llm._session import materialize, texts
 from tomeweave.llm._text import col, raw_bytes, sliced, split_words
 
 MARK = "▁"
@@ -123,7 +123,7 @@ def pretoken_counts(docs: DataFrame) -> DataFrame:
     def _rows(held: dict[bytes, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([MARK + w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts(docs).select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit_scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> dict[str, float]:
@@ -179,5 +179,5 @@ def token_counts(docs: DataFrame, path: str | None = None, kept_words: int = 200
             total = np.concatenate(([0], np.cumsum(each[coded.indices.to_numpy()])))
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array(np.diff(words.docs)), pa.array(np.diff(total[words.docs]))], ["doc_id", "n_pretokens", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     return rows.mapInArrow(run, "doc_id bigint, n_pretokens bigint, n_tokens bigint")

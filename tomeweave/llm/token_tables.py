@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import file_system, materialize, work_dir
+from tomeweave.llm._session import file_system, materialize, texts, work_dir
 from tomeweave.llm._text import col, raw_bytes, sliced
 from tomeweave.llm._tokens import WordEncoder
 
@@ -188,7 +188,7 @@ def write_tables(docs: DataFrame, folder: str | None = None, end_id: int = 2, to
     spark = docs.sparkSession
     folder = folder or work_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
