@@ -176,17 +176,78 @@ def test_repeats_table(table):
     assert sorted(map(tuple, remove_repeats(table).collect())) == brute_repeats(rows)
 
 
-def test_equal_suffixes():
-    rng = np.random.default_rng(3)
-    flat = np.concatenate([rng.integers(97, 99, 300), np.tile(rng.integers(97, 120, 150), 3)]).astype(np.uint8)
-    at = np.arange(len(flat) - 100)
-    live, group = equal_suffixes(flat, at)
+def grouped_suffixes(rng, n_groups):
+    flat = np.concatenate([rng.integers(97, 99, 300), np.tile(rng.integers(97, 120, 150), 3), rng.integers(97, 98, 300)]).astype(np.uint8)
+    at = np.concatenate([rng.permutation(len(flat) - 100), rng.permutation(len(flat) - 100)])  # places occur twice
+    group = np.sort(rng.integers(0, n_groups, len(at)))
+    return flat, at, group
+
+
+@pytest.mark.parametrize("n_groups", [1, 7, 400])
+def test_equal_suffixes(n_groups):
+    flat, at, group = grouped_suffixes(np.random.default_rng(3), n_groups)
+    live, cls = equal_suffixes(flat, at, group)
     classes = {}
-    for i in at:
-        classes.setdefault(flat[i : i + 100].tobytes(), set()).add(int(i))
-    got = {frozenset(live[group == g].tolist()) for g in set(group.tolist())}
+    for k, (i, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True)):
+        classes.setdefault((g, flat[i : i + 100].tobytes()), set()).add(k)
+    got = {frozenset(live[cls == c].tolist()) for c in set(cls.tolist())}
     assert got == {frozenset(c) for c in classes.values() if len(c) > 1}
 
 
+@pytest.mark.parametrize("n_groups", [1, 7, 400])
+def test_shallow_sort_and_blind_tries(n_groups):
+    flat, at, group = grouped_suffixes(np.random.default_rng(5), n_groups)
+    live, new = suffix_dedup.shallow_sort(flat, at, group)
+    classes = {}
+    for k, (i, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True)):
+        classes.setdefault((g, flat[i : i + 24].tobytes()), set()).add(k)
+    assert {frozenset(live[new == c].tolist()) for c in set(new.tolist())} == {frozenset(c) for c in classes.values() if len(c) > 1}
+    first, seen = suffix_dedup.blind_tries(flat, at, group), {}
+    assert first.tolist() == [seen.setdefault((g, flat[i : i + 100].tobytes()), k) for k, (i, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True))]
+
+
+@pytest.mark.parametrize("most", [4096, 8, 1])
+def test_hot_anchor(spark, monkeypatch, most):
+    """A line too short for a window, in other surroundings each time, some of them equal; dealt down to single distances."""
+    monkeypatch.setattr(suffix_dedup, "MOST_ROWS", most)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    rng = random.Random(8)
+    line = "all rights reserved; see the licence for details"  # 48 bytes
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([20, 70])))
+    words = [word() for _ in range(6)]
+    rows = [(i, f"{rng.choice(words)} {line} {rng.choice(words) if rng.random() < 0.5 else word()}") for i in range(150)]
+    rows += [(1000 + i, line * 3) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).checkpoint()
+    assert sorted(map(tuple, remove_repeats(docs).collect())) == sorted(brute_repeats(rows))
+
+
+def test_many_surroundings_in_bounded_memory():
+    """10**5 rows of one anchor: dealt until no key has more than MOST_ROWS, then sorted; memory follows MOST_ROWS."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(4), 100_000
+    around = rng.integers(97, 123, (n, 180), dtype=np.uint8)
+    around[:, 80:100] = np.frombuffer(b"the same twenty byte", np.uint8)
+    around[n // 2 :, 60:180] = around[: n // 2, 60:180]  # half of them repeat 120 bytes of the others
+    fields = {"key": np.zeros(n, np.int64), "block": np.zeros(n, np.int64), "doc": np.arange(n, dtype=np.int32), "a": np.full(n, 80, np.int32), "b": np.full(n, 100, np.int32), "doc_id": np.arange(n), "lo": np.zeros(n, np.int32), "hi": np.full(n, 80, np.int32)}
+    rows = pa.table({**fields, "bytes": pa.array([x.tobytes() for x in around], pa.binary())})
+    covered = np.zeros(n, np.int64)
+    level = rows.to_batches(max_chunksize=10_000)
+    tracemalloc.start()
+    while level:
+        dealt = pa.Table.from_batches(suffix_dedup._deal(iter(level))).sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        sizes = dealt.group_by("key").aggregate([("doc_id", "count")])
+        hot = sizes.filter(pa.compute.greater(sizes.column("doc_id_count"), suffix_dedup.MOST_ROWS)).column("key").combine_chunks()
+        large = pa.compute.is_in(dealt.column("key"), value_set=hot)
+        for part in suffix_dedup._sort(iter(dealt.filter(pa.compute.invert(large)).to_batches(max_chunksize=10_000))):
+            np.add.at(covered, part.column(5).to_numpy(), part.column(7).to_numpy() - part.column(6).to_numpy())
+        level = dealt.filter(large).to_batches(max_chunksize=10_000)
+    assert tracemalloc.get_traced_memory()[1] < 600 << 20
+    tracemalloc.stop()
+    assert not covered[: n // 2].any() and (covered[n // 2 :] >= 120).all()
+
+
 def test_long_text_is_there():
     assert len(LONG) > 300_000

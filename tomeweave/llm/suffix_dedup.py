@@ -5,16 +5,19 @@ hash inside them, at the same place. So only suffixes around anchors with equal
 WINDOW-byte prefix:
 
 1. Each task stores its texts in compressed blocks in the shared folder and sends on one row per
-   anchor: hash of the anchor, hash of its surroundings (all WINDOW-byte strings that hold it), place.
+   anchor: hash of the anchor, digest of its surroundings (all WINDOW-byte strings that hold it), place.
    Of equal surroundings within a block only the first goes on; the others are repeats already.
 2. Rows meet by anchor. All but the first of equal surroundings are repeats in full. Where surroundings
-   differ, the first of each is fetched from its block.
-3. The suffixes that start in those surroundings are sorted: multikey quicksort over 8-byte symbols to
-   SHALLOW bytes, then a blind trie for the groups that are still equal, which looks only at symbols
-   where members differ. Suffixes equal over WINDOW bytes but the earliest are repeats.
+   differ, the first of each is fetched from its block. An anchor that has several surroundings in one block
+   is spread over tasks by them, and a mark tells its other rows; so a task gets a row or two for each block.
+3. The suffixes that start in those surroundings are sorted, those of one anchor and one distance to it
+   together: three-way multikey quicksort over 8-byte symbols to SHALLOW bytes, then a blind trie for each group
+   that is still equal. Suffixes equal over WINDOW bytes but the earliest are repeats. An anchor with more than
+   MOST_ROWS surroundings is dealt further by the bytes that all strings of a range of distances have in common,
+   halving the range each time, so no task holds more; at a single distance those are the strings themselves.
 4. Per block, spans are united and the rest of each text is hashed (or returned).
 
-Only equal surroundings are told by hash (128 bits); everything else compares bytes.
+Only equal surroundings are told by digest (128 bits besides the anchor); everything else compares bytes.
 """
 
 from __future__ import annotations
@@ -28,19 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.llm._session import file_system, materialize, texts, work_dir
-from tomeweave.llm._text import col, raw_bytes, sliced
+from tomeweave.llm._text import col, give_back, raw_bytes, sliced
 
 WINDOW, GRAM, SHALLOW = 100, 20, 24
 #: An anchor can stand at 0 to REACH bytes after the start of a WINDOW-byte string.
 REACH = WINDOW - GRAM
 BLOCK_BYTES = 4 << 20
-#: Suffixes sorted at once.
-SORTED_AT_ONCE = 1 << 20
+#: Suffixes sorted at once, and surroundings of one anchor that are sorted together.
+SORTED_AT_ONCE, MOST_ROWS = 1 << 20, 4096
 
-_ANCHOR, _COVER, _BLOCK, _FETCH = 1, 2, 3, 4
-_FIELDS = [("kind", pa.int8()), ("key", pa.int64()), ("ctx", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("doc_id", pa.int64())]
-_SCHEMA = "kind tinyint, key bigint, ctx bigint, block bigint, doc int, a int, b int, doc_id bigint"
-_NULL_ID = -(1 << 63)
+_ANCHOR, _COVER, _BLOCK, _FETCH, _SPREAD, _MARK = range(1, 7)
+_FIELDS = [("kind", pa.int8()), ("key", pa.int64()), ("ctx", pa.int64()), ("more", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("doc_id", pa.int64())]
+_SCHEMA = "kind tinyint, key bigint, ctx bigint, more bigint, block bigint, doc int, a int, b int, doc_id bigint"
+_NULL_ID, _U64 = -(1 << 63), (1 << 64) - 1
 
 
 def _gram_hashes(d: np.ndarray) -> np.ndarray:
@@ -79,9 +82,9 @@ def anchors(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _table(kind: int, key, ctx, block, doc, a, b, doc_id) -> pa.RecordBatch:
+def _table(kind, key, ctx, more, block, doc, a, b, doc_id) -> pa.RecordBatch:
     n = len(a)
-    values = [np.full(n, kind, np.int8), key, ctx, block, doc, a, b, doc_id]
+    values = [kind, key, ctx, more, block, doc, a, b, doc_id]
     full = [np.full(n, v) if np.isscalar(v) else np.asarray(v) for v in values]
     return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v).cast(t) for v, (_, t) in zip(full, _FIELDS, strict=True)], [f for f, _ in _FIELDS])
 
@@ -95,7 +98,7 @@ def _store(root: str):
         files, path = file_system(root)
         files.create_dir(path, recursive=True)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        digest, pack = xxhash.xxh3_64_intdigest, zstandard.ZstdCompressor(level=1).compress
+        digest, pack = xxhash.xxh3_128_digest, zstandard.ZstdCompressor(level=1).compress
         for k, batch in enumerate(sliced(batches, "text", BLOCK_BYTES)):
             block = part << 20 | k
             data, offsets = raw_bytes(col(batch, "text"))
@@ -107,26 +110,33 @@ def _store(root: str):
             with files.open_output_stream(f"{path}/.{block}-{attempt}") as out:
                 out.write(pack(head + whole))
             files.move(f"{path}/.{block}-{attempt}", f"{path}/{block}.block")
-            yield _table(_BLOCK, np.array([block * 0x9E3779B97F4A7C15 & (1 << 63) - 1]), 0, block, 0, np.array([0]), 0, 0)
+            yield _table(_BLOCK, np.array([block * 0x9E3779B97F4A7C15 & (1 << 63) - 1]), 0, 0, block, 0, np.array([0]), 0, 0)
             order = np.where(known, ids, _NULL_ID)
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             for d in np.flatnonzero(np.diff(offsets) >= WINDOW).tolist():
                 begin, end = int(offsets[d]), int(offsets[d + 1])
                 at, key = anchors(data[begin:end])
                 n = end - begin
-                ctx = np.fromiter((digest(whole[max(begin, begin + p - REACH) : min(end, begin + p + WINDOW)], min(p, REACH)) for p in at.tolist()), np.uint64, len(at))
-                for column, value in zip(cols, (key, ctx, np.full(len(at), d), at, np.minimum(WINDOW, n - at), np.full(len(at), order[d])), strict=True):
+                around = b"".join([digest(whole[max(begin, begin + p - REACH) : min(end, begin + p + WINDOW)], min(p, REACH)) for p in at.tolist()])
+                ctx, more = np.frombuffer(around, "<i8").reshape(-1, 2).T
+                for column, value in zip(cols, (key, ctx, more, np.full(len(at), d), at, np.minimum(WINDOW, n - at), np.full(len(at), order[d])), strict=True):
                     column.append(value)
             if not cols[0]:
                 continue
-            key, ctx, doc, a, b, doc_id = (np.concatenate(c) for c in cols)
-            sort = np.lexsort((a, doc, doc_id, ctx, key))
-            key, ctx, doc, a, b, doc_id = (x[sort] for x in (key, ctx, doc, a, b, doc_id))
+            key, ctx, more, doc, a, b, doc_id = (np.concatenate(c) for c in cols)
+            sort = np.lexsort((a, doc, doc_id, more, ctx, key))
+            key, ctx, more, doc, a, b, doc_id = (x[sort] for x in (key, ctx, more, doc, a, b, doc_id))
             first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])
-            yield _table(_ANCHOR, *(x if np.isscalar(x) else x[first] for x in (key, ctx, block, doc, a, b, doc_id)))
+            first[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]) | (more[1:] != more[:-1])
+            own = key[first]
+            kind = np.full(len(own), _ANCHOR, np.int8)
+            alike = own[1:] == own[:-1]
+            kind[1:][alike] = kind[:-1][alike] = _SPREAD
+            yield _table(kind, own, *(x if np.isscalar(x) else x[first] for x in (ctx, more, block, doc, a, b, doc_id)))
+            marked = np.unique(own[1:][alike])
+            yield _table(_MARK, marked, _NULL_ID, 0, block, 0, np.zeros(len(marked), np.int64), 0, 0)
             s = ~first
-            yield _table(_COVER, key[s] ^ np.uint64(block), 0, block, doc[s], *_span(a[s], b[s]), 0)
+            yield _table(_COVER, key[s] ^ np.uint64(block), 0, 0, block, doc[s], *_span(a[s], b[s]), 0)
 
     return run
 
@@ -137,29 +147,34 @@ def _span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, ctx, order: covers for repeats, fetches for the first of differing surroundings."""
-    last: tuple[int, int] | None = None  # key, ctx of the row before
+    """Rows sorted by key, ctx, more, order: covers for repeats, fetches for the first of differing surroundings.
+
+    A mark stands before the other rows of its key and makes them several.
+    """
+    last: tuple[int, int, int] | None = None  # key, ctx, more of the row before
     held: pa.RecordBatch | None = None  # the key's only representative so far, not yet sent
     held_key, sent = None, False  # sent: the key before has several, all sent
     for batch in batches:
         if not batch.num_rows:
             continue
         kind = col(batch, "kind").to_numpy()
-        if (kind != _ANCHOR).any():
-            yield batch.filter(pa.array(kind != _ANCHOR))
-            batch = batch.filter(pa.array(kind == _ANCHOR))
+        other = (kind == _COVER) | (kind == _BLOCK)
+        if other.any():
+            yield batch.filter(pa.array(other))
+            batch, kind = batch.filter(pa.array(~other)), kind[~other]
             if not batch.num_rows:
                 continue
-        key, ctx = col(batch, "key").to_numpy(), col(batch, "ctx").to_numpy()
+        key, ctx, more = (col(batch, c).to_numpy() for c in ("key", "ctx", "more"))
         first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])
-        if last == (key[0], ctx[0]):
+        first[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]) | (more[1:] != more[:-1])
+        if last == (key[0], ctx[0], more[0]):
             first[0] = False
-        last = (key[-1], ctx[-1])
-        if not first.all():
-            r = batch.filter(pa.array(~first))
+        last = (key[-1], ctx[-1], more[-1])
+        again = ~first & (kind != _MARK)
+        if again.any():
+            r = batch.filter(pa.array(again))
             start, end = _span(col(r, "a").to_numpy(), col(r, "b").to_numpy())
-            yield _table(_COVER, 0, 0, col(r, "block").to_numpy(), col(r, "doc").to_numpy(), start, end, 0)
+            yield _table(_COVER, 0, 0, 0, col(r, "block").to_numpy(), col(r, "doc").to_numpy(), start, end, 0)
         reps = batch.filter(pa.array(first))
         if not reps.num_rows:
             continue
@@ -167,15 +182,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None and held_key == key[0] and not sent:
             reps = pa.Table.from_batches([held, reps]).combine_chunks().to_batches()[0]
             key = col(reps, "key").to_numpy()
-        several = np.zeros(len(key), bool)
-        several[1:] = key[1:] == key[:-1]
+        kind = col(reps, "kind").to_numpy()
+        several = kind == _SPREAD
+        several[1:] |= key[1:] == key[:-1]
         several[:-1] |= key[1:] == key[:-1]
         if sent and held_key == key[0]:
             several |= key == key[0]
-        if several.any():
-            r = reps.filter(pa.array(several))
+        wanted = several & (kind != _MARK)
+        if wanted.any():
+            r = reps.filter(pa.array(wanted))
             yield r.set_column(0, "kind", pa.array(np.full(r.num_rows, _FETCH, np.int8)))
         held, held_key, sent = reps.slice(reps.num_rows - 1), key[-1], bool(several[-1])
+    give_back()
 
 
 class _Blocks:
@@ -219,66 +237,169 @@ def _fetch(root: str):
                 inside = (at >= offsets[doc[i:j]][:, None]) & (at < (place + b[i:j])[:, None])
                 out[i:j] = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0)
             ctx = pa.FixedSizeBinaryArray.from_buffers(pa.binary(REACH + WINDOW), len(out), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in ("key", "block", "doc", "a", "b", "doc_id")), ctx], ["key", "block", "doc", "a", "b", "doc_id", "bytes"])
+            ends = [pa.array(np.full(len(out), x, np.int32)) for x in (0, REACH)]
+            yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in ("key", "block", "doc", "a", "b", "doc_id")), ctx, *ends], ["key", "block", "doc", "a", "b", "doc_id", "bytes", "lo", "hi"])
+        give_back()
 
     return run
 
 
-def _symbols(flat: np.ndarray, at: np.ndarray, depth: int, n: int = 8) -> np.ndarray:
-    """The n bytes of each suffix at a depth, as one number in their order."""
+def _symbols(flat: np.ndarray, at: np.ndarray, n: int = 8) -> np.ndarray:
+    """The n bytes at each place as one number in their order."""
     x = np.zeros(len(at), np.uint64)
     for i in range(n):
-        x = (x << np.uint64(8)) | flat[at + depth + i]
+        x = (x << np.uint64(8)) | flat[at + i]
     return x
 
 
-def _split(group: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Order that sorts each group by symbol."""
-    return np.lexsort((symbol, group))
+def _regrouped(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers from 0 on, begins, counts) of groups whose members stand together."""
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begins, len(group)))
+    return np.repeat(np.arange(len(begins)), counts), begins, counts
 
 
-def equal_suffixes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``flat`` at ``at`` that share their first WINDOW bytes with another: (indices into at, class).
+def shallow_sort(flat: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes at ``at`` that share their first ``depth`` bytes with another of their group: (indices into at, new groups).
 
-    Deep-shallow sorting. Shallow: multikey quicksort, one 8-byte symbol after the other; a group of one
-    is in its place and leaves. Deep: groups equal over SHALLOW bytes go to a blind trie. It is built
-    breadth first; a node is made only at a symbol where its members differ, members that agree pass on
-    without being moved.
+    Three-way multikey quicksort of all groups at once. In a round each group takes the median of three of its
+    symbols as pivot and falls into the smaller, the equal and the larger; the equal go on with the next symbol. A
+    group of one leaves.
     """
-    live = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
-    for depth in range(0, SHALLOW, 8):
-        symbol = _symbols(flat, at[live], depth)
-        order = _split(group, symbol)
-        live, group, symbol = live[order], group[order], symbol[order]
-        new = np.ones(len(live), bool)
-        new[1:] = (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])
-        group = np.cumsum(new)
-        alone = new & np.append(new[1:], True)
-        live, group = live[~alone], group[~alone]
-    depth = SHALLOW
-    while depth < WINDOW and len(live):
+    live, reached = np.arange(len(at)), np.zeros(len(at), np.int64)
+    done: list[np.ndarray] = []
+    names: list[np.ndarray] = []
+    named = 0
+    while True:
+        group, begins, counts = _regrouped(group)
+        alone = counts[group] == 1 if len(group) else np.zeros(0, bool)
+        deep = ~alone & (reached >= depth)
+        if deep.any():
+            number, _, _ = _regrouped(group[deep])
+            done.append(live[deep])
+            names.append(number + named)
+            named += int(number[-1]) + 1
+        left = ~alone & ~deep
+        live, reached, group = live[left], reached[left], group[left]
+        if not len(live):
+            break
+        group, begins, counts = _regrouped(group)
+        symbol = _symbols(flat, at[live] + reached)
+        three = np.sort(np.stack([symbol[begins], symbol[begins + counts // 2], symbol[begins + counts - 1]]), axis=0)
+        pivot = three[1][group]
+        side = 1 + (symbol > pivot).astype(np.int64) - (symbol < pivot)
+        # places by counting: smaller, equal, larger within each group, in the order they stand
+        place = np.zeros(len(live), np.int64)
+        base = begins.copy()
+        for s in range(3):
+            held = side == s
+            upto = np.concatenate(([0], np.cumsum(held)))
+            place += np.where(held, base[group] + upto[:-1] - upto[begins][group], 0)
+            base += upto[begins + counts] - upto[begins]
+        order = np.empty(len(live), np.int64)
+        order[place] = np.arange(len(live))
+        live, reached, group = live[order], (reached + 8 * (side == 1))[order], (3 * group + side)[order]
+    return (np.concatenate(done), np.concatenate(names)) if done else (live, group)
+
+
+def _first_difference(flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first bit in which the WINDOW bytes at a and at b differ; 8 * WINDOW if they don't."""
+    out = np.full(len(a), 8 * WINDOW)
+    open_ = np.arange(len(a))
+    for depth in range(0, WINDOW, 8):
         size = min(8, WINDOW - depth)
-        symbol = _symbols(flat, at[live], depth, size)
-        begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        counts = np.diff(np.append(begins, len(live)))
-        branching = np.minimum.reduceat(symbol, begins) != np.maximum.reduceat(symbol, begins)
-        if branching.any():
-            member = np.repeat(branching, counts)
-            sub = np.flatnonzero(member)
-            order = _split(group[sub], symbol[sub])
-            live[sub], symbol[sub] = live[sub][order], symbol[sub][order]
-            new = np.ones(len(live), bool)
-            new[1:] = (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])
-            group = np.cumsum(new)
-            alone = new & np.append(new[1:], True)
-            live, group = live[~alone], group[~alone]
-        depth += size
-    return live, group
+        differ = _symbols(flat, a[open_] + depth, size) ^ _symbols(flat, b[open_] + depth, size)
+        found = np.flatnonzero(differ)
+        high = np.frexp((differ[found] >> np.uint64(32)).astype(np.float64))[1] + 32  # bits up to the highest, exact below 2**53
+        low = np.frexp((differ[found] & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+        out[open_[found]] = 8 * depth + 8 * size - np.where(differ[found] >> np.uint64(32), high, low)
+        open_ = open_[differ == 0]
+        if not len(open_):
+            break
+    return out
+
+
+def _bit(flat: np.ndarray, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (flat[at + (bit >> 3)] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+
+
+def blind_tries(flat: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Of each suffix the index of the first in its group that shares WINDOW bytes with it.
+
+    A blind trie for each group, of all groups at once: nodes hold nothing but the bit at which their members part. The
+    next suffix of each group walks down by those bits alone, without comparing, is compared once with the leaf it
+    ends at, and gets a node at the first difference, on the path where that belongs; equal ones get none.
+    """
+    n = len(at)
+    group, begins, counts = _regrouped(group)
+    root = ~begins  # ~i: the leaf of suffix i; else a node, by the suffix that made it
+    bit, child, first = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), np.arange(n)
+    by_size = np.argsort(-counts, kind="stable")
+    sizes = -counts[by_size]
+    for k in range(1, int(counts.max(initial=0))):
+        g = by_size[: np.searchsorted(sizes, -k)]  # of more than k members
+        own = begins[g] + k
+        node = root[g]
+        walking = np.flatnonzero(node >= 0)
+        while len(walking):
+            down = node[walking]
+            node[walking] = child[down, _bit(flat, at[own[walking]], bit[down])]
+            walking = walking[node[walking] >= 0]
+        parts = _first_difference(flat, at[own], at[~node])
+        same = parts == 8 * WINDOW
+        first[own[same]] = ~node[same]
+        g, own, parts = g[~same], own[~same], parts[~same]
+        node, above, turn = root[g], np.full(len(g), -1), np.zeros(len(g), np.int64)
+        walking = np.arange(len(g))
+        while len(walking := walking[node[walking] >= 0]) and len(walking := walking[bit[node[walking]] < parts[walking]]):
+            above[walking] = node[walking]
+            turn[walking] = _bit(flat, at[own[walking]], bit[node[walking]])
+            node[walking] = child[node[walking], turn[walking]]
+        side = _bit(flat, at[own], parts)
+        bit[own] = parts
+        child[own, side], child[own, 1 - side] = ~own, node
+        top = above < 0
+        root[g[top]] = own[top]
+        child[above[~top], turn[~top]] = own[~top]
+    return first
+
+
+def equal_suffixes(flat: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``flat`` at ``at`` that share their first WINDOW bytes with another of their group: (indices into at, class).
+
+    Deep-shallow sorting; members of a group stand together.
+    """
+    live, group = shallow_sort(flat, at, group)
+    first = blind_tries(flat, at[live], group)
+    several = np.zeros(len(live), bool)
+    again = first != np.arange(len(live))
+    several[again] = several[first[again]] = True
+    return live[several], first[several]
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row for both halves of its distances, with a key of the bytes that all strings of the half have in common."""
+    import xxhash
+
+    for batch in batches:
+        key, a, b, lo, hi = (col(batch, c).to_numpy().astype(np.int64) for c in ("key", "a", "b", "lo", "hi"))
+        around = col(batch, "bytes").to_pylist()
+        mid = (lo + hi) // 2
+        for low, high in ((lo, mid), (mid + 1, hi)):
+            some = np.flatnonzero((low <= high) & (low <= a) & (WINDOW - high <= b))
+            made = [
+                xxhash.xxh3_64_intdigest(around[i][REACH - l : REACH + WINDOW - h], (int(k) ^ (l << 7 | h) * 0x9E3779B97F4A7C15) & _U64)
+                for i, k, l, h in zip(some.tolist(), key[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True)
+            ]
+            part = batch.take(pa.array(some))
+            for name, value in (("key", np.array(made, np.uint64).view(np.int64)), ("lo", low[some]), ("hi", high[some])):
+                at = part.schema.get_field_index(name)
+                part = part.set_column(at, name, pa.array(value).cast(part.schema.field(at).type))
+            yield part
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: covers for the suffixes that occur earlier."""
+    """Rows sorted by key and order: covers for the suffixes that occur earlier."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -297,25 +418,26 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += batch.num_rows
     if held:
         yield _repeats(held)
+    give_back()
 
 
 def _repeats(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    block, doc, a, b, doc_id = (col(t, c).to_numpy() for c in ("block", "doc", "a", "b", "doc_id"))
+    key, block, doc, a, b, doc_id, lo, hi = (col(t, c).to_numpy().astype(np.int64) for c in ("key", "block", "doc", "a", "b", "doc_id", "lo", "hi"))
     flat, _ = _binary(col(t, "bytes"))
     n, width = t.num_rows, REACH + WINDOW
+    anchor, _, _ = _regrouped(key)
     rank = np.empty(n, np.int64)
     rank[np.lexsort((a, doc, block, doc_id))] = np.arange(n)
-    back, forth = np.minimum(a, REACH), b  # suffixes start ``r`` before the anchor: r <= back, WINDOW - r <= forth
+    # suffixes start ``r`` before the anchor: lo <= r <= back, WINDOW - r <= forth
+    low, high = np.maximum(lo, WINDOW - b), np.minimum(hi, a)
     found = np.zeros((n, REACH + 1), bool)
     step = max(1, SORTED_AT_ONCE // n)
-    for low in range(0, REACH + 1, step):
-        r = np.arange(low, min(low + step, REACH + 1))
-        row, r = np.repeat(np.arange(n), len(r)), np.tile(r, n)
-        fits = (r <= back[row]) & (WINDOW - r <= forth[row])
-        row, r = row[fits], r[fits]
-        at = row * width + REACH - r
-        live, group = equal_suffixes(flat, at)
+    for begin in range(0, REACH + 1, step):
+        r = np.arange(begin, min(begin + step, REACH + 1))
+        r, row = np.nonzero((low <= r[:, None]) & (r[:, None] <= high))
+        r += begin
+        live, group = equal_suffixes(flat, row * width + REACH - r, r * n + anchor[row])
         if len(live):  # all but the earliest of each class; one place can stand in several rows
             order = np.lexsort((-r[live], rank[row[live]], group))
             live, group = live[order], group[order]
@@ -331,7 +453,42 @@ def _repeats(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     new[1:] = (row[1:] != row[:-1]) | (r[1:] != r[:-1] + 1)
     last = np.append(new[1:], True) if len(row) else new
     x = row[new]
-    return _table(_COVER, 0, 0, block[x], doc[x], a[x] - r[last], a[x] - r[new] + WINDOW, 0)
+    return _table(_COVER, 0, 0, 0, block[x], doc[x], a[x] - r[last], a[x] - r[new] + WINDOW, 0)
+
+
+def _stay_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a single distance sorted by key and order, the string told by the key: covers for all but the first of each."""
+    now, seen = None, set()
+    for batch in batches:
+        key, lo = col(batch, "key").to_pylist(), col(batch, "lo").to_pylist()
+        again = np.zeros(batch.num_rows, bool)
+        for i, (k, r, around) in enumerate(zip(key, lo, col(batch, "bytes").to_pylist(), strict=True)):
+            if k != now:
+                now, seen = k, set()
+            string = around[REACH - r : REACH - r + WINDOW]
+            again[i] = string in seen
+            seen.add(string)  # one, but for a collision of keys
+        if again.any():
+            r = batch.filter(pa.array(again))
+            start = col(r, "a").to_numpy() - col(r, "lo").to_numpy()
+            yield _table(_COVER, 0, 0, 0, col(r, "block").to_numpy(), col(r, "doc").to_numpy(), start, start + WINDOW, 0)
+
+
+def _dealt(fetched: DataFrame, fetch: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows in which a key has MOST_ROWS at most, and rows of a single distance, if any: (rows to sort, rows that are told)."""
+    hot = materialize(fetch.groupBy("key").count().where(F.col("count") > MOST_ROWS).select("key"))
+    if not hot.limit(1).count():
+        return fetched, None
+    rows = materialize(fetched)
+    out, level, width = rows.join(hot, "key", "left_anti"), rows.join(hot, "key", "left_semi"), REACH + 1
+    while True:
+        level, width = materialize(level.mapInArrow(_deal, level.schema)), -(-width // 2)
+        if width == 1:
+            return out, level
+        hot = materialize(level.groupBy("key").count().where(F.col("count") > MOST_ROWS).select("key"))
+        if not hot.limit(1).count():
+            return out.unionByName(level), None
+        out, level = out.unionByName(level.join(hot, "key", "left_anti")), level.join(hot, "key", "left_semi")
 
 
 def _binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -397,10 +554,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     root = work_dir(docs.sparkSession)
     rows = texts(docs)
-    sent = rows.mapInArrow(_store(root), _SCHEMA)
-    met = materialize(sent.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "block", "doc", "a").mapInArrow(_meet, _SCHEMA).select("kind", "key", "block", "doc", "a", "b", "doc_id"))
-    fetched = met.where(F.col("kind") == _FETCH).repartition("block").sortWithinPartitions("block", "doc", "a").mapInArrow(_fetch(root), "key bigint, block bigint, doc int, a int, b int, doc_id bigint, bytes binary")
-    sorted_ = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_sort, _SCHEMA)
-    covers = met.where(F.col("kind") != _FETCH).select("kind", "block", "doc", "a", "b").unionByName(sorted_.select("kind", "block", "doc", "a", "b"))
+    spread = F.when(F.col("kind") == _SPREAD, F.col("ctx")).otherwise(F.lit(0))
+    order = ["doc_id", "block", "doc", "a"]
+    sent = rows.mapInArrow(_store(root), _SCHEMA).repartition(F.col("key"), spread).sortWithinPartitions("key", "ctx", "more", *order)
+    met = materialize(sent.mapInArrow(_meet, _SCHEMA).select("kind", "key", "block", "doc", "a", "b", "doc_id"))
+    fetch = met.where(F.col("kind") == _FETCH)
+    fields = "key bigint, block bigint, doc int, a int, b int, doc_id bigint, bytes binary, lo int, hi int"
+    fetched = fetch.repartition("block").sortWithinPartitions("block", "doc", "a").mapInArrow(_fetch(root), fields)
+    rest, told = _dealt(fetched, fetch)
+    covers = met.where(F.col("kind") != _FETCH).select("kind", "block", "doc", "a", "b")
+    for part, work in ((rest, _sort), (told, _stay_first)):
+        if part is not None:
+            covers = covers.unionByName(part.repartition("key").sortWithinPartitions("key", *order).mapInArrow(work, _SCHEMA).select("kind", "block", "doc", "a", "b"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
     return covers.repartition("block").sortWithinPartitions("block", "doc").mapInArrow(_finish(root, with_text), schema)
