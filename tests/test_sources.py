@@ -98,6 +98,40 @@ def test_inner_volumes_are_items(spark, tmp_path):
     assert main([str(tmp_path), "--verify-content"]) == 1
 
 
+def test_single_archive(spark, tmp_path):
+    """One archive as input: its volumes, folders of images and range archives are the items."""
+    one, two = (zipped({f"p{i}.png": png(40 + 40 * k, 60) for i in range(3)}) for k in range(2))
+    loose = {f"作品名 第03巻/{i}.png": png(30, 50) for i in range(4)}
+    (tmp_path / "作品名.zip").write_bytes(zipped({"作品名 第01巻.zip": one, "作品名 01.cbz": two, "x v04-05.zip": zipped({"x v04.zip": one, "x v05.zip": two}), "../read.txt": b"1", **loose}))
+    got = {r.rel_path: r for r in catalogue.read_catalogue(spark, str(tmp_path / "作品名.zip")).collect()}
+    assert set(got) == {"作品名 第01巻.zip", "作品名 01.cbz", "作品名 第03巻", "x v04-05.zip/x v04.zip", "x v04-05.zip/x v05.zip"}
+    assert all(r.measured for r in got.values()) and got["作品名 第03巻"].page_count == 4 and got["作品名 第03巻"].median_pixels == 1500
+    r = analyze(catalogue.read_catalogue(spark, str(tmp_path / "作品名.zip")), Options())
+    roles = {x.rel_path: x.role for x in r.decisions.join(r.items.select("item_id", "rel_path"), "item_id").collect()}
+    assert roles == {"作品名 第01巻.zip": "loser", "作品名 01.cbz": "winner"}
+
+
+def test_folders_and_archives_are_sampled_alike(spark, tmp_path):
+    sizes = [(10 + i, 10) for i in range(40)]
+    (tmp_path / "v01").mkdir()
+    for i, (w, h) in enumerate(sizes):
+        (tmp_path / "v01" / f"p{i}.png").write_bytes(png(w, h))
+    (tmp_path / "v02.zip").write_bytes(zipped({f"p{i}.png": png(w, h) for i, (w, h) in enumerate(sizes)}))
+    taken = sorted({round(i * 39 / 15) for i in range(16)})
+    middle = sorted(10 * (10 + i) for i in taken)
+    want = (middle[7] + middle[8]) / 2
+    got = {r.rel_path: r for r in catalogue.read_catalogue(spark, str(tmp_path)).collect()}
+    assert {r.median_pixels for r in got.values()} == {want} and {r.page_count for r in got.values()} == {40}
+
+
+def test_numbers_follow_natural_order(spark):
+    paths = [f"s{i % 7}/v{i}.zip" for i in range(300)] + ["S3/v2.zip", "a"]
+    rows = catalogue.numbered(spark.createDataFrame([(p,) for p in paths], "rel_path string").repartition(5)).orderBy("item_id").collect()
+    key = lambda p: [(t.isdigit(), t.zfill(20)) if t.isdigit() else (False, t.lower()) for t in __import__("re").findall(r"\d+|\D+", p)]
+    assert [r.item_id for r in rows] == list(range(1, len(paths) + 1))
+    assert [r.rel_path for r in rows] == sorted(paths, key=lambda p: ([k for _, k in key(p)], p))
+
+
 def test_backends(monkeypatch):
     data = zipped({"a.txt": b"1"})
 

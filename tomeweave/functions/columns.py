@@ -96,9 +96,14 @@ def natural_key(path: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]"), F.lpad(F.regexp_replace(t, "^0+(?=.)", ""), 20, "0")).otherwise(t))
 
 
+def place_of(rel_path: Column, kind: Column) -> Column:
+    """Where an item's files are: its path, for a set of images (folder#第N巻) its folder."""
+    return F.when(kind == "imageset", F.regexp_replace(rel_path, "#第[^#/]*巻$", "")).otherwise(rel_path)
+
+
 def scope_of(rel_path: Column, kind: Column) -> Column:
     """The folder an item counts under: its parent, for a set of images its own folder."""
-    path = F.rtrim(F.substring_index(rel_path, "#", 1), F.lit("/"))
+    path = F.rtrim(place_of(rel_path, kind), F.lit("/"))
     parent = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
     return F.when(kind == "imageset", path).otherwise(parent)
 
@@ -135,5 +140,20 @@ def dice(left: Column, right: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A double from 0 to 2**14 with so many decimals, rounded by its exact binary value; a tie goes to the even one.
+
+    Java's own formatting rounds the shortest decimal that stands for the double, which parts from this at ties.
+    """
+    scale = F.when(value < 0.5, F.lit(62)).when(value < 32, F.lit(57)).otherwise(F.lit(48))
+    whole = F.pow(F.lit(2.0), scale).cast("bigint").cast("decimal(20,0)")
+    exact = (value * F.pow(F.lit(2.0), scale)).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(6,0)")
+    rest = exact % whole
+    low = ((exact - rest) / whole).cast("bigint")
+    up = (rest * 2 > whole) | ((rest * 2 == whole) & (low % 2 == 1))
+    number = low + up.cast("bigint")
+    return F.concat(F.floor(number / 10**digits).cast("string"), F.lit("."), F.lpad((number % 10**digits).cast("string"), digits, "0"))
+
+
 def hamming(left: Column, right: Column) -> Column:
     return F.bit_count(left.bitwiseXOR(right))

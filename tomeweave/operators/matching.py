@@ -109,7 +109,11 @@ def class_pairs(classed: DataFrame, least: float, score: Callable[[DataFrame, fl
     return score(pairs, least).where(F.col("score") >= least)
 
 
-def group_items(items: DataFrame, options: Options | None = None, score: Callable[[DataFrame, float], DataFrame] = scored) -> tuple[DataFrame, DataFrame]:
+def scorer(options: Options) -> Callable[[DataFrame, float], DataFrame]:
+    return scored if options.sequence else cheap_scored
+
+
+def group_items(items: DataFrame, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, reviews) of items whose series have been adopted.
 
     groups: item_id, block, group_id (smallest item_id), group_key, similarity (least accepted score, 1 if none),
@@ -118,7 +122,7 @@ def group_items(items: DataFrame, options: Options | None = None, score: Callabl
     """
     o = options or Options()
     classed = classes(items, o.aliases).select("item_id", "rel_path", "block", "canon", "rep", "last", "n")
-    pairs = materialize(class_pairs(classed, o.review, score))  # read several times below; scoring is the costly part
+    pairs = materialize(class_pairs(classed, o.review, scorer(o)))  # read several times below; scoring is the costly part
     sure = F.lit(True) if o.accept_review else F.col("score") >= o.auto
     accepted = pairs.where(sure).select(F.col("rep_l").alias("src"), F.col("rep_r").alias("dst"), "score")
     gray = pairs.where(~sure)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tomeweave.functions import columns as C
 from tomeweave.operators.cluster import connected_components
-from tomeweave.operators.matching import scored, with_canonical
+from tomeweave.operators.matching import scorer, with_canonical
 from tomeweave.plans.options import CHAPTER, CHAPTER_ONLY, Options
 from tomeweave.plans.storage import materialize
 
@@ -22,7 +22,7 @@ def series_clusters(items: DataFrame, groups: DataFrame, options: Options) -> Da
     rows = with_canonical(items, options.aliases).withColumn("ed", F.array_join("editions", ","))
     nodes = rows.where("series <> ''").groupBy("canon", "ed").agg(F.min("item_id").alias("rep"))
     left, right = (nodes.select(F.col("ed"), F.col("canon").alias(f"canon_{s}"), F.col("rep").alias(f"rep_{s}")) for s in "lr")
-    alike = scored(left.join(right, "ed").where("rep_l < rep_r"), options.auto).where(F.col("score") >= options.auto)
+    alike = scorer(options)(left.join(right, "ed").where("rep_l < rep_r"), options.auto).where(F.col("score") >= options.auto)
     own = rows.where("series <> ''").join(nodes, ["canon", "ed"]).select("item_id", "rep")
     linked = groups.select("item_id", "group_id").where("item_id <> group_id").select(F.col("item_id").alias("src"), F.col("group_id").alias("dst"))
     edges = alike.select(F.col("rep_l").alias("src"), F.col("rep_r").alias("dst")).unionByName(own.select(F.col("item_id").alias("src"), F.col("rep").alias("dst"))).unionByName(linked)

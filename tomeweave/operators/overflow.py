@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeweave.functions import columns as C
-from tomeweave.operators.matching import MOST_PLAUSIBLE, scored, with_canonical
+from tomeweave.operators.matching import MOST_PLAUSIBLE, scorer, with_canonical
+from tomeweave.plans.options import Options
 from tomeweave.plans.storage import materialize
 
 
@@ -42,9 +43,10 @@ def overflowing(singles: DataFrame, depth: int) -> DataFrame:
     return under.groupBy("scope").agg(F.count("*").alias("n_groups"), F.max("number").alias("max_volume")).where("n_groups > max_volume")
 
 
-def retry_overflow(groups: DataFrame, reviews: DataFrame, items: DataFrame, aliases: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def retry_overflow(groups: DataFrame, reviews: DataFrame, items: DataFrame, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, reviews) with the merges done and the reviews inside merged folders dropped."""
-    items = with_canonical(items, aliases or {})
+    o = options or Options()
+    items = with_canonical(items, o.aliases)
     singles = materialize(single_groups(groups, items))
     deepest = singles.agg(F.max("deep")).first()[0]
     merges = None  # group_key -> new_key, order
@@ -60,7 +62,7 @@ def retry_overflow(groups: DataFrame, reviews: DataFrame, items: DataFrame, alia
     if merges is None:
         return groups, reviews
     left, right = (merges.select("new_key", F.col("first").alias(f"first_{s}"), F.col("canon").alias(f"canon_{s}")) for s in "lr")
-    pairs = scored(left.join(right, "new_key").where("first_l < first_r")).groupBy("new_key").agg(F.min("score").alias("similarity"))
+    pairs = scorer(o)(left.join(right, "new_key").where("first_l < first_r")).groupBy("new_key").agg(F.min("score").alias("similarity"))
     moved = groups.join(merges.select("group_key", "new_key", "first"), "group_key")
     order = Window.partitionBy("new_key").orderBy("first", "pos")
     fresh = moved.withColumn("pos", F.row_number().over(order).cast("bigint")).withColumn("group_id", F.min("group_id").over(Window.partitionBy("new_key")))

@@ -27,7 +27,7 @@ def loser_actions(decisions: DataFrame, items: DataFrame, options: Options | Non
     """item_id, action, source, destination, result of every loser: moved below the duplicates folder, or deleted."""
     o = options or Options()
     rows = decisions.where("role = 'loser'").join(items.select("item_id", "rel_path", "kind", "volume"), "item_id")
-    path = F.substring_index("rel_path", "#", 1)
+    path = C.place_of(F.col("rel_path"), F.col("kind"))
     if o.delete_losers:
         return rows.select("item_id", F.lit("delete").alias("action"), F.col("rel_path").alias("source"), F.lit(None).cast("string").alias("destination"), F.lit("planned").alias("result"))
     parent = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
@@ -38,10 +38,11 @@ def loser_actions(decisions: DataFrame, items: DataFrame, options: Options | Non
 
 
 def survivors(items: DataFrame, decisions: DataFrame, options: Options | None = None) -> DataFrame:
-    """Items that are no losers, not in the duplicates folder, one for each place."""
+    """Items that are no losers, not in the duplicates folder, the first for each place."""
     folder = (options or Options()).folders["duplicates"]
     inside = F.array_contains(F.split("rel_path", "/"), folder)
-    return items.where(~inside).join(decisions.where("role = 'loser'").select("item_id"), "item_id", "left_anti").dropDuplicates(["rel_path"])
+    alive = items.where(~inside).join(decisions.where("role = 'loser'").select("item_id"), "item_id", "left_anti")
+    return alive.join(alive.groupBy("rel_path").agg(F.min("item_id").alias("item_id")).select("item_id"), "item_id", "left_semi")
 
 
 def flatten_plan(items: DataFrame, alive: DataFrame, names: DataFrame, decisions: DataFrame, outliers: DataFrame, options: Options | None = None) -> DataFrame:
@@ -67,18 +68,18 @@ def flatten_plan(items: DataFrame, alive: DataFrame, names: DataFrame, decisions
 def evidence(groups: DataFrame, decisions: DataFrame, reviews: DataFrame, items: DataFrame, actions: DataFrame) -> DataFrame:
     """Rows of the evidence table: members of duplicate groups, and both ends of each pair to review."""
     shown = [
-        F.col("rel_path").alias("path"), "kind", F.col("page_count").alias("pages"), F.format_string("%.0f", F.rint("median_pixels")).alias("median_pixels"),
-        F.format_string("%.4f", "median_bpp").alias("bytes_per_pixel"), "total_bytes",
+        F.col("rel_path").alias("path"), "kind", F.col("page_count").alias("pages"), F.rint(F.coalesce("median_pixels", F.lit(0.0))).cast("bigint").cast("string").alias("median_pixels"),
+        C.fixed(F.coalesce("median_bpp", F.lit(0.0)), 4).alias("bytes_per_pixel"), "total_bytes",
     ]
     base = decisions.join(groups.select("item_id", "similarity"), "item_id").join(items, "item_id").join(actions.select("item_id", "result"), "item_id", "left")
     role = F.when(F.col("role") == "undecided", "pending").otherwise(F.col("role"))
     members = base.select(
-        F.col("group_key").alias("group"), role.alias("role"), *shown, F.format_string("%.2f", "similarity").alias("similarity"), F.col("reason_code").alias("reason"), F.coalesce("result", F.lit("keep")).alias("result")
+        F.col("group_key").alias("group"), role.alias("role"), *shown, C.fixed(F.col("similarity"), 2).alias("similarity"), F.col("reason_code").alias("reason"), F.coalesce("result", F.lit("keep")).alias("result")
     )
     ends = reviews.select(F.explode(F.array(*(F.struct(F.col(a).alias("item_id"), F.col(b).alias("other")) for a, b in (("left_id", "right_id"), ("right_id", "left_id"))))).alias("e"), "similarity", "method")
     ends = ends.select("e.*", "similarity", "method").join(items, "item_id")
     gray = ends.select(
-        F.lit("review").alias("group"), F.lit("pending").alias("role"), *shown, F.format_string("%.2f", "similarity").alias("similarity"), F.concat("method", F.lit(":"), "other").alias("reason"), F.lit("skipped").alias("result")
+        F.lit("review").alias("group"), F.lit("pending").alias("role"), *shown, C.fixed(F.col("similarity"), 2).alias("similarity"), F.concat("method", F.lit(":"), "other").alias("reason"), F.lit("skipped").alias("result")
     )
     return members.unionByName(gray)
 

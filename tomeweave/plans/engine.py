@@ -34,7 +34,7 @@ class Result:
     def _grouped(self) -> tuple[DataFrame, DataFrame]:
         groups, reviews = matching.group_items(self.items, self.options)
         if self.options.retry_overflow:
-            groups, reviews = overflow.retry_overflow(materialize(groups), reviews, self.items, self.options.aliases)
+            groups, reviews = overflow.retry_overflow(materialize(groups), reviews, self.items, self.options)
         return materialize(groups), reviews
 
     @property

@@ -14,6 +14,7 @@ class Options:
     auto: float = 0.85
     review: float = 0.65
     accept_review: bool = False
+    sequence: bool = True  # score by the sequence ratio too; without it scores are built-in expressions only
     approved: frozenset = field(default_factory=frozenset)  # unordered pairs of relative paths
     aliases: dict = field(default_factory=dict)  # variant series key -> canonical series key
     retry_overflow: bool = True

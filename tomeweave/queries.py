@@ -6,17 +6,24 @@ an item is a ``part``, its pages are the part's ``lineitem`` rows, its name one
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections.abc import Callable
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.functions import columns as C
+from tomeweave.functions.title import parsed
 from tomeweave.operators import matching, measure, names, outliers, overflow, winners
 from tomeweave.plans import actions
 from tomeweave.plans.engine import Result, analyze, titled
 from tomeweave.plans.options import Options
-from tomeweave.plans.storage import materialize
+from tomeweave.plans.storage import file_system, materialize, work_dir
+from tomeweave.sources import catalogue
 
 _NAME = """CASE p_partkey % 6
   WHEN 0 THEN concat(p_name, ' 第', lpad(CAST(p_size AS STRING), 2, '0'), '巻.zip')
@@ -35,10 +42,76 @@ _ITEMS = f"""items AS (
 _METRICS = f"""pages_ AS ({_PAGES}),
   metrics AS (SELECT item_id, CAST(count(*) AS INT) AS page_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, median(CAST(width AS BIGINT) * height) AS median_pixels,
     median(size_bytes / (CAST(width AS DOUBLE) * height)) AS median_bpp FROM pages_ GROUP BY item_id)"""
+#: Spellings of names by what they state: (name, series, volume, kind, editions, display); n, m and p stand for numbers, x for the series.
+_FORMS = (
+    ("{x} ch{n}", "{s}", "{n}", "chapter", "", "{x}"),
+    ("{x} Chapter {n}.zip", "{s}", "{n}", "chapter", "", "{x}"),
+    ("{x} ch.{n}-{m}.cbr", "{s}", "{n}-{m}", "chapter", "", "{x}"),
+    ("{x} 第{n}話", "{s}", "{n}", "chapter", "", "{x}"),
+    ("{x} 第{n}-{m}話", "{s}", "{n}-{m}", "chapter", "", "{x}"),
+    ("{x} v0{n}-{m}b.rar", "{s}", "{n}-{m}", "range", "", "{x}"),
+    ("{x} 第{n}〜{m}巻", "{s}", "{n}-{m}", "range", "", "{x}"),
+    ("{x} {n} - {m}", "{s}", "{n}-{m}", "range", "", "{x}"),
+    ("{n}_files", "", "{n}", "number", "", ""),
+    ("{x} 第{n}巻s.zip", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} {n} 巻", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} VOL.{n}", "{s}", "{n}", "number", "", "{x}"),
+    ("{x}_v{n}ss.7z", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} #{n}", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} ({n}).zip", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} [{n}]", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} 上巻", "{s}", "1", "part", "", "{x}"),
+    ("{x} 中編.zip", "{s}", "2", "part", "", "{x}"),
+    ("{x} 後編 後編", "{s}", "3", "part", "", "{x}"),
+    ("{x} _{n}_", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} 0{n}w", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} {n}", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} 0{n} (2)", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} (2)", "{s}", "2", "number", "", "{x}"),
+    ("{x} {m}-{n}", "{s}{m}{n}", None, "number", "", "{x} {m}-{n}"),
+    ("{x}", "{s}", None, "number", "", "{x}"),
+    ("DLRAW.TO_{x} v{n}", "{s}", "{n}", "number", "", "{x}"),
+    ("13DL.ME_{x} 第{n}巻", "{s}", "{n}", "number", "", "{x}"),
+    ("[作者] {x} 第{n}巻 (DL版).zip", "{s}", "{n}", "number", "", "{x}"),
+    ("【雑誌】 {x} 第{n}巻 1600x2300 高画質 電子版", "{s}", "{n}", "number", "", "{x}"),
+    ("{x} 完全版 カラー版 第{n}巻", "{s}完全版から版", "{n}", "number", "カラー版,完全版", "{x} 完全版 カラー版"),
+    ("{x} テスト 第{n}巻", "{s}てすと", "{n}", "number", "", "{x} テスト"),
+    ("{x}　第０{n}巻", "{s}", "{n}", "number", "", "{x}"),
+    ("âLâôâOâ_âÇ{n}è¬", "きんぐだむ", "{n}", "number", "", "キングダム"),
+)
+#: Files of each part: an archive; a volume's images with an archive among them and another below; images of two volumes; too few images; a volume's images that alone tell it.
+_LISTING = """CASE p_partkey % 5
+  WHEN 0 THEN array(concat(p_type, '/', p_name, ' v', p_size, '_', p_partkey, '.zip'))
+  WHEN 1 THEN transform(array('i1.jpg', 'i2.PNG', 'sub/i3.webp', 'i4.jpg', 'i5.gif', 'Thumbs.db', 'inner.zip', 'sub/deep.zip'), f -> concat(p_type, '/', p_name, ' 第', p_size, '巻 (', p_partkey, ')/', f))
+  WHEN 2 THEN transform(array('第1巻_1.jpg', '第1巻_2.jpg', '第1巻_3.jpg', '第2巻_1.jpg', '第2巻_2.jpg', '第2巻_3.jpg', '第2巻_4.jpg'), f -> concat(p_type, '/', p_name, ' s', p_partkey, 'z/', f))
+  WHEN 3 THEN transform(array('1.jpg', '2.jpg', 'text.txt'), f -> concat(p_type, '/few', p_partkey, '/', f))
+  ELSE transform(array('a 第5巻 1.jpg', 'b 2.jpg', 'c 3.jpg'), f -> concat(p_type, '/', p_name, ' x', p_partkey, 'z/', f)) END"""
+#: Variant spellings of series.
+_ALIASES = {"blue bolt": "azure bolt", "hot gear": "warm gear"}
+
+
+def _form(column: int) -> str:
+    """A column of _FORMS as an expression over part, the form drawn by p_partkey."""
+    values = {"x": "p_name", "s": "replace(p_name, ' ', '')", "n": "CAST(1 + p_size % 9 AS STRING)", "m": "CAST(20 + p_size AS STRING)"}
+
+    def one(text: str | None) -> str:
+        if text is None:
+            return "CAST(NULL AS STRING)"
+        parts = [values[t[1]] if t[0] == "{" else "'" + t + "'" for t in re.findall(r"\{\w\}|[^{]+", text)]
+        return f"concat({', '.join(parts)})" if parts else "''"
+
+    return "CASE p_partkey % " + str(len(_FORMS)) + " " + " ".join(f"WHEN {k} THEN {one(f[column])}" for k, f in enumerate(_FORMS)) + " END"
+
+
+_FORMS_NAME = _form(0)
 _ADOPTED = """donors AS (SELECT scope, min(series) AS donor FROM items WHERE series <> '' GROUP BY scope HAVING min(series) = max(series)),
   adopted AS (SELECT i.* REPLACE (CASE WHEN i.series = '' AND d.donor IS NOT NULL THEN d.donor ELSE i.series END AS series) FROM items i LEFT JOIN donors d USING (scope))"""
 
 
+#: Scores of built-in expressions only, and no margin between metrics, so that the order of copies is total: both engines can do it.
+_BUILT_IN = Options(retry_overflow=False, fallback_series="catalogue", sequence=False, margin=0.0)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +137,10 @@ def _analysis(spark: SparkSession, sf_dir: str) -> Result:
     return analyze(_measured(spark, sf_dir, adopt=False), Options(retry_overflow=False, fallback_series="catalogue"))
 
 
+def _plain_analysis(spark: SparkSession, sf_dir: str) -> Result:
+    return analyze(_measured(spark, sf_dir, adopt=False), _BUILT_IN)
+
+
 def _exact_groups(items: DataFrame) -> DataFrame:
     """Groups of equal block and series, without fuzzy edges."""
     c = matching.classes(items)
@@ -139,7 +216,7 @@ def exact_groups(spark, sf_dir):
 
 
 def dup_groups(spark, sf_dir):
-    groups, _ = matching.group_items(matching.adopt_scope_series(_items(spark, sf_dir)), None, matching.cheap_scored)
+    groups, _ = matching.group_items(matching.adopt_scope_series(_items(spark, sf_dir)), _BUILT_IN)
     return groups.select("item_id", "group_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -200,6 +277,82 @@ def winners_exact(spark, sf_dir):
     return winners.select_winners(_exact_groups(items), items, none).groupBy("group_key").agg(F.count("*").alias("n"), F.sum(F.when(F.col("role") == "winner", 1).otherwise(0)).alias("n_winners"))
 
 
+def plain_reviews(spark, sf_dir):
+    return _plain_analysis(spark, sf_dir).reviews.withColumn("similarity", F.round("similarity", 6))
+
+
+def accepted_reviews(spark, sf_dir):
+    items = matching.adopt_scope_series(_items(spark, sf_dir))
+    groups, _ = matching.group_items(items, replace(_BUILT_IN, accept_review=True))
+    return groups.select("item_id", "group_id", F.round("similarity", 6).alias("similarity"))
+
+
+def plain_decisions(spark, sf_dir):
+    return _plain_analysis(spark, sf_dir).decisions.withColumn("reason_item", F.coalesce("reason_item", F.lit(-1)))
+
+
+def plain_actions(spark, sf_dir):
+    return _plain_analysis(spark, sf_dir).actions
+
+
+def plain_names(spark, sf_dir):
+    return _plain_analysis(spark, sf_dir).names
+
+
+def plain_flat(spark, sf_dir):
+    return _plain_analysis(spark, sf_dir).flat
+
+
+def plain_evidence(spark, sf_dir):
+    return _plain_analysis(spark, sf_dir).evidence
+
+
+def plain_summary(spark, sf_dir):
+    return _plain_analysis(spark, sf_dir).summary
+
+
+def canonical_series(spark, sf_dir):
+    aliases = {k.replace(" ", ""): v.replace(" ", "") for k, v in _ALIASES.items()}
+    return matching.with_canonical(_items(spark, sf_dir), aliases).select("item_id", "canon")
+
+
+def title_forms(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey AS item_id", f"{_FORMS_NAME} AS name").withColumn("t", parsed(F.col("name")))
+    return rows.select("item_id", "name", "t.series", "t.volume", "t.volume_kind", F.array_join("t.editions", ",").alias("editions"), "t.display")
+
+
+def discovered_items(spark, sf_dir):
+    listing = _table(spark, sf_dir, "part").selectExpr(f"explode({_LISTING}) AS f", "CAST(p_size * 100 AS BIGINT) AS size").selectExpr("f AS rel_path", "size")
+    return catalogue.discover(listing).select("rel_path", "kind", "title.volume", "title.series", F.coalesce("page_count", F.lit(-1)).alias("page_count"), "total_bytes")
+
+
+def zip_listing(spark, sf_dir):
+    """Archives packed from pages by the tasks, listed by the archive reader."""
+    folder = work_dir(spark)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in frame[["name", "html"]].sort_values("name").itertuples(index=False):
+                z.writestr(name, text)
+        files, root = file_system(folder)
+        files.create_dir(root, recursive=True)
+        with files.open_output_stream(f"{root}/a{frame['k'].iloc[0]}.zip") as out:
+            out.write(held.getvalue())
+        return pd.DataFrame({"n": [len(frame)]})
+
+    rows = _table(spark, sf_dir, "pages").selectExpr("page_id % 20 AS k", "concat('d', page_id % 3, '/', page_id, '.html') AS name", "coalesce(html, '') AS html")
+    rows.groupBy("k").applyInPandas(pack, "n bigint").agg(F.sum("n")).collect()  # the files are this query's input
+    return catalogue.archive_entries(spark, folder).select("container", "name", "size", "is_dir")
+
+
+def content_matches(spark, sf_dir):
+    bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("bigint"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("bigint")))
+    rows = _table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 2 == 0).alias("left"), bits.alias("h"))
+    sides = rows.groupBy("label").agg(*(F.collect_list(F.when(F.col("left") == side, F.col("h"))).alias(name) for name, side in (("l", True), ("r", False))))
+    return sides.select("label", F.round(measure.content_match(F.col("l"), F.col("r"), 18), 6).alias("share"))
+
+
 def hash_distance(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
     bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("bigint"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("bigint")))
@@ -257,7 +410,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         item_metrics, sampled_metrics, series_scores, similarity_full, scope_adoption, exact_groups, dup_groups, dup_groups_full,
         review_pairs, overflow_scopes, overflow_regroup, scope_outliers, job_outliers, thin_members, pairwise_quality, winners_all,
         winners_exact, hash_distance, majority_name, padded_volumes, unified_names, flatten_plan, loser_actions, collision_rename,
-        evidence_rows, job_summary, zip_verify,
+        evidence_rows, job_summary, zip_verify, plain_reviews, accepted_reviews, plain_decisions, plain_actions, plain_names, plain_flat,
+        plain_evidence, plain_summary, canonical_series, title_forms, discovered_items, zip_listing, content_matches,
     )
 }
 
@@ -287,6 +441,74 @@ def _metric_case(value: str) -> str:
     return "CASE " + " ".join(f"WHEN {d} THEN {s if value == 'sign' else repr(c)}" for d, s, c in rows) + f" ELSE {end} END"
 
 
+def _grouped(least: float) -> str:
+    """Groups by accepted scores, of the classes in ``exact``; needs WITH RECURSIVE."""
+    return f"""{_pair_scores('exact')},
+  edges AS (SELECT rep_l AS a, rep_r AS b FROM pair_scores WHERE score >= {least} UNION SELECT rep_r, rep_l FROM pair_scores WHERE score >= {least}),
+  reach(a, b) AS (SELECT DISTINCT rep, rep FROM exact UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+  comp AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a),
+  least_ AS (SELECT component, min(score) AS s FROM pair_scores JOIN comp ON rep_l = rep WHERE score >= {least} GROUP BY component),
+  grouped AS (SELECT item_id, block, rep, series, component AS group_id, concat(block, '#', component) AS group_key, coalesce(s, 1.0) AS similarity
+    FROM exact JOIN comp USING (rep) LEFT JOIN least_ USING (component)),
+  sized AS (SELECT *, count(*) OVER (PARTITION BY group_key) AS members FROM grouped)"""
+
+
+_NUMBERED = r"CASE WHEN nth = 1 THEN name ELSE concat(left(name, length(name) - length(regexp_extract(name, '[^/](\.[^./]+)$', 1))), ' (', nth, ')', regexp_extract(name, '[^/](\.[^./]+)$', 1)) END"
+_SAFE = "trim(translate({}, '<>:\"/\\|?*', '_________'), ' .')"
+#: The analysis with total order of copies, from items to evidence.
+_ANALYSIS = f"""{_MEASURED}, {_grouped(0.85)},
+  all_ AS (SELECT e.*, page_count, total_bytes, median_pixels, median_bpp, page_count IS NOT NULL AS measured, concat(scope, '/', name) AS rel_path FROM exact e LEFT JOIN metrics USING (item_id)),
+  reviews AS (SELECT a.item_id AS left_id, b.item_id AS right_id, score AS similarity, method FROM pair_scores JOIN exact a ON rep_l = a.rep JOIN exact b ON rep_r = b.rep
+    WHERE score >= 0.65 AND score < 0.85 AND a.item_id < b.item_id),
+  anc AS (SELECT item_id, total_bytes, unnest(['', split_part(scope, '/', 1), scope]) AS ancestor FROM full_),
+  stats AS (SELECT ancestor, median(total_bytes) AS mid FROM anc GROUP BY ancestor HAVING count(*) >= 4),
+  near_ AS (SELECT item_id, total_bytes / arg_max(mid, length(ancestor)) AS ratio FROM anc JOIN stats USING (ancestor) GROUP BY item_id, total_bytes),
+  by_scope AS (SELECT item_id, CASE WHEN ratio < 0.25 THEN 'small' ELSE 'large' END AS rule FROM near_ WHERE ratio < 0.25 OR ratio > 4),
+  odd AS (SELECT * FROM by_scope UNION ALL SELECT item_id, 'small_overall' FROM full_, (SELECT median(total_bytes) AS mid FROM full_) WHERE total_bytes / mid < 0.25 AND item_id NOT IN (SELECT item_id FROM by_scope)),
+  tops AS (SELECT f.item_id, page_count, total_bytes, count(*) OVER w AS n, max(page_count) OVER w AS p, max(total_bytes) OVER w AS b FROM sized JOIN full_ f USING (item_id) WHERE members > 1 WINDOW w AS (PARTITION BY group_key)),
+  thin AS (SELECT item_id, CASE WHEN page_count < p * 0.3 THEN 'few_pages' ELSE 'small_in_group' END AS rule FROM tops WHERE n > 1 AND (page_count < p * 0.3 OR total_bytes < b * 0.25)),
+  flagged AS (SELECT * FROM thin UNION ALL SELECT * FROM odd WHERE item_id NOT IN (SELECT item_id FROM thin)),
+  m AS (SELECT s.group_key, s.item_id, a.name, a.measured, f.rule, coalesce(a.median_pixels, 0) AS px, coalesce(a.median_bpp, 0) AS bpp, coalesce(a.total_bytes, 0) AS bytes,
+      CASE a.kind WHEN 'zip' THEN 4 WHEN 'rar' THEN 2 ELSE 1 END AS rank, count(*) FILTER (WHERE a.measured) OVER w AS n_able, count(f.rule) FILTER (WHERE a.measured) OVER w AS n_out
+    FROM sized s JOIN all_ a USING (item_id) LEFT JOIN flagged f USING (item_id) WHERE members > 1 WINDOW w AS (PARTITION BY s.group_key)),
+  k AS (SELECT *, CASE WHEN NOT measured THEN 'unmeasured' WHEN rule IS NOT NULL AND n_out < n_able THEN 'out' ELSE 'left' END AS state FROM m),
+  o AS (SELECT *, row_number() OVER (PARTITION BY group_key, state ORDER BY px DESC, bpp DESC, bytes DESC, rank DESC, length(name) DESC, name, item_id) AS place, count(*) OVER (PARTITION BY group_key, state) AS n_state FROM k),
+  c AS (SELECT l.group_key, l.item_id, w.item_id AS winner, CASE WHEN l.px <> w.px THEN 'median_pixels' WHEN l.bpp <> w.bpp THEN 'median_bpp' WHEN l.bytes <> w.bytes THEN 'total_bytes' WHEN l.rank <> w.rank THEN 'source_kind'
+      WHEN length(l.name) <> length(w.name) THEN 'longer_name' WHEN l.name <> w.name THEN 'name_order' ELSE 'equal' END AS why
+    FROM o l JOIN o w ON l.group_key = w.group_key AND w.state = 'left' AND w.place = 1 WHERE l.state = 'left' AND l.place > 1),
+  decisions AS (SELECT group_key, item_id, CASE state WHEN 'unmeasured' THEN 'undecided' WHEN 'out' THEN 'loser' ELSE 'winner' END AS role,
+      CASE state WHEN 'unmeasured' THEN 'unmeasured' WHEN 'out' THEN concat('outlier:', rule) ELSE 'nothing_to_compare' END AS reason_code, CAST(NULL AS BIGINT) AS reason_item FROM o WHERE state <> 'left' OR n_state = 1
+    UNION ALL SELECT o.group_key, o.item_id, 'winner', w.whys, NULL FROM o JOIN (SELECT group_key, string_agg(DISTINCT why, '/' ORDER BY why) AS whys FROM c GROUP BY group_key) w USING (group_key) WHERE state = 'left' AND place = 1
+    UNION ALL SELECT group_key, item_id, 'loser', why, winner FROM c),
+  moved AS (SELECT item_id, rel_path AS source, concat('_重複/', scope) AS folder, name, row_number() OVER (PARTITION BY scope, name ORDER BY item_id) AS nth FROM decisions JOIN all_ USING (item_id) WHERE role = 'loser'),
+  actions AS (SELECT item_id, 'move' AS action, source, concat(folder, '/', {_NUMBERED}) AS destination, 'planned' AS result FROM moved),
+  alive AS (SELECT * FROM all_ WHERE item_id IN (SELECT min(item_id) FROM all_ WHERE item_id NOT IN (SELECT item_id FROM decisions WHERE role = 'loser') GROUP BY rel_path)),
+  universe AS (SELECT a.*, s.group_id, s.members FROM all_ a JOIN sized s USING (item_id) WHERE a.item_id IN (SELECT item_id FROM alive) OR s.members > 1),
+  named AS (SELECT series, min(item_id) AS node FROM universe WHERE series <> '' GROUP BY series),
+  alike AS (SELECT a.node AS x, b.node AS y FROM (SELECT *, {{grams}} AS g FROM named) a JOIN (SELECT *, {{grams}} AS g FROM named) b ON a.node < b.node
+    WHERE greatest(CASE WHEN least(length(a.series), length(b.series)) >= 4 AND (contains(a.series, b.series) OR contains(b.series, a.series)) THEN 0.9 ELSE 0.0 END, 2.0::DOUBLE * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g))) >= 0.85),
+  linked AS (SELECT DISTINCT n.node AS x, -1 - u.group_id AS y FROM universe u JOIN named n USING (series) WHERE u.members > 1),
+  ways AS (SELECT x, y FROM alike UNION SELECT y, x FROM alike UNION SELECT x, y FROM linked UNION SELECT y, x FROM linked),
+  walk(x, y) AS (SELECT node, node FROM named UNION SELECT w.x, e.y FROM walk w JOIN ways e ON w.y = e.x),
+  cluster_of AS (SELECT x AS node, min(y) FILTER (WHERE y >= 0) AS cluster FROM walk GROUP BY x),
+  clusters AS (SELECT u.item_id, u.p_name, u.name, cluster, CASE WHEN u.item_id % 6 = 5 THEN '' ELSE u.p_name END AS display FROM universe u JOIN named USING (series) JOIN cluster_of USING (node)),
+  labels AS (SELECT cluster, display AS label FROM (SELECT cluster, display, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, length(display) DESC, display) AS place FROM clusters WHERE display <> '' GROUP BY cluster, display) WHERE place = 1),
+  default_ AS (SELECT coalesce(label, 'catalogue') AS label FROM (SELECT cluster FROM clusters GROUP BY cluster ORDER BY count(*) DESC, min(item_id) LIMIT 1) LEFT JOIN labels USING (cluster)),
+  names AS (SELECT a.item_id, CASE WHEN s <> '' THEN concat(s, ' 第', lpad(volume, 2, '0'), '巻') ELSE concat('第', lpad(volume, 2, '0'), '巻') END AS unified_name
+    FROM (SELECT a.item_id, a.volume, {_SAFE.format("left(" + _SAFE.format("coalesce(l.label, d.label)") + ", 60)")} AS s FROM alive a LEFT JOIN clusters USING (item_id) LEFT JOIN labels l USING (cluster), default_ d) a),
+  routed AS (SELECT a.item_id, a.name AS own, n.unified_name, CASE WHEN a.item_id IN (SELECT item_id FROM odd) THEN 'excluded' WHEN a.item_id IN (SELECT item_id FROM decisions WHERE role = 'undecided') THEN 'held_undecided' ELSE 'placed' END AS first_route
+    FROM alive a JOIN names n USING (item_id)),
+  placed AS (SELECT item_id, own, unified_name, CASE WHEN first_route = 'placed' AND row_number() OVER (PARTITION BY first_route, lower(unified_name) ORDER BY item_id) > 1 THEN 'held_collision' ELSE first_route END AS route FROM routed),
+  put AS (SELECT item_id, route, CASE route WHEN 'excluded' THEN '_除外/' WHEN 'placed' THEN '' ELSE '_保留/' END AS folder, CASE WHEN route = 'placed' THEN unified_name ELSE own END AS name FROM placed),
+  flat AS (SELECT item_id, route, concat(folder, {_NUMBERED}) AS destination FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY item_id) AS nth FROM put)),
+  shown AS (SELECT item_id, rel_path AS path, kind, page_count AS pages, printf('%.0f', round_even(median_pixels, 0)) AS median_pixels, printf('%.4f', median_bpp) AS bytes_per_pixel, total_bytes FROM all_),
+  evidence AS (SELECT d.group_key AS "group", CASE role WHEN 'undecided' THEN 'pending' ELSE role END AS role, s.* EXCLUDE (item_id), printf('%.2f', g.similarity) AS similarity, reason_code AS reason, coalesce(a.result, 'keep') AS result
+      FROM decisions d JOIN grouped g USING (item_id) JOIN shown s USING (item_id) LEFT JOIN actions a USING (item_id)
+    UNION ALL SELECT 'review', 'pending', s.* EXCLUDE (item_id), printf('%.2f', similarity), concat(method, ':', other), 'skipped'
+      FROM (SELECT left_id AS item_id, right_id AS other, similarity, method FROM reviews UNION ALL SELECT right_id, left_id, similarity, method FROM reviews) JOIN shown s USING (item_id))"""
+_ANALYSIS = _ANALYSIS.replace("{grams}", "CASE WHEN length(series) < 2 THEN [series] ELSE list_distinct(list_transform(range(1, length(series)), lambda i: substr(series, i, 2))) END")
+_PLAIN = {"plain_decisions": ("decisions", "* REPLACE (coalesce(reason_item, -1) AS reason_item)")} | {f"plain_{table}": (table, "*") for table in ("actions", "names", "flat", "evidence")}
+
 ORACLE_SQL: dict[str, str] = {
     "kind_inference": f"""SELECT p_partkey AS item_id, CASE WHEN s IN ('.zip', '.cbz') THEN 'zip' WHEN s IN ('.rar', '.cbr') THEN 'rar' WHEN s IN ('.7z', '.cb7') THEN '7z' ELSE '' END AS kind,
       s AS suffix, s IN ('.jpg', '.png', '.webp') AS is_image, CASE WHEN s IN ('.zip', '.cbz') THEN '.zip' ELSE s END AS unified
@@ -345,4 +567,23 @@ ORACLE_SQL: dict[str, str] = {
       FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS n FROM part)""",
     "zip_verify": """SELECT concat(p_partkey, '.jpg') AS name, CASE WHEN p_partkey % 11 = 0 THEN 'missing' WHEN p_partkey % 17 = 0 THEN 'method' ELSE 'size' END AS problem
       FROM part WHERE p_partkey % 11 = 0 OR p_partkey % 17 = 0 OR p_partkey % 13 = 0""",
+    "plain_reviews": f"WITH RECURSIVE {_ANALYSIS} SELECT left_id, right_id, round(similarity, 6) AS similarity, method FROM reviews",
+    "accepted_reviews": f"WITH RECURSIVE {_BLOCKED}, {_grouped(0.65)} SELECT item_id, group_id, round(similarity, 6) AS similarity FROM grouped",
+    **{name: f"WITH RECURSIVE {_ANALYSIS} SELECT {columns} FROM {table}" for name, (table, columns) in _PLAIN.items()},
+    "plain_summary": f"""WITH RECURSIVE {_ANALYSIS}, n AS (SELECT (SELECT count(*) FROM all_) AS n_items, 0::BIGINT AS n_no_volume, (SELECT count(*) FROM all_ WHERE NOT measured) AS n_unmeasured,
+      (SELECT count(DISTINCT group_key) FROM sized WHERE members > 1) AS n_duplicate_groups, (SELECT count(*) FROM decisions WHERE role = 'loser') AS n_losers, (SELECT count(*) FROM decisions WHERE role = 'undecided') AS n_undecided,
+      (SELECT count(*) FROM reviews) AS n_reviews) SELECT *, n_no_volume + n_undecided + n_reviews AS n_pending FROM n""",
+    "discovered_items": """WITH s AS (SELECT p_partkey % 5 AS f, p_type, p_name, p_size, p_partkey, replace(p_name, ' ', '') AS x, p_size * 100 AS b FROM part)
+      SELECT concat(p_type, '/', p_name, ' v', p_size, '_', p_partkey, '.zip') AS rel_path, 'zip' AS kind, CAST(p_size AS VARCHAR) AS volume, concat(x, p_partkey) AS series, -1 AS page_count, CAST(b AS BIGINT) AS total_bytes FROM s WHERE f = 0
+      UNION ALL SELECT concat(p_type, '/', p_name, ' 第', p_size, '巻 (', p_partkey, ')'), 'folder', CAST(p_size AS VARCHAR), x, 4, 4 * b FROM s WHERE f = 1
+      UNION ALL SELECT concat(p_type, '/', p_name, ' 第', p_size, '巻 (', p_partkey, ')/inner.zip'), 'zip', NULL, 'inner', -1, b FROM s WHERE f = 1
+      UNION ALL SELECT concat(p_type, '/', p_name, ' s', p_partkey, 'z#第1巻'), 'imageset', '1', concat(x, 's', p_partkey, 'z'), 3, 3 * b FROM s WHERE f = 2
+      UNION ALL SELECT concat(p_type, '/', p_name, ' s', p_partkey, 'z#第2巻'), 'imageset', '2', concat(x, 's', p_partkey, 'z'), 4, 4 * b FROM s WHERE f = 2
+      UNION ALL SELECT concat(p_type, '/', p_name, ' x', p_partkey, 'z'), 'folder', '5', concat(x, 'x', p_partkey, 'z'), 3, 3 * b FROM s WHERE f = 4""",
+    "zip_listing": "SELECT concat('a', page_id % 20, '.zip') AS container, concat('d', page_id % 3, '/', page_id, '.html') AS name, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size, false AS is_dir FROM pages",
+    "content_matches": """WITH h AS (SELECT label, vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
+      d AS (SELECT l.label, l.vec_id, min(list_sum(list_transform(range(1, len(l.bits) + 1), lambda i: abs(l.bits[i] - r.bits[i])))) AS d FROM h l JOIN h r ON l.label = r.label AND r.vec_id % 2 = 1 WHERE l.vec_id % 2 = 0 GROUP BY ALL)
+      SELECT label, round(avg(CASE WHEN d <= 18 THEN 1.0 ELSE 0.0 END), 6) AS share FROM d GROUP BY label""",
+    "canonical_series": f"WITH {_ITEMS} SELECT item_id, CASE series {' '.join(f"WHEN '{k.replace(' ', '')}' THEN '{v.replace(' ', '')}'" for k, v in _ALIASES.items())} ELSE series END AS canon FROM items",
+    "title_forms": f"SELECT p_partkey AS item_id, {_FORMS_NAME} AS name, {_form(1)} AS series, {_form(2)} AS volume, {_form(3)} AS volume_kind, {_form(4)} AS editions, {_form(5)} AS display FROM part".replace("AS STRING", "AS VARCHAR"),
 }

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from tomeweave.functions import columns as C
 from tomeweave.functions.title import parse_title, parsed
+from tomeweave.plans.storage import materialize
 from tomeweave.sources.backends import BackendError, Fallback
 from tomeweave.sources.images import image_header
 
 LEAST_IMAGES, MOST_ROUNDS = 3, 5
+#: Bytes of a loose image that are looked at for its size.
+HEAD_BYTES = 1 << 18
 ENTRY = "container string, name string, size bigint, is_dir boolean, error string"
-PAGE = "container string, name string, size_bytes bigint, width int, height int, image_format string, error string"
+PAGE = "container string, name string, size_bytes bigint, width int, height int, image_format string, n_pages int, size bigint, error string"
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -39,8 +42,19 @@ def _quoted(text: str) -> str:
 
 
 def _contents(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, kind and content of every file; of a single archive as root, of its members."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return found.withColumn("rel_path", _relative(root)).withColumn("kind", C.kind_of(F.col("rel_path")))
+    if not _kind(root):
+        return found.withColumn("rel_path", _relative(root)).withColumn("kind", C.kind_of(F.col("rel_path"))).select("rel_path", "kind", F.col("length").alias("size"), "content")
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (content,) in batch.itertuples(index=False):
+                archive = Fallback(bytes(content), _kind(root))
+                for name, data in archive.read([e[0] for e in archive.entries() if not e[2]]):
+                    yield pd.DataFrame([(name, _kind(name), len(data), data)], columns=["rel_path", "kind", "size", "content"])
+
+    return found.select("content").mapInPandas(members, "rel_path string, kind string, size bigint, content binary").withColumn("rel_path", C.safe_member(F.col("rel_path")))
 
 
 def _archives(spark: SparkSession, root: str, backend: str, expand: bool) -> DataFrame:
@@ -65,7 +79,10 @@ def archive_entries(spark: SparkSession, root: str, backend: str = "auto", expan
 
 
 def archive_pages(spark: SparkSession, root: str, sample: int = 16, backend: str = "auto", expand: bool = False) -> DataFrame:
-    """Measured pages of every archive below ``root``: at most ``sample`` a container, by place in natural order."""
+    """Measured pages of every archive below ``root``: at most ``sample`` a container, by place in natural order.
+
+    Each row has the container's number of pages and its size too, so that one read of an archive tells all of it.
+    """
     import re
 
     digits = re.compile(r"(\d+)", re.ASCII)
@@ -75,29 +92,30 @@ def archive_pages(spark: SparkSession, root: str, sample: int = 16, backend: str
 
     image = re.compile(r"\.(jpg|jpeg|jpe|png|gif|bmp|webp|tif|tiff|avif|jxl)$", re.IGNORECASE)
 
-    def wanted(entries: list[tuple]) -> list[tuple]:
+    def wanted(entries: list[tuple]) -> tuple[list[tuple], int]:
         pages = [e for e in entries if not e[2] and image.search(e[0]) and not e[0].lower().startswith("__macosx/") and "/__macosx/" not in e[0].lower()]
         pages.sort(key=lambda e: order(e[0]))
         n = len(pages)
         if n > sample:
             places = [0] if sample == 1 else sorted({round(i * (n - 1) / (sample - 1)) for i in range(sample)})
             pages = [pages[i] for i in places]
-        return pages
+        return pages, n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, kind, content in batch[["rel_path", "kind", "content"]].itertuples(index=False):
-                rows = []
+                rows, n, size = [], None, len(content)
                 try:
                     archive = Fallback(bytes(content), kind, backend)
-                    for name, data in archive.read([e[0] for e in wanted(archive.entries())]):
+                    pages, n = wanted(archive.entries())
+                    for name, data in archive.read([e[0] for e in pages]):
                         if head := image_header(data):
-                            rows.append((path, name, len(data), head.width, head.height, head.format, None))
+                            rows.append((path, name, len(data), head.width, head.height, head.format, n, size, None))
                     if not rows:
-                        rows = [(path, None, None, None, None, None, "no readable page")]
+                        rows = [(path, None, None, None, None, None, n, size, "no readable page")]
                 except BackendError as e:
-                    rows = [(path, None, None, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["container", "name", "size_bytes", "width", "height", "image_format", "error"]).astype({"size_bytes": "Int64", "width": "Int32", "height": "Int32"})
+                    rows = [(path, None, None, None, None, None, n, size, str(e))]
+                yield pd.DataFrame(rows, columns=["container", "name", "size_bytes", "width", "height", "image_format", "n_pages", "size", "error"]).astype({"size_bytes": "Int64", "width": "Int32", "height": "Int32", "n_pages": "Int32"})
 
     return _archives(spark, root, backend, expand).mapInPandas(run, PAGE)
 
@@ -147,9 +165,14 @@ def discover(listing: DataFrame, duplicates_folder: str = "_重複") -> DataFram
 
 
 def numbered(items: DataFrame) -> DataFrame:
-    """Adds item_id, the place in natural order of rel_path (a catalogue's items, one row each, are sorted in one task)."""
-    order = Window.orderBy(C.natural_key(F.col("rel_path")), "rel_path")
-    return items.withColumn("item_id", F.row_number().over(order).cast("bigint"))
+    """Adds item_id, the place from 1 on in natural order of rel_path: ranks within ranges, and the ranges' sizes before them."""
+    order = (F.array_join("__key", "\x00"), F.col("rel_path"))
+    placed = items.withColumn("__key", C.natural_key(F.col("rel_path"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("__at", F.monotonically_increasing_id()).drop("__key"))  # range << 33 | place in it
+    sizes = placed.groupBy(F.shiftright("__at", 33).alias("__range")).count()
+    before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    nth = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return placed.join(F.broadcast(before), F.shiftright("__at", 33) == F.col("__range")).withColumn("item_id", nth).select(*items.columns, "item_id")
 
 
 def expand_ranges(spark: SparkSession, root: str, backend: str = "auto") -> DataFrame:
@@ -211,31 +234,33 @@ def load_aliases(text: str) -> dict[str, str]:
 
 
 def read_catalogue(spark: SparkSession, root: str, sample: int = 16, backend: str = "auto") -> DataFrame:
-    """Titled, measured items below ``root``, ready for the engine."""
-    from tomeweave.operators.measure import item_metrics
+    """Titled, measured items below ``root``, a folder or a single archive, ready for the engine.
+
+    Every archive is read once, and of loose images the heads. Of folders, sets and archives alike at most ``sample`` pages
+    are measured, by place in natural order.
+    """
+    from tomeweave.operators.measure import item_metrics, sampled
 
-    plain = files(spark, root).where(C.kind_of(F.col("rel_path")) == "").select("rel_path", "size")
-    # volumes inside archives titled as a range are items of their own
-    volumes = expand_ranges(spark, root, backend).select("rel_path", F.length("content").cast("bigint").alias("size"))
-    items = numbered(discover(plain.unionByName(volumes)))
-    inner = archive_pages(spark, root, sample, backend, expand=True)
-    loose = _contents(spark, root).where(C.is_image(F.col("rel_path"))).select("rel_path", "content")
+    pages = materialize(archive_pages(spark, root, sample, backend, expand=True))  # inner volumes of range archives are items
+    volumes = pages.groupBy(F.col("container").alias("rel_path")).agg(F.max("size").alias("size"))
+    loose = _contents(spark, root).where(C.is_image(F.col("rel_path"))).select("rel_path", "size", F.substring("content", 1, HEAD_BYTES).alias("head"))
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, len(c), h.width, h.height) for p, c in batch.itertuples(index=False) if (h := image_header(bytes(c)))]
-            yield pd.DataFrame(rows, columns=["path", "size_bytes", "width", "height"])
+            rows = [(p, n, *((h.width, h.height) if (h := image_header(bytes(c))) else (None, None))) for p, n, c in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
 
-    singles = loose.mapInPandas(heads, "path string, size_bytes bigint, width int, height int")
-    folders = items.where("kind in ('folder', 'imageset')").withColumn("folder", F.substring_index("rel_path", "#", 1))
+    singles = materialize(loose.mapInPandas(heads, "path string, size_bytes bigint, width int, height int"))
+    items = numbered(discover(singles.select(F.col("path").alias("rel_path"), F.col("size_bytes").alias("size")).unionByName(volumes)))
+    folders = items.where("kind in ('folder', 'imageset')").withColumn("folder", C.place_of(F.col("rel_path"), F.col("kind")))
     placed = singles.withColumn("folder", F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")).withColumn("volume", parsed(C.base_name(F.col("path")))["volume"])
     same = (F.col("kind") == "folder") | (placed["volume"] == folders["title.volume"])
-    of_folders = placed.join(folders, "folder").where(same).select("item_id", "size_bytes", "width", "height")
-    of_archives = inner.where("error is null").join(items.select("item_id", F.col("rel_path").alias("container")), "container").select("item_id", "size_bytes", "width", "height")
-    errors = inner.where("error is not null").select(F.col("container").alias("rel_path"), F.col("error").alias("measure_error"))
-    counts = archive_entries(spark, root, backend, expand=True).where("error is null").where(C.is_page(F.col("name"), F.col("is_dir"))).groupBy(F.col("container").alias("rel_path")).agg(F.count("*").cast("int").alias("inner_pages"))
+    of_folders = placed.join(folders, "folder").where(same).withColumn("natural", C.natural_key(F.col("path")))
+    of_folders = sampled(of_folders, sample, ["natural", "path"]).where("width is not null").select("item_id", "size_bytes", "width", "height")
+    of_archives = pages.where("error is null").join(items.select("item_id", F.col("rel_path").alias("container")), "container").select("item_id", "size_bytes", "width", "height")
+    told = pages.groupBy(F.col("container").alias("rel_path")).agg(F.max("error").alias("measure_error"), F.max("n_pages").alias("inner_pages"))
     metrics = item_metrics(of_folders.unionByName(of_archives)).select("item_id", "median_pixels", "median_bpp")
-    out = items.join(metrics, "item_id", "left").join(errors, "rel_path", "left").join(counts, "rel_path", "left")
+    out = items.join(metrics, "item_id", "left").join(told, "rel_path", "left")
     return out.select(
         "item_id", "rel_path", "kind", "name", F.col("name").alias("label"), *(F.col(f"title.{c}").alias(c) for c in ("series", "volume", "volume_kind", "editions", "display")),
         C.scope_of(F.col("rel_path"), F.col("kind")).alias("scope"), F.coalesce("page_count", "inner_pages", F.lit(0)).alias("page_count"), "total_bytes",
