@@ -25,7 +25,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(ODD, SCHEMA).repartition(3)
-    clash = ("uid", "piece", "start", "length", "fp", "score", "lang_pred", "kept", "key", "block", "n", "s", "b", "k", "recipe", "mix_x", "salt", "a.b")
+    clash = ("uid", "piece", "start", "length", "fp", "score", "lang_pred", "kept", "key", "block", "n", "s", "b", "k", "recipe", "mix_x", "salt", "a.b", "mix_epoch", "_key", "_sha", "_mix_s", "salts")
     return rows.select("*", *(F.lit(i).alias(c) for i, c in enumerate(clash))).checkpoint()
 
 

@@ -48,7 +48,9 @@ def test_pack_odd_rows(odd, none, reference, capacity):
     assert packing.pack(none).collect() == []
 
 
-def test_pack_table(table, reference):
+@pytest.mark.parametrize("together", [1 << 16, 1])
+def test_pack_table(table, reference, monkeypatch, together):
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", together)
     rows = [(r.doc_id, r.text) for r in table.collect()]
     out = packing.pack(table, with_ids=True).collect()
     used = check_packing(rows, out, reference, 4096)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeweave.plans.storage import materialize, work_dir
+from tomeweave.plans.storage import file_system, materialize, work_dir
 
-__all__ = ["file_system", "materialize", "texts", "work_dir"]
+__all__ = ["bound_batches", "file_system", "materialize", "texts", "unused", "work_dir"]
 
 #: Bytes of an Arrow batch between Spark and its Python workers. Rows are whole texts; Spark's own bound is 64 MB.
 BATCH_BYTES = 4 << 20
@@ -20,16 +20,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BOUND, str(BATCH_BYTES))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as no column of ``docs`` has."""
+    taken, mark = {c.lower() for c in docs.columns}, "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text of ``docs``, in batches of bounded size."""
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def file_system(uri: str):
-    """(Arrow file system, path) of a URI below a shared folder, for files that Spark has no writer for."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import materialize, texts
+from tomeweave.llm._session import materialize, texts, unused
 from tomeweave.llm._text import col, raw_bytes, sliced
 
 #: Chunk sizes in bytes. A text of up to LEAST is one chunk.
@@ -101,9 +101,11 @@ def drop_exact(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and the SHA-256 of the text, computed alike on both sides; of repeated
     such rows one stays. Texts are shuffled once: repeated rows fall together on that key before the
-    kept keys are looked up on the same partitioning.
+    kept keys are looked up on the same partitioning. Nulls, empty and long texts as in exact_dedup; an empty table
+    stays empty, and columns of any name pass through.
     """
-    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("null")), "__sha"), 256)
-    kept = exact_dedup(docs).where("kept").withColumn("__sha", F.col("text_sha256")).select(key.alias("__key")).distinct()
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).withColumn("__key", key).drop("__sha")
-    return marked.dropDuplicates(["__key"]).join(kept, "__key", "left_semi").drop("__key")
+    sha, key = unused(docs, "sha", "key")
+    made = lambda column: F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("null")), column), 256)
+    kept = exact_dedup(docs).where("kept").select(made(F.col("text_sha256")).alias(key)).distinct()
+    marked = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).withColumn(key, made(F.col(sha))).drop(sha)
+    return marked.dropDuplicates([key]).join(kept, key, "left_semi").drop(key)

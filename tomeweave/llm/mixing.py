@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm._session import materialize
+from tomeweave.llm._session import materialize, unused
 
 #: Points of one round of the search, and rounds: 16**10 = 2**40 steps of bisection.
 GRID, ROUNDS = 16, 10
@@ -87,7 +87,8 @@ def mix(
 
     A null source is a source of its own. Sources without tokens, and so empty tables, have no weight:
     their rows are taken once. Rows with an equal doc_id in a source are taken or left together. Null
-    text has no tokens. tokens: a token count, by default that of words.
+    text has no tokens, a long one is counted whole. tokens: a token count, by default that of words. Columns named like
+    the added ones are replaced; other names pass through.
     """
     tokens = word_tokens(F.col("text")) if tokens is None else tokens
     src = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
@@ -140,7 +141,10 @@ def mix(
     cut = upto.groupBy("s", "b").agg(F.max("o").alias("cut"))
     last = materialize(placed.where("end <= rest").select("s", "b", F.lit(_ALL).cast("bigint").alias("cut")).unionByName(cut.select("s", "b", "cut")))
 
-    names = {c: f"__mix_{c}" for c in ("s", "b", "cut", "epochs", "blocks")}
+    made = ("mix_epoch", "mix_block", "mix_block_order", "mix_doc_order")
+    own_names = ("s", "b", "cut", "epochs", "blocks")
+    names = dict(zip(own_names, unused(docs, *(f"mix_{c}" for c in own_names)), strict=True))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in made))
     per_source = plan.select(F.col("s").alias(names["s"]), F.col("epochs").alias(names["epochs"]), F.col("blocks").alias(names["blocks"]))
     per_block = last.select(F.col("s").alias(names["s"]), F.col("b").alias(names["b"]), F.col("cut").alias(names["cut"]))
     rows = docs.withColumn(names["s"], src).join(per_source, names["s"]).withColumn(names["b"], id_key % F.col(names["blocks"]))
@@ -154,4 +158,4 @@ def mix(
             "mix_block_order": _key(F.lit(str(seed)), F.col("mix_epoch").cast("string"), F.col(names["s"]), F.col(names["b"]).cast("string")),
             "mix_doc_order": own(F.col("mix_epoch")),
         }
-    ).select(*(F.col(f"`{c}`") for c in docs.columns), "mix_epoch", "mix_block", "mix_block_order", "mix_doc_order")
+    ).select(*(F.col(f"`{c}`") for c in docs.columns), *made)

@@ -9,7 +9,7 @@ gap opens new sequences. This is best-fit decreasing.
 
 Lengths and gaps lie in 1..capacity whatever the size of the corpus, so the sweep works on runs of
 sequences with equal gap and on counts of pieces by length. Only those counts reach the driver
-(at most capacity x SALTS numbers). The pieces themselves get their ranks and places on the executors.
+(at most a number for each length, and one for each RANKED_TOGETHER pieces). The pieces themselves get their ranks and places on the executors.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tomeweave.llm._session import materialize, texts
 from tomeweave.llm._text import col, raw_bytes, sliced
 from tomeweave.llm._tokens import WordEncoder
 
-#: Ranks within a length are counted in so many parts, so that one frequent length is dealt to many tasks.
-SALTS = 64
+#: Pieces of one length whose ranks are counted together: a frequent length is dealt to as many tasks as it needs.
+RANKED_TOGETHER = 1 << 16
 #: Bytes of text encoded at once; a task's memory follows it.
 SLICE_BYTES = 3 << 20
 
@@ -121,15 +121,22 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
     """
     spark = docs.sparkSession
     pieces = materialize(cut_pieces(docs, capacity, end_id, tokenizer, with_ids))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
-    counted = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, salt, n in salted.groupBy("length", "salt").count().collect():  # at most capacity * SALTS rows
-        counted[length, salt] = n
-    before = np.cumsum(counted, axis=1) - counted
-    plan = best_fit_plan(counted.sum(axis=1), capacity)
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():  # at most capacity rows
+        counts[length] = n
+    salts = np.maximum(1, -(-counts // RANKED_TOGETHER))
+    begins = np.concatenate(([0], np.cumsum(salts)))  # of a length's parts
+    many = spark.createDataFrame([(length, int(n)) for length, n in enumerate(salts.tolist()) if n > 1], "length bigint, salts bigint")
+    salted = pieces.join(F.broadcast(many), "length", "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    counted = np.zeros(begins[-1], np.int64)
+    for length, salt, n in salted.groupBy("length", "salt").count().collect():
+        counted[begins[length] + salt] = n
+    before = np.cumsum(counted) - counted
+    before -= np.repeat(before[begins[:-1]], salts)
+    plan = best_fit_plan(counts, capacity)
     order = np.lexsort((plan["rank"], plan["length"]))
     shared = spark.sparkContext.broadcast(
-        {"key": (plan["length"][order] << 44) + plan["rank"][order], "before": before} | {k: plan[k][order] for k in ("rank", "sequence", "offset")}
+        {"key": (plan["length"][order] << 44) + plan["rank"][order], "before": before, "begins": begins} | {k: plan[k][order] for k in ("rank", "sequence", "offset")}
     )
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("uid")).cast("bigint"))
     out = StructType([f for f in pieces.schema if f.name != "uid"]).add("sequence_id", LongType()).add("offset", LongType())
@@ -138,7 +145,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
         p = shared.value
         for batch in batches:
             length, salt, nth = (col(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "nth"))
-            rank = p["before"][length, salt] + nth - 1
+            rank = p["before"][p["begins"][length] + salt] + nth - 1
             at = np.searchsorted(p["key"], (length << 44) + rank, side="right") - 1
             kept = [col(batch, f.name) for f in out.fields[:-2]]
             found = [pa.array(p["sequence"][at] + rank - p["rank"][at]), pa.array(p["offset"][at])] if len(at) else [pa.array([], pa.int64())] * 2

@@ -235,5 +235,5 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Documents with null doc_id stay. Repeated rows of the staying doc_id all stay.
     """
     out = near_duplicates(docs, shingle)
-    drop = out.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["__drop"], "left_anti")
+    drop = out.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")

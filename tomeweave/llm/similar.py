@@ -425,7 +425,7 @@ def family_links(docs: DataFrame, family: DataFrame, sure: DataFrame, shingle: i
     least = _millionths(similarity)
     placed = family.join(sure, "doc_id", "left").select("doc_id", "family", F.coalesce("part", "doc_id").alias("part"))
     mixed = placed.groupBy("family").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("family")
-    placed = materialize(placed.join(mixed, "family", "left_semi"))
+    placed = materialize(placed.join(_looked_up(mixed), "family", "left_semi"))
     sets = shingle_sets(docs.join(placed.select("doc_id"), "doc_id", "left_semi"), shingle)
     rows = materialize(sets.join(placed, "doc_id").where(F.size("shingles") > 0))
     sizes = rows.select("doc_id", "family", "part", F.size("shingles").alias("n"))
@@ -501,5 +501,5 @@ def keep_one_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     Documents with null doc_id stay. Repeated rows of the staying doc_id all stay.
     """
     out = similar_documents(docs, shingle, similarity)
-    drop = out.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, docs["doc_id"] == drop["__drop"], "left_anti")
+    drop = out.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")
