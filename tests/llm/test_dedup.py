@@ -195,18 +195,24 @@ def test_equal_suffixes(n_groups):
 
 
 @pytest.mark.parametrize("n_groups", [1, 7, 400])
-def test_shallow_sort_and_blind_tries(n_groups):
+def test_multikey_sort_and_blind_tries(n_groups):
     flat, at, group = grouped_suffixes(np.random.default_rng(5), n_groups)
-    live, new = suffix_dedup.shallow_sort(flat, at, group)
+    live, new, shared = suffix_dedup.multikey_sort(flat, at, group, few=10**6)
+    assert (shared == 24).all()
     classes = {}
     for k, (i, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True)):
         classes.setdefault((g, flat[i : i + 24].tobytes()), set()).add(k)
     assert {frozenset(live[new == c].tolist()) for c in set(new.tolist())} == {frozenset(c) for c in classes.values() if len(c) > 1}
+    live, new, shared = suffix_dedup.multikey_sort(flat, at, group, few=0)
+    classes = {}
+    for k, (i, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True)):
+        classes.setdefault((g, flat[i : i + 100].tobytes()), set()).add(k)
+    assert {frozenset(live[new == c].tolist()) for c in set(new.tolist())} == {frozenset(c) for c in classes.values() if len(c) > 1}
     first, seen = suffix_dedup.blind_tries(flat, at, group), {}
     assert first.tolist() == [seen.setdefault((g, flat[i : i + 100].tobytes()), k) for k, (i, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True))]
 
 
-@pytest.mark.parametrize("most", [4096, 8, 1])
+@pytest.mark.parametrize("most", [8192, 8, 1])
 def test_hot_anchor(spark, monkeypatch, most):
     """A line too short for a window, in other surroundings each time, some of them equal; dealt down to single distances."""
     monkeypatch.setattr(suffix_dedup, "MOST_ROWS", most)

@@ -12,7 +12,7 @@ WINDOW-byte prefix:
    is spread over tasks by them, and a mark tells its other rows; so a task gets a row or two for each block.
 3. The suffixes that start in those surroundings are sorted, those of one anchor and one distance to it
    together: three-way multikey quicksort over 8-byte symbols to SHALLOW bytes, then a blind trie for each group
-   that is still equal. Suffixes equal over WINDOW bytes but the earliest are repeats. An anchor with more than
+   that is still equal (one of more than FEW members is first parted further by quicksort). Suffixes equal over WINDOW bytes but the earliest are repeats. An anchor with more than
    MOST_ROWS surroundings is dealt further by the bytes that all strings of a range of distances have in common,
    halving the range each time, so no task holds more; at a single distance those are the strings themselves.
 4. Per block, spans are united and the rest of each text is hashed (or returned).
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from tomeweave.llm._session import file_system, materialize, texts, work_dir
 from tomeweave.llm._text import col, give_back, raw_bytes, sliced
 
-WINDOW, GRAM, SHALLOW = 100, 20, 24
+WINDOW, GRAM, SHALLOW, FEW = 100, 20, 24, 12
 #: An anchor can stand at 0 to REACH bytes after the start of a WINDOW-byte string.
 REACH = WINDOW - GRAM
 BLOCK_BYTES = 4 << 20
 #: Suffixes sorted at once, and surroundings of one anchor that are sorted together.
-SORTED_AT_ONCE, MOST_ROWS = 1 << 20, 4096
+SORTED_AT_ONCE, MOST_ROWS = 1 << 20, 1 << 13
 
 _ANCHOR, _COVER, _BLOCK, _FETCH, _SPREAD, _MARK = range(1, 7)
 _FIELDS = [("kind", pa.int8()), ("key", pa.int64()), ("ctx", pa.int64()), ("more", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("doc_id", pa.int64())]
@@ -259,25 +259,28 @@ def _regrouped(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(begins)), counts), begins, counts
 
 
-def shallow_sort(flat: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes at ``at`` that share their first ``depth`` bytes with another of their group: (indices into at, new groups).
+def multikey_sort(flat: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int = SHALLOW, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes at ``at`` that share a prefix with another of their group: (indices into at, new groups, bytes shared).
 
     Three-way multikey quicksort of all groups at once. In a round each group takes the median of three of its
     symbols as pivot and falls into the smaller, the equal and the larger; the equal go on with the next symbol. A
-    group of one leaves.
+    group of one is dropped. A group leaves once it shares ``depth`` bytes and has ``few`` members at most, or shares WINDOW bytes.
     """
     live, reached = np.arange(len(at)), np.zeros(len(at), np.int64)
     done: list[np.ndarray] = []
     names: list[np.ndarray] = []
+    shared: list[np.ndarray] = []
     named = 0
+    flat = np.append(flat, np.zeros(8, np.uint8))
     while True:
         group, begins, counts = _regrouped(group)
         alone = counts[group] == 1 if len(group) else np.zeros(0, bool)
-        deep = ~alone & (reached >= depth)
+        deep = ~alone & (((reached >= depth) & (counts[group] <= few)) | (reached >= WINDOW)) if len(group) else alone
         if deep.any():
             number, _, _ = _regrouped(group[deep])
             done.append(live[deep])
             names.append(number + named)
+            shared.append(reached[deep])
             named += int(number[-1]) + 1
         left = ~alone & ~deep
         live, reached, group = live[left], reached[left], group[left]
@@ -285,6 +288,8 @@ def shallow_sort(flat: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int
             break
         group, begins, counts = _regrouped(group)
         symbol = _symbols(flat, at[live] + reached)
+        if WINDOW % 8:  # the last symbol is shorter
+            symbol = np.where(reached + 8 > WINDOW, symbol >> np.uint64(64 - 8 * (WINDOW % 8)), symbol)
         three = np.sort(np.stack([symbol[begins], symbol[begins + counts // 2], symbol[begins + counts - 1]]), axis=0)
         pivot = three[1][group]
         side = 1 + (symbol > pivot).astype(np.int64) - (symbol < pivot)
@@ -299,14 +304,14 @@ def shallow_sort(flat: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int
         order = np.empty(len(live), np.int64)
         order[place] = np.arange(len(live))
         live, reached, group = live[order], (reached + 8 * (side == 1))[order], (3 * group + side)[order]
-    return (np.concatenate(done), np.concatenate(names)) if done else (live, group)
+    return (np.concatenate(done), np.concatenate(names), np.concatenate(shared)) if done else (live, group, reached)
 
 
-def _first_difference(flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first bit in which the WINDOW bytes at a and at b differ; 8 * WINDOW if they don't."""
+def _first_difference(flat: np.ndarray, a: np.ndarray, b: np.ndarray, known: int) -> np.ndarray:
+    """The first bit in which the WINDOW bytes at a and at b, of which ``known`` are equal, differ; 8 * WINDOW if they don't."""
     out = np.full(len(a), 8 * WINDOW)
     open_ = np.arange(len(a))
-    for depth in range(0, WINDOW, 8):
+    for depth in range(known, WINDOW, 8):
         size = min(8, WINDOW - depth)
         differ = _symbols(flat, a[open_] + depth, size) ^ _symbols(flat, b[open_] + depth, size)
         found = np.flatnonzero(differ)
@@ -323,8 +328,8 @@ def _bit(flat: np.ndarray, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (flat[at + (bit >> 3)] >> (7 - (bit & 7)).astype(np.uint8)) & 1
 
 
-def blind_tries(flat: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Of each suffix the index of the first in its group that shares WINDOW bytes with it.
+def blind_tries(flat: np.ndarray, at: np.ndarray, group: np.ndarray, known: int = 0) -> np.ndarray:
+    """Of each suffix the index of the first in its group that shares WINDOW bytes with it; all of a group share ``known``.
 
     A blind trie for each group, of all groups at once: nodes hold nothing but the bit at which their members part. The
     next suffix of each group walks down by those bits alone, without comparing, is compared once with the leaf it
@@ -345,7 +350,7 @@ def blind_tries(flat: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarr
             down = node[walking]
             node[walking] = child[down, _bit(flat, at[own[walking]], bit[down])]
             walking = walking[node[walking] >= 0]
-        parts = _first_difference(flat, at[own], at[~node])
+        parts = _first_difference(flat, at[own], at[~node], known)
         same = parts == 8 * WINDOW
         first[own[same]] = ~node[same]
         g, own, parts = g[~same], own[~same], parts[~same]
@@ -369,8 +374,11 @@ def equal_suffixes(flat: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple
 
     Deep-shallow sorting; members of a group stand together.
     """
-    live, group = shallow_sort(flat, at, group)
-    first = blind_tries(flat, at[live], group)
+    live, group, shared = multikey_sort(flat, at, group)
+    _, begins, counts = _regrouped(group)
+    first = np.repeat(begins, counts)
+    few = np.flatnonzero(shared < WINDOW)
+    first[few] = few[blind_tries(flat, at[live[few]], group[few], SHALLOW)]
     several = np.zeros(len(live), bool)
     again = first != np.arange(len(live))
     several[again] = several[first[again]] = True
