@@ -159,6 +159,82 @@ def test_image_headers():
     assert images.difference_hash([[9, 8, 7, 6, 5, 4, 3, 2, 1]] * 8) == -1
 
 
+def test_more_headers():
+    entries = struct.pack("<HHIHH", 256, 3, 1, 70, 0) + struct.pack("<HHII", 257, 4, 1, 90)
+    assert images.image_header(b"II*\0" + struct.pack("<IH", 8, 2) + entries) == ("TIFF", 70, 90)
+    entries = struct.pack(">HHIHH", 256, 3, 1, 7, 0) + struct.pack(">HHII", 257, 4, 1, 9)
+    assert images.image_header(b"MM\0*" + struct.pack(">IH", 8, 2) + entries) == ("TIFF", 7, 9)
+    assert images.image_header(b"II*\0" + struct.pack("<IH", 8, 1) + entries[:12]) is None
+    assert images.image_header(b"\0\0\0\x20ftypavif" + b"\0" * 30 + b"\0\0\0\x14ispe\0\0\0\0" + struct.pack(">II", 640, 480)) == ("AVIF", 640, 480)
+
+    def codestream(*fields):
+        value = at = 0
+        for number, n in fields:
+            value |= number << at
+            at += n
+        return b"\xff\x0a" + value.to_bytes(14, "little")
+
+    small = codestream((1, 1), (4, 5), (0, 3), (7, 5))  # 40 high, 64 wide, in eights
+    assert images.image_header(small) == ("JXL", 64, 40)
+    large = codestream((0, 1), (1, 2), (999, 13), (5, 3))  # 1000 high, 16 to 9
+    assert images.image_header(large) == ("JXL", 1777, 1000)
+    assert images.image_header(b"\0\0\0\x0cJXL \r\n\x87\n" + b"\0\0\0\x14ftypjxl " + b"\0\0\0\x18jxlc" + small) == ("JXL", 64, 40)
+    assert images.image_header(b"\xff\x0a\x01") is None
+
+
+def test_programs(monkeypatch):
+    class Said:
+        def __init__(self, stdout):
+            self.stdout = stdout
+
+    def find(installed, banner):
+        backends.program.cache_clear()
+        monkeypatch.setattr(backends.shutil, "which", lambda name: f"/bin/{name}" if name in installed else None)
+        monkeypatch.setattr(backends.subprocess, "run", lambda *a, **k: Said(banner))
+        found = [backends.program(n) for n in ("bsdtar", "7z")]
+        backends.program.cache_clear()
+        return found
+
+    assert find({"tar", "7za"}, b"tar (GNU tar) 1.35") == [None, "/bin/7za"]
+    assert find({"tar"}, b"bsdtar 3.7.2 - libarchive 3.7.2") == ["/bin/tar", None]
+    assert find({"bsdtar", "tar", "7zz", "7za"}, b"") == ["/bin/bsdtar", "/bin/7zz"]
+
+
+def test_one_backend_does_all(monkeypatch):
+    """A backend that lists but can't read hands over both."""
+    data = zipped({"a.png": png(3, 4)})
+
+    class ListsOnly(backends.ZipBackend):
+        def entries(self):
+            return [("other.png", 1, False)]
+
+        def read(self, names):
+            raise OSError("can't read")
+
+    monkeypatch.setitem(backends.BACKENDS, "libarchive", ListsOnly)
+    monkeypatch.setitem(backends.BACKENDS, "bsdtar", backends.ZipBackend)
+    monkeypatch.setattr(backends, "available", lambda n: n in ("libarchive", "bsdtar"))
+    assert backends.Fallback(data, "rar").attempt(lambda b: [n for n, _ in b.read([e[0] for e in b.entries()])]) == ["a.png"]
+
+
+def test_lay_out(spark, tree, tmp_path_factory):
+    out = tmp_path_factory.mktemp("flat")
+    before = {p: p.stat().st_size for p in __import__("pathlib").Path(tree).rglob("*")}
+    (__import__("pathlib").Path(tree) / "readme.txt").write_text("hello")
+    with zipfile.ZipFile(tree + "/作品名 第14巻.zip", "w") as z:
+        for i in range(3):
+            z.writestr(f"outer/inner/{i}.png", png(50, 60))
+    r = analyze(catalogue.read_catalogue(spark, tree), Options())
+    done = sinks.lay_out(r.flat, r.actions, r.items, tree, str(out))
+    folders = {p.name: sorted(x.name for x in p.iterdir()) for p in out.iterdir() if p.is_dir()}
+    assert len(folders["作品名 第07巻"]) == 6 and len(folders["作品名 第09巻"]) == 5 and folders["作品名 第14巻"] == ["0.png", "1.png", "2.png"]
+    assert "作品名 完全版 第10巻" in folders and folders["_その他"] == ["readme.txt"] and {"07.zip", "作品名09.zip"} <= set(folders["_重複"])
+    assert (out / "作品名 第13巻.zip").is_file() or any("第13巻" in d for _, d, _ in done)
+    assert {x for _, _, x in done} == {"placed", "moved", "skipped", "other"}
+    assert all(p.stat().st_size == n for p, n in before.items() if p.is_file())
+    assert sinks.lifted(["a/b/1", "a/b/2"]) == ["1", "2"] and sinks.lifted(["a/1", "b/2"]) == ["a/1", "b/2"] and sinks.lifted([]) == []
+
+
 def test_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.png").write_bytes(b"abc")
@@ -207,5 +283,9 @@ def test_command_line(spark, tree, tmp_path, capsys):
 
     assert main([tree, "--evidence", str(tmp_path / "e.csv")]) == 2
     assert "items 10" in capsys.readouterr().out and (tmp_path / "e.csv").stat().st_size > 100
+    assert main([tree, "--output", str(tmp_path / "out"), "--output-suffix=-done"]) == 2
+    (packed,) = (tmp_path / "out").iterdir()
+    with zipfile.ZipFile(packed) as z:
+        assert packed.name.endswith("-done.zip") and "作品名 第09巻/000.png" in z.namelist()
     assert main([tree, "--margin", "2"]) == 1
     assert main([str(tmp_path / "nothing")]) == 1

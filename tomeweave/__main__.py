@@ -24,10 +24,38 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--duplicates-folder", help="folder for losers")
     p.add_argument("--aliases", help="JSON file of series aliases")
     p.add_argument("--backend", default="auto", help="archive backend")
+    p.add_argument("--output", help="folder for the laid-out result, one archive for each input; without it nothing but evidence is written")
+    p.add_argument("--output-suffix", default="_flat", help="put after the input's name for the result")
+    p.add_argument("--wrap-format", choices=("rar", "zip"), default="zip", help="kind of the result; rar needs its program, else zip")
+    p.add_argument("--rar-level", type=int, default=3, help="compression of a rar result, 0 to 5")
+    p.add_argument("--recovery", type=int, default=5, help="recovery record of a rar result in percent, 0 to 10")
+    p.add_argument("--work-dir", help="where the result is laid out before it is packed; by default beside the output")
+    p.add_argument("--keep-work-dir", action="store_true", help="leave the laid-out result there")
     p.add_argument("--evidence", help="CSV file for the evidence; with several paths a number is put before its suffix")
     return p
 
 
+def _write(result, path, output, args, options) -> None:
+    """Lay the result of one input out and pack it."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    from tomeweave.sources.sinks import lay_out, wrap
+
+    if not path.is_dir():
+        raise ValueError("a result is laid out for folders; unpack a single archive first")
+    output.mkdir(parents=True, exist_ok=True)
+    work = tempfile.mkdtemp(prefix=f".{path.name}-", dir=args.work_dir or output)
+    try:
+        done = lay_out(result.flat, result.actions, result.items, str(path), f"{work}/out", options.folders["others"])
+        packed, warning = wrap(f"{work}/out", str(output / f"{path.name}{args.output_suffix}"), args.wrap_format, args.rar_level, args.recovery)
+    finally:
+        if not args.keep_work_dir:
+            shutil.rmtree(Path(work), ignore_errors=True)
+    print(f"{packed}: {len(done)} entries, {sum(r == 'skipped' for _, _, r in done)} skipped{'; ' + warning if warning else ''}")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.verify_content:
@@ -47,6 +75,7 @@ def main(argv: list[str] | None = None) -> int:
             sample=args.sample, margin=args.margin, auto=args.auto, review=args.review, accept_review=args.accept_review,
             aliases=load_aliases(Path(args.aliases).read_text(encoding="utf-8")) if args.aliases else {}, retry_overflow=not args.no_retry_overflow,
             verify_content=args.verify_content, delete_losers=args.delete_losers, language=args.language, duplicates_folder=args.duplicates_folder,
+            wrap_format=args.wrap_format, rar_level=args.rar_level, recovery_percent=args.recovery,
         ).checked()
     except (ValueError, OSError) as e:
         print(e, file=sys.stderr)
@@ -60,6 +89,8 @@ def main(argv: list[str] | None = None) -> int:
             if args.evidence:
                 out = Path(args.evidence)
                 write_evidence_file(result.evidence, str(out if len(args.paths) == 1 else out.with_name(f"{out.stem}-{k + 1}{out.suffix}")))
+            if args.output:
+                _write(result, Path(path), Path(args.output), args, options)
         except Exception as e:  # one bad input must not end the others
             print(f"{path}: {e}", file=sys.stderr)
             failed += 1

@@ -43,10 +43,18 @@ def adopt_scope_series(items: DataFrame, aliases: dict | None = None) -> DataFra
     return items.join(donors, "scope", "left").withColumn("series", F.when(nameless, F.col("donor")).otherwise(F.col("series"))).drop("donor").select(*items.columns)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; it depends on the order of its arguments."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype=float)
+def sequence_ratio(left: Column, right: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp ratio, which depends on the order of its arguments; 0 where the characters shared, as bags, don't reach ``least``."""
+
+    def one(a: str, b: str) -> float:
+        matcher = SequenceMatcher(None, a, b)
+        return matcher.ratio() if matcher.quick_ratio() >= least else 0.0
+
+    @F.pandas_udf(DoubleType())
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
+
+    return run(left, right)
 
 
 def substring_score(left: Column, right: Column) -> Column:
@@ -72,10 +80,10 @@ def scored(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     """
     l, r = F.col("canon_l"), F.col("canon_r")
     total = F.length(l) + F.length(r)
-    bound = 2.0 * F.least(F.length(l), F.length(r)) / F.greatest(total, F.lit(1))
-    fuzzy = (l != "") & (r != "") & (l != r) & (bound >= least)
+    shorter = 2.0 * F.least(F.length(l), F.length(r)) / F.greatest(total, F.lit(1))
+    fuzzy = (l != "") & (r != "") & (l != r) & (shorter >= least)
     out = pairs.withColumn("part", F.coalesce(substring_score(l, r), F.lit(-1.0))).withColumn("grams", C.dice(l, r))
-    out = out.withColumn("seq", sequence_ratio(F.when(fuzzy, l).otherwise(""), F.when(fuzzy, r).otherwise("x")))
+    out = out.withColumn("seq", sequence_ratio(F.when(fuzzy, l).otherwise(""), F.when(fuzzy, r).otherwise("x"), least))
     best = F.greatest("part", "seq", "grams")
     score = F.when((l == "") & (r == ""), 1.0).when((l == "") | (r == ""), ONE_SIDED).when(l == r, 1.0).otherwise(best)
     method = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeweave.functions import columns as C
@@ -11,6 +11,26 @@ LOW, HIGH, LEAST_MEMBERS = 0.25, 4.0, 4
 LEAST_PAGES, LEAST_BYTES = 0.3, 0.25
 
 
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n and mid, the exact median of a positive ``value``.
+
+    No key's values meet in one task: counts by narrow classes of size tell in which classes the middle ranks lie, and only values of
+    those are counted one by one.
+    """
+    size = F.floor(F.log2(F.col(value)) * F.lit(256)).cast("int")
+    classed = rows.select(key, F.col(value).alias("v"), size.alias("class"))
+    counts = classed.groupBy(key, "class").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(key).orderBy("class")  # some thousands of classes a key at most
+    placed = counts.withColumn("n", F.sum("c").over(Window.partitionBy(key))).withColumn("start", F.sum("c").over(w) - F.col("c"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = placed.where((F.col("start") <= high) & (F.col("start") + F.col("c") > low)).select(key, "class", "n", "start")
+    each = classed.join(middle, [key, "class"]).groupBy(key, "class", "n", "start", "v").agg(F.count("*").alias("c"))
+    run = Window.partitionBy(key, "class").orderBy("v")
+    each = each.withColumn("end", F.col("start") + F.sum("c").over(run)).withColumn("begin", F.col("end") - F.col("c"))
+    held = lambda rank: F.max(F.when((F.col("begin") <= rank) & (F.col("end") > rank), F.col("v").cast("double")))
+    return each.groupBy(key, "n").agg(((held(low) + held(high)) / 2).alias("mid"))
+
+
 def judged(items: DataFrame) -> DataFrame:
     """Single volumes with measured pages and a size."""
     return items.where("measured and total_bytes > 0 and volume_kind = 'number' and volume is not null")
@@ -19,10 +39,10 @@ def judged(items: DataFrame) -> DataFrame:
 def scope_outliers(items: DataFrame) -> DataFrame:
     """item_id, rule, ratio for items far off the median of the nearest folder with LEAST_MEMBERS judged items.
 
-    Every item counts in each of its ancestors; medians are one aggregation over them.
+    Every item counts in each of its ancestors.
     """
     rows = judged(items).select("item_id", "total_bytes", F.explode(C.ancestors(F.col("scope"))).alias("ancestor"))
-    stats = rows.groupBy("ancestor").agg(F.count("*").alias("n"), F.median("total_bytes").alias("mid")).where(F.col("n") >= LEAST_MEMBERS)
+    stats = medians(rows, "ancestor", "total_bytes").where(F.col("n") >= LEAST_MEMBERS)
     nearest = rows.join(stats, "ancestor").groupBy("item_id", "total_bytes").agg(F.max_by("mid", F.length("ancestor")).alias("mid"))
     ratio = F.col("total_bytes") / F.col("mid")
     rule = F.when(ratio < LOW, "small").when(ratio > HIGH, "large")
@@ -32,7 +52,7 @@ def scope_outliers(items: DataFrame) -> DataFrame:
 def job_outliers(items: DataFrame) -> DataFrame:
     """item_id, rule, ratio for items far below the job's median; ranges count as so many volumes."""
     rows = items.where("measured and total_bytes > 0 and volume is not null and volume_kind in ('number', 'range')")
-    overall = judged(items).agg(F.count("*").alias("n"), F.median("total_bytes").alias("mid")).where(F.col("n") >= LEAST_MEMBERS)
+    overall = medians(judged(items).select(F.lit(0).alias("all"), "total_bytes"), "all", "total_bytes").where(F.col("n") >= LEAST_MEMBERS).select("mid")
     ends = F.split("volume", "-")
     span = F.when(F.col("volume_kind") == "range", ends[1].cast("int") - ends[0].cast("int") + 1).otherwise(1)
     ratio = F.col("total_bytes") / (F.col("mid") * span)

@@ -291,6 +291,13 @@ def plain_decisions(spark, sf_dir):
     return _plain_analysis(spark, sf_dir).decisions.withColumn("reason_item", F.coalesce("reason_item", F.lit(-1)))
 
 
+def plain_overflow(spark, sf_dir):
+    items = materialize(matching.adopt_scope_series(_items(spark, sf_dir)))
+    groups, reviews = matching.group_items(items, _BUILT_IN)
+    groups, _ = overflow.retry_overflow(materialize(groups), reviews, items, _BUILT_IN)
+    return groups.select("item_id", "group_key", F.round("similarity", 6).alias("similarity"), "pos")
+
+
 def plain_actions(spark, sf_dir):
     return _plain_analysis(spark, sf_dir).actions
 
@@ -410,7 +417,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         item_metrics, sampled_metrics, series_scores, similarity_full, scope_adoption, exact_groups, dup_groups, dup_groups_full,
         review_pairs, overflow_scopes, overflow_regroup, scope_outliers, job_outliers, thin_members, pairwise_quality, winners_all,
         winners_exact, hash_distance, majority_name, padded_volumes, unified_names, flatten_plan, loser_actions, collision_rename,
-        evidence_rows, job_summary, zip_verify, plain_reviews, accepted_reviews, plain_decisions, plain_actions, plain_names, plain_flat,
+        evidence_rows, job_summary, zip_verify, plain_reviews, accepted_reviews, plain_decisions, plain_overflow, plain_actions, plain_names, plain_flat,
         plain_evidence, plain_summary, canonical_series, title_forms, discovered_items, zip_listing, content_matches,
     )
 }
@@ -507,6 +514,28 @@ _ANALYSIS = f"""{_MEASURED}, {_grouped(0.85)},
     UNION ALL SELECT 'review', 'pending', s.* EXCLUDE (item_id), printf('%.2f', similarity), concat(method, ':', other), 'skipped'
       FROM (SELECT left_id AS item_id, right_id AS other, similarity, method FROM reviews UNION ALL SELECT right_id, left_id, similarity, method FROM reviews) JOIN shown s USING (item_id))"""
 _ANALYSIS = _ANALYSIS.replace("{grams}", "CASE WHEN length(series) < 2 THEN [series] ELSE list_distinct(list_transform(range(1, length(series)), lambda i: substr(series, i, 2))) END")
+
+
+def _overflow_round(depth: int, before: str) -> str:
+    """Merges of one depth among the single groups ``before``: over{depth}, and what is left: left{depth}."""
+    scope = ("''", "split_part(lo, '/', 1)", "lo")[depth]
+    return f"""u{depth} AS (SELECT *, {scope} AS scope FROM {before} WHERE deep >= {depth}),
+  b{depth} AS (SELECT *, count(*) OVER (PARTITION BY scope, block) AS k FROM u{depth} WHERE scope IN (SELECT scope FROM u{depth} GROUP BY scope HAVING count(*) > max(number))),
+  over{depth} AS (SELECT group_key, block, first, canon, concat(block, '#relaxed:', CASE WHEN scope = '' THEN '.' ELSE scope END) AS new_key FROM b{depth} WHERE k > 1),
+  left{depth} AS (SELECT * FROM {before} WHERE group_key NOT IN (SELECT group_key FROM over{depth}))"""
+
+
+_OVERFLOW = f"""{_BLOCKED}, {_grouped(0.85)},
+  singles AS (SELECT g.group_key, g.block, min(g.item_id) AS first, arg_min(g.series, g.item_id) AS canon, min(CAST(e.volume AS INT)) AS number, min(e.scope) AS lo,
+    CASE WHEN min(e.scope) = max(e.scope) THEN 2 WHEN split_part(min(e.scope), '/', 1) = split_part(max(e.scope), '/', 1) THEN 1 ELSE 0 END AS deep FROM grouped g JOIN exact e USING (item_id) GROUP BY g.group_key, g.block),
+  {_overflow_round(2, "singles")}, {_overflow_round(1, "left2")}, {_overflow_round(0, "left1")},
+  merges AS (SELECT * FROM over2 UNION ALL SELECT * FROM over1 UNION ALL SELECT * FROM over0),
+  grams AS (SELECT *, {{grams}} AS g FROM (SELECT *, canon AS series FROM merges)),
+  least2 AS (SELECT a.new_key, min(CASE WHEN a.canon = '' OR b.canon = '' THEN 0.7 ELSE greatest(CASE WHEN least(length(a.canon), length(b.canon)) >= 4 AND (contains(a.canon, b.canon) OR contains(b.canon, a.canon)) THEN 0.9 ELSE 0.0 END,
+    2.0::DOUBLE * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g))) END) AS s FROM grams a JOIN grams b ON a.new_key = b.new_key AND a.first < b.first GROUP BY a.new_key)
+  SELECT item_id, new_key AS group_key, round(s, 6) AS similarity, row_number() OVER (PARTITION BY new_key ORDER BY first, item_id) AS pos FROM grouped JOIN merges USING (group_key) JOIN least2 USING (new_key)
+  UNION ALL SELECT item_id, group_key, round(similarity, 6), item_id FROM grouped WHERE group_key NOT IN (SELECT group_key FROM merges)"""
+_OVERFLOW = _OVERFLOW.replace("{grams}", "CASE WHEN length(series) < 2 THEN [series] ELSE list_distinct(list_transform(range(1, length(series)), lambda i: substr(series, i, 2))) END")
 _PLAIN = {"plain_decisions": ("decisions", "* REPLACE (coalesce(reason_item, -1) AS reason_item)")} | {f"plain_{table}": (table, "*") for table in ("actions", "names", "flat", "evidence")}
 
 ORACLE_SQL: dict[str, str] = {
@@ -570,6 +599,7 @@ ORACLE_SQL: dict[str, str] = {
     "plain_reviews": f"WITH RECURSIVE {_ANALYSIS} SELECT left_id, right_id, round(similarity, 6) AS similarity, method FROM reviews",
     "accepted_reviews": f"WITH RECURSIVE {_BLOCKED}, {_grouped(0.65)} SELECT item_id, group_id, round(similarity, 6) AS similarity FROM grouped",
     **{name: f"WITH RECURSIVE {_ANALYSIS} SELECT {columns} FROM {table}" for name, (table, columns) in _PLAIN.items()},
+    "plain_overflow": f"WITH RECURSIVE {_OVERFLOW}",
     "plain_summary": f"""WITH RECURSIVE {_ANALYSIS}, n AS (SELECT (SELECT count(*) FROM all_) AS n_items, 0::BIGINT AS n_no_volume, (SELECT count(*) FROM all_ WHERE NOT measured) AS n_unmeasured,
       (SELECT count(DISTINCT group_key) FROM sized WHERE members > 1) AS n_duplicate_groups, (SELECT count(*) FROM decisions WHERE role = 'loser') AS n_losers, (SELECT count(*) FROM decisions WHERE role = 'undecided') AS n_undecided,
       (SELECT count(*) FROM reviews) AS n_reviews) SELECT *, n_no_volume + n_undecided + n_reviews AS n_pending FROM n""",

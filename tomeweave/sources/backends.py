@@ -14,13 +14,15 @@ import shutil
 import subprocess
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 TIMEOUT = 600
 #: Orders of trial.
 ORDER = {"zip": ("zipfile",), "rar": ("libarchive", "bsdtar", "rarfile", "unrar", "7z"), "7z": ("py7zr", "libarchive", "bsdtar", "7z")}
 _UNREADABLE = (b"unreadable filename", b"skipping")
+#: Names under which a program may be installed, and what its --version must say where another program has that name too.
+PROGRAMS = {"bsdtar": (("bsdtar", ""), ("tar", "bsdtar")), "7z": (("7z", ""), ("7zz", ""), ("7za", "")), "unrar": (("unrar", ""),)}
 
 
 class BackendError(Exception):
@@ -86,6 +88,7 @@ class _InFile:
         self.path.write_bytes(data)
 
     def run(self, *command: str) -> bytes:
+        command = (program(command[0]) or command[0], *command[1:])
         done = subprocess.run(command, capture_output=True, timeout=TIMEOUT, check=False)
         if done.returncode or any(x in done.stderr for x in _UNREADABLE):
             raise BackendError(f"{command[0]}: exit {done.returncode}: {done.stderr[-300:].decode(errors='replace')}")
@@ -181,6 +184,23 @@ BACKENDS = {
 }
 
 
+@functools.cache
+def program(name: str) -> str | None:
+    """The path of a program of PROGRAMS; looked for once a process."""
+    for called, banner in PROGRAMS[name]:
+        path = shutil.which(called)
+        if path and banner:
+            try:
+                said = subprocess.run([path, "--version"], capture_output=True, timeout=20, check=False).stdout
+            except (OSError, subprocess.SubprocessError):
+                continue
+            if banner.encode() not in said:
+                continue
+        if path:
+            return path
+    return None
+
+
 @functools.cache
 def available(name: str) -> bool:
     """Whether this machine has a backend; tested once a process."""
@@ -188,7 +208,7 @@ def available(name: str) -> bool:
         return True
     if name in ("libarchive", "rarfile", "py7zr"):
         return importlib.util.find_spec(name) is not None
-    return shutil.which(name) is not None
+    return program(name) is not None
 
 
 class Fallback:
@@ -203,7 +223,8 @@ class Fallback:
         if not self.names:
             raise BackendError(f"no backend for {kind}")
 
-    def _try(self, use):
+    def attempt(self, use: Callable):
+        """What ``use`` makes of the first backend with which all of it works: listing and reading are one backend's."""
         errors = []
         for name in self.names:
             try:
@@ -213,8 +234,8 @@ class Fallback:
         raise BackendError("; ".join(errors))
 
     def entries(self) -> list[tuple]:
-        return self._try(lambda b: b.entries())
+        return self.attempt(lambda b: b.entries())
 
     def read(self, names: Iterable[str]) -> list[tuple[str, bytes]]:
         names = list(names)
-        return self._try(lambda b: list(b.read(names)))
+        return self.attempt(lambda b: list(b.read(names)))

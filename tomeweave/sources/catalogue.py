@@ -101,16 +101,17 @@ def archive_pages(spark: SparkSession, root: str, sample: int = 16, backend: str
             pages = [pages[i] for i in places]
         return pages, n
 
+    def measured(archive) -> tuple[int, list[tuple]]:
+        pages, n = wanted(archive.entries())
+        return n, [(name, len(data), head) for name, data in archive.read([e[0] for e in pages]) if (head := image_header(data))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, kind, content in batch[["rel_path", "kind", "content"]].itertuples(index=False):
                 rows, n, size = [], None, len(content)
                 try:
-                    archive = Fallback(bytes(content), kind, backend)
-                    pages, n = wanted(archive.entries())
-                    for name, data in archive.read([e[0] for e in pages]):
-                        if head := image_header(data):
-                            rows.append((path, name, len(data), head.width, head.height, head.format, n, size, None))
+                    n, heads = Fallback(bytes(content), kind, backend).attempt(measured)
+                    rows = [(path, name, length, head.width, head.height, head.format, n, size, None) for name, length, head in heads]
                     if not rows:
                         rows = [(path, None, None, None, None, None, n, size, "no readable page")]
                 except BackendError as e:

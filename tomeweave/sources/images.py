@@ -13,7 +13,7 @@ class Header(NamedTuple):
 
 
 def image_header(data: bytes) -> Header | None:
-    """Header of a PNG, JPEG, GIF, BMP or WebP image; null if it is none or is cut short."""
+    """Header of a PNG, JPEG, GIF, BMP, WebP, TIFF, AVIF or JPEG XL image; null if it is none or is cut short."""
     try:
         if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR":
             return Header("PNG", *struct.unpack(">II", data[16:24]))
@@ -26,11 +26,59 @@ def image_header(data: bytes) -> Header | None:
             return _webp(data)
         if data[:2] == b"\xff\xd8":
             return _jpeg(data)
-    except (struct.error, IndexError):
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            return _tiff(data)
+        if data[4:8] == b"ftyp" and data[8:12] in (b"avif", b"avis"):
+            at = data.index(b"ispe")
+            return Header("AVIF", *struct.unpack(">II", data[at + 8 : at + 16]))
+        if data[:2] == b"\xff\x0a":
+            return _jxl(data[2:])
+        if data[4:8] == b"JXL ":
+            found = [data.find(kind) for kind in (b"jxlc", b"jxlp")]
+            at = max(found) if found[0] < 0 else found[0]
+            return _jxl(data[data.index(b"\xff\x0a", at) + 2 :])
+    except (struct.error, IndexError, ValueError):
         pass
     return None
 
 
+def _tiff(data: bytes) -> Header:
+    """The first directory's width (tag 256) and height (257), as short or long numbers."""
+    order = "<" if data[:2] == b"II" else ">"
+    (at,) = struct.unpack(order + "I", data[4:8])
+    (n,) = struct.unpack(order + "H", data[at : at + 2])
+    sizes = {}
+    for entry in range(at + 2, at + 2 + 12 * n, 12):
+        tag, kind = struct.unpack(order + "HH", data[entry : entry + 4])
+        if tag in (256, 257):
+            sizes[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), data[entry + 8 : entry + (10 if kind == 3 else 12)])[0]
+    if len(sizes) < 2:
+        raise ValueError("no size")
+    return Header("TIFF", sizes[256], sizes[257])
+
+
+def _jxl(data: bytes) -> Header:
+    """The size header of a codestream: bits from the lowest on."""
+    bits, at = int.from_bytes(data[:16], "little"), 0
+    if len(data) < 12:
+        raise ValueError("cut short")
+
+    def take(n: int) -> int:
+        nonlocal at
+        at += n
+        return bits >> at - n & (1 << n) - 1
+
+    def size(small: int) -> int:
+        return 8 * (take(5) + 1) if small else take((9, 13, 18, 30)[take(2)]) + 1
+
+    small = take(1)
+    height = size(small)
+    ratio = take(3)
+    # fixed values: the ratios of width to height that need no width
+    width = height * (0, 1, 12, 4, 3, 16, 5, 2)[ratio] // (1, 1, 10, 3, 2, 9, 4, 1)[ratio] if ratio else size(small)
+    return Header("JXL", width, height)
+
+
 def _webp(data: bytes) -> Header | None:
     chunk = data[12:16]
     if chunk == b"VP8X":
