@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tomeweave.operators import matching, measure, outliers, overflow, winners
 from tomeweave.operators import cluster
 from tomeweave.operators.cluster import connected_components
+from tomeweave.plans import storage
 from tomeweave.plans.engine import analyze, titled
 from tomeweave.plans.options import Options
 from tomeweave.sources.catalogue import load_aliases
@@ -60,6 +61,15 @@ def test_scores(spark):
     assert by[pairs[2]][0] == 0.7 and by[pairs[3]] == (1.0, "volume_only") and by[pairs[4]] == (1.0, "equal")
 
 
+def test_work_folders_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_MADE", [])
+    table = storage.materialize(spark.range(5))
+    assert table.count() == 5 and storage.work_dir(spark) and storage.remove_work() == 1  # the second was never written to
+    assert storage.remove_work() == 0
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|NOT_EXIST"):
+        spark.range(1).crossJoin(table).count()
+
+
 @pytest.mark.parametrize("at_once", [1 << 18, 0])
 def test_components(spark, monkeypatch, at_once):
     monkeypatch.setattr(cluster, "ONE_TASK", at_once)

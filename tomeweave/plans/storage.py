@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``.
 
@@ -30,7 +33,8 @@ def work_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base if base.startswith("/") else base
-    return f"{base.rstrip('/')}/tomeweave-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/tomeweave-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def file_system(uri: str):
@@ -42,6 +46,22 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def remove_work() -> int:
+    """Delete all work folders that this process has made; returns how many were there.
+
+    Results read from them: call it once they are consumed or written elsewhere.
+    """
+    from pyarrow.fs import FileType
+
+    found = 0
+    while _MADE:
+        files, path = file_system(_MADE.pop())
+        if files.get_file_info(path).type == FileType.Directory:
+            files.delete_dir(path)
+            found += 1
+    return found
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     path = work_dir(df.sparkSession)
