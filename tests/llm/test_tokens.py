@@ -87,6 +87,9 @@ def test_tables_odd_rows(odd, none, reference):
     keys = [(r.doc_id is not None, r.doc_id or 0) for r in out]
     assert keys == sorted(keys)
     assert token_tables.read_tables(token_tables.write_tables(none)).collect() == []
+    for doc in (7, 2, 3, None, -9, 12345):
+        want = sorted([*reference(t), 2] for d, t, _, _ in ODD if d == doc)
+        assert sorted(x.tolist() for x in token_tables.find(manifest, doc)) == want
     found = 0
     for row in manifest.collect():
         files, path = file_system(row.path)

@@ -180,10 +180,11 @@ class TableReader:
 def write_tables(docs: DataFrame, folder: str | None = None, end_id: int = 2, tokenizer: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode every document and write files in ascending doc_id order; returns the manifest.
 
-    Manifest rows: part, file (order of the files), path, n_docs, n_ids. Tasks write under a name of
+    Manifest rows: part, file (order of the files), path, n_docs, n_ids, first and last (keys in hex, which sort as the keys do). Tasks write under a name of
     their own and rename at the end, so a repeated attempt replaces a file by an equal one. A task with
     more than ``file_bytes`` goes on in a further file. Null text counts as empty; null doc_ids come
-    first; rows with an equal doc_id follow each other in order of text. Other columns are not read.
+    first; rows with an equal doc_id follow each other in order of text. Other columns are not read, an empty table gives an empty
+    manifest, and a text of any length is one entry.
     """
     spark = docs.sparkSession
     folder = folder or work_dir(spark)
@@ -204,7 +205,7 @@ def write_tables(docs: DataFrame, folder: str | None = None, end_id: int = 2, to
             stream.close()
             name = f"{root}/part-{part:06d}-{len(done):04d}.sst"
             files.move(f"{root}/.{part}-{attempt}", name)
-            done.append((part, len(done), f"{folder}/part-{part:06d}-{len(done):04d}.sst", len(writer.keys), writer.ids))
+            done.append((part, len(done), f"{folder}/part-{part:06d}-{len(done):04d}.sst", len(writer.keys), writer.ids, writer.keys[0].hex(), writer.keys[-1].hex()))
 
         for batch in sliced(batches, "text"):
             ids, offsets = encoder.encode(*raw_bytes(col(batch, "text")))
@@ -220,9 +221,23 @@ def write_tables(docs: DataFrame, folder: str | None = None, end_id: int = 2, to
                     writer = None
         if writer is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "file", "path", "n_docs", "n_ids"])
-
-    return materialize(ordered.mapInArrow(write, "part int, file int, path string, n_docs bigint, n_ids bigint"))
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*done, strict=True) if done else [[]] * 7, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["part", "file", "path", "n_docs", "n_ids", "first", "last"])
+
+    return materialize(ordered.mapInArrow(write, "part int, file int, path string, n_docs bigint, n_ids bigint, first string, last string"))
+
+
+def find(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of every document with this doc_id, by binary search: the manifest tells the files, their indexes the blocks."""
+    low, high = encode_key(doc_id).hex(), encode_key(doc_id, (1 << 32) - 1).hex()
+    out, ordinal = [], 0
+    for row in manifest.where((F.col("last") >= low) & (F.col("first") <= high)).orderBy("part", "file").collect():  # two files or three
+        files, at = file_system(row["path"])
+        with files.open_input_file(at) as stream:
+            reader = TableReader(stream, stream.size())
+            while (value := reader.get(encode_key(doc_id, ordinal))) is not None:
+                out.append(np.frombuffer(value, "<u4"))
+                ordinal += 1
+    return out
 
 
 def read_tables(manifest: DataFrame) -> DataFrame:
