@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but the last returns the columns
 of ``documents``. ``run`` writes each stage's result to the shared folder and reads it for the next.
+
+Odd rows, in every stage: a null text counts as empty; columns of any name pass through; an empty table gives
+an empty table; texts of any length are read whole. Rows with a null doc_id stay where ids decide (near duplicates) and
+are told apart by their text where copies do (exact duplicates).
 """
 
 from __future__ import annotations
@@ -23,28 +27,37 @@ MOST_REPEATED, TARGET_ENTROPY = 2.0, 0.95
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the model, fitted on their labelled rows, can tell."""
+    """Keep documents in a language that the model, fitted on their labelled rows, can tell; null, empty and letterless texts go.
+
+    Without labelled rows no language can be told and all go. Repeated rows go or stay together.
+    """
     found = language.predict(docs, language.fit(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the row with the largest doc_id."""
+    """Of equal texts keep the row with the largest doc_id; of repeated rows of it, one."""
     return drop_exact(docs).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 or more (5-word shingles) keep the row with the smallest doc_id."""
+    """Of texts linked by a similarity of 0.8 or more (5-word shingles) keep the row with the smallest doc_id.
+
+    Texts without words are alike. Repeated rows of the staying doc_id stay.
+    """
     return keep_one_similar(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Flatten the sources; a row for each reading, so small sources' documents come up to MOST_REPEATED times."""
+    """Flatten the sources; a row for each reading, so small sources' documents come up to MOST_REPEATED times.
+
+    A null source is one of its own; sources without tokens are read once.
+    """
     return mix(docs, target_entropy=TARGET_ENTROPY, max_repetition=MOST_REPEATED).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every document's tokens in sequences of 4096."""
+    """Place every document's tokens in sequences of 4096; an empty text is its end id alone, repeated rows are packed each."""
     return pack(docs)
 
 
