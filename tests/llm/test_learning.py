@@ -227,10 +227,6 @@ def test_verdict(spark):
     assert got[0].longest_repeat <= 0.2 * got[0].n_words and got[1].n_covered_words <= 0.3 * got[1].n_words
 
 
-def brute_mix_totals(docs, epochs_of):
-    return {s: sum(n * epochs_of.get(s, 1) for x, n in docs if x == s) for s, _ in docs}
-
-
 def test_mix_odd_rows(odd, none):
     out = mixing.mix(odd, target_entropy=0.95)
     assert out.columns == [*(c for c in odd.columns if c != "mix_epoch"), "mix_epoch", "mix_block", "mix_block_order", "mix_doc_order"]

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tomeweave.llm import similar
 from tomeweave.llm._text import raw_bytes
@@ -89,15 +90,43 @@ def test_planted_copies(spark, monkeypatch, members):
     assert got == brute_groups(rows)
 
 
-def test_recall_on_table(table):
+def test_table(table):
     rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect() if r.doc_id is not None]
     got = {r.doc_id: r.component_id for r in similar.similar_documents(table).collect()}
-    sets = {d: shingles(t) for d, t in rows}
-    pairs = [(a, b, jaccard(sets[a], sets[b])) for a, b in combinations(sets, 2)]
-    near = [got[a] == got[b] for a, b, s in pairs if s >= 0.8]
-    assert not near or np.mean(near) >= 0.9
-    far = brute_groups(rows, 0.72)
-    assert all(far[d] == far[c] for d, c in got.items())
+    assert got == brute_groups(rows)
+
+
+@pytest.mark.parametrize("limit", [100, 224, 500])
+def test_wide_index_finds_all(limit):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 64, (6, 16), dtype=np.uint64)
+    v = base[rng.integers(0, 6, 300)]
+    for _ in range(80):  # up to so many bits from their base
+        v[np.arange(300), rng.integers(0, 16, 300)] ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    index = similar.WideGrayIndex(v)
+    found = {(int(index.order[a]), int(index.order[b])): int(d) for i, j, bits in index.pairs(limit) for a, b, d in zip(i, j, bits, strict=True)}
+    want = {}
+    for a, b in combinations(range(300), 2):
+        d = int(np.bitwise_count(v[a] ^ v[b]).sum())
+        if d <= limit:
+            want[a, b] = d
+    assert {tuple(sorted(k)): d for k, d in found.items()} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("most", [4, 25, 1000])
+def test_all_parts_of_a_key_meet(spark, most):
+    """A part with most of a key's rows, some middling parts and many single ones; cells stay small."""
+    rng = random.Random(2)
+    rows = [(k, p, 1000 * k + i) for k in range(3) for i, p in enumerate([0] * 150 * k + [1] * 20 + [2] * 9 + list(range(10, 60)))]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "key bigint, part bigint, doc_id bigint")
+    cells = {}
+    for r in similar._dealt(frame, "key", "part", F.lit(1), most).collect():
+        cells.setdefault((r.key, r.cell), []).append((r.part, r.doc_id))
+    met = {(a, b) for c in cells.values() for (p, a), (q, b) in combinations(sorted(c, key=lambda x: x[1]), 2) if p != q}
+    want = {(a, b) if a < b else (b, a) for (k, p, a), (h, q, b) in combinations(rows, 2) if k == h and p != q}
+    assert met == want
+    assert max(map(len, cells.values())) <= 4 * most + 20
 
 
 def test_candidates_connect():
