@@ -44,8 +44,9 @@ BANDS, SPARE = 16, 3
 NODE_MEMBERS, FAMILY_SHINGLES, FAN_OUT = 2048, 1 << 20, 16
 #: Words compared at a time.
 WORDS_AT_ONCE = 4
-#: Standard deviations beyond the expected distance that leave a pair out, for sets of LEAST_SIZE shingles or more.
-SURE_SDS, LEAST_SIZE = 6, 32
+#: Standard deviations beyond the expected distance that leave a pair out, for sets of LEAST_SIZE shingles or more: in smaller
+#: ones ties make distances scatter more, and parity bits tell them apart. Sets of FILED shingles or more are filed under patterns.
+SURE_SDS, LEAST_SIZE, FILED = 7, 256, 32
 #: Frequent shingles come last in the order: those of so many documents' sample, at most so many. Any order is exact.
 SAMPLE_DOCS, FREQUENT = 8192, 1 << 16
 #: Parity bits of a shingle set, and prefix shingles that are broadcast at most.
@@ -478,7 +479,7 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     repeats = materialize(made.select("doc_id", *same).join(repeated, same).where("doc_id <> dst").distinct())
     alike = repeats.select(F.col("doc_id").alias("src"), "dst")
     single = made.where("n > 0").join(_looked_up(repeats.drop("dst")), ["doc_id", *same], "left_anti")
-    found = materialize(pattern_links(single.where(F.col("n") >= LEAST_SIZE).select(F.col("doc_id").alias("node"), "fp"), similarity))
+    found = materialize(pattern_links(single.where(F.col("n") >= FILED).select(F.col("doc_id").alias("node"), "fp"), similarity))
     closest = materialize(found.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst")).where("src <> dst"))
     sure = materialize(alike.unionByName(alike_enough(docs, closest, shingle, similarity)))
     loose = found.select("src", "dst").unionByName(alike)
