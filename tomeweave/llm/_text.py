@@ -54,7 +54,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None
         if breaks is not None:
             starts |= breaks
     at = np.flatnonzero(starts)
-    before = np.cumsum(solid)
+    before = np.cumsum(solid, dtype=np.int32)  # a batch's text is below 2**31 bytes
     word_offsets = np.empty(len(at) + 1, np.int64)
     word_offsets[:-1] = before[at] - 1 if len(at) else 0
     word_offsets[-1] = before[-1] if len(before) else 0
@@ -71,17 +71,29 @@ def give_back() -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``max_bytes`` of text, a longer text alone."""
+    """The same rows in batches of up to ``max_bytes`` of text, a longer text alone; small batches are put together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         _, offsets = raw_bytes(batch.column(batch.schema.get_field_index(column)))
         begin = 0
         while begin < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[begin] + max_bytes, side="right")) - 1
             end = min(max(end, begin + 1), batch.num_rows)
-            yield batch.slice(begin, end - begin)
-            begin = end
+            n = int(offsets[end] - offsets[begin])
+            if held and size + n > max_bytes:
+                yield _together(held)
+                held, size = [], 0
+            held.append(batch.slice(begin, end - begin))
+            begin, size = end, size + n
+    if held:
+        yield _together(held)
     give_back()
 
 
+def _together(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

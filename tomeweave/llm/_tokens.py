@@ -8,14 +8,15 @@ of a batch is encoded once by the tokenizers library, many pieces to a call.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
-from tomeweave.llm._text import split_words
+from tomeweave.llm._text import give_back, split_words
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Pieces given to the tokenizer as one text.
-JOINED = 500
+#: Pieces given to the tokenizer as one text, and texts given to it at once: what it returns is many times as large.
+JOINED, AT_ONCE = 500, 16
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -44,6 +45,8 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        del vocabulary
+        give_back()  # reading the file takes several times what the vocabulary does
         self.max_words = max_words
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.uint32)
@@ -60,13 +63,18 @@ class WordEncoder:
     def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, sizes) of words that are one run of letters each: a word's last id is the one that ends a word."""
         joined = [b" ".join(words[i : i + JOINED]).decode("utf-8", "replace") for i in range(0, len(words), JOINED)]
-        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        found = [np.array(x, np.uint32) for x in self._ids(joined, AT_ONCE)]
         ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(words):
             return None
         return ids, np.diff(last, prepend=-1)
 
+    def _ids(self, texts: list[str], at_once: int) -> Iterator[list[int]]:
+        for at in range(0, len(texts), at_once):
+            for x in self.tokenizer.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False):
+                yield x.ids
+
     def _learn(self, missing: list[bytes]) -> None:
         plain = [w for w in missing if w.isalpha()]  # of bytes: ASCII letters only
         other = {w: w.decode("utf-8", "replace") for w in missing if not w.isalpha()}
@@ -76,10 +84,10 @@ class WordEncoder:
             plain, coded = [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         done = set(plain)
         rest = [w for w in missing if w not in done]
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([other.get(w) or w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)]
+        ids = [np.array(x, np.uint32) for x in self._ids([other.get(w) or w.decode("utf-8", "replace") for w in rest], AT_ONCE * 64)]
         self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(missing)), strict=True))
         sizes = np.concatenate((coded[1], np.fromiter(map(len, ids), np.int64, len(ids))))
-        more = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes[len(plain) :].sum()))
+        more = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         self.flat = np.concatenate((self.flat, coded[0], more))
         self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(sizes)))
 

@@ -31,7 +31,7 @@ from tomeweave.llm._tokens import WordEncoder
 #: Pieces of one length whose ranks are counted together: a frequent length is dealt to as many tasks as it needs.
 RANKED_TOGETHER = 1 << 16
 #: Bytes of text encoded at once; a task's memory follows it.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 def best_fit_plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:

@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Words are lower-cased in A-Z; a text with fewer than ``shingle`` words has one shingle of all its
     words, a text without words (null, empty) the fingerprint zero, linked like any other. Repeated rows
     stay repeated. component_id is the smallest doc_id of all documents that links reach (null ids are
-    passed over; null if there is no other). Extra columns of ``docs`` are not read.
+    passed over; null if there is no other). An empty table gives no rows, a text of any length counts whole. Extra columns of
+    ``docs`` are not read.
     """
     made = materialize(fingerprints(docs, shingle))
     known = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("low")))

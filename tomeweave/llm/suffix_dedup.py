@@ -557,8 +557,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     they are read), or before in the same one. Strings don't cross documents and are judged on the input.
     One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and text: what is left,
     broken characters replaced). Null text counts as empty, and texts shorter than WINDOW stay whole.
-    ``docs`` must give the same rows when read again, as a table or checkpoint does; its other columns are
-    not read. Blocks stay in the shared folder, as the result is read from them.
+    An empty table gives no rows, and a long text is a block of its own. ``docs`` must give the same rows when read again, as a
+    table or checkpoint does; its other columns are not read. Blocks stay in the shared folder, as the result is read from them.
     """
     root = work_dir(docs.sparkSession)
     rows = texts(docs)

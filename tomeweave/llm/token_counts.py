@@ -166,15 +166,19 @@ def token_counts(docs: DataFrame, path: str | None = None, kept_words: int = 200
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TrieCounter(shared.value)
-        known: dict[str, int] = {}
-        for batch in sliced(batches, "text", 12 << 20):
+        known: dict[bytes, int] = {}
+        for batch in sliced(batches, "text", 8 << 20):
             words = split_words(*raw_bytes(col(batch, "text")))
             coded = words.array().dictionary_encode()
-            distinct = [MARK + w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()]
+            distinct = coded.dictionary.to_pylist()
             if len(known) > kept_words:
                 known.clear()
-            new = sorted({w for w in distinct if w not in known})
-            known.update(zip(new, counter.counts(new), strict=True))
+            new: dict[str, list[bytes]] = {}
+            for w in distinct:
+                if w not in known:
+                    new.setdefault(MARK + w.decode("utf-8", "replace"), []).append(w)
+            ordered = sorted(new)
+            known.update((w, n) for text, n in zip(ordered, counter.counts(ordered), strict=True) for w in new[text])
             each = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
             total = np.concatenate(([0], np.cumsum(each[coded.indices.to_numpy()])))
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array(np.diff(words.docs)), pa.array(np.diff(total[words.docs]))], ["doc_id", "n_pretokens", "n_tokens"])

@@ -260,8 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
 def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on), from the whole text alone.
 
-    Null and empty texts have no hits and get the score of such texts. Columns named score and predicted
-    are replaced.
+    Null and empty texts have no hits and get the score of such texts. Repeated rows get equal scores, an empty table gives
+    no rows, a text of any length is read whole. Columns named score and predicted are replaced, all others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # words of a bounded sample
 
