@@ -272,9 +272,15 @@ def test_actions_and_wrapping(spark, tmp_path, monkeypatch):
     assert (tmp_path / "dup/a (2).zip").exists() and not (tmp_path / "b.zip").exists()
     sinks.recompress(str(tmp_path / "dup/a (2).zip"), str(tmp_path / "c.zip"))
     assert sinks.verify_zip(str(tmp_path / "c.zip"), [("p.txt", 1000, zipfile.ZIP_DEFLATED)]) == []
+    assert not sinks.is_stored(str(tmp_path / "c.zip")) and not sinks.is_stored(str(tmp_path / "none.zip"))
     monkeypatch.setattr(sinks.shutil, "which", lambda name: None)
     path, warning = sinks.wrap(str(tmp_path / "dup"), str(tmp_path / "out"))
-    assert path.endswith("out.zip") and warning
+    assert path.endswith("out.zip") and warning and sinks.is_stored(path)
+    (tmp_path / "vols/x v01/deep").mkdir(parents=True)
+    (tmp_path / "vols/none").mkdir()
+    (tmp_path / "vols/x v01/deep/a.txt").write_bytes(b"2" * 500)
+    assert sinks.zip_volumes(str(tmp_path / "vols"), str(tmp_path / "zips")) == [str(tmp_path / "zips/x v01.zip")]
+    assert sinks.verify_zip(str(tmp_path / "zips/x v01.zip"), [("deep/a.txt", 500, zipfile.ZIP_DEFLATED)]) == []
     assert sinks.replace_original(str(tmp_path / "c.zip"), path).endswith(".zip")
 
 

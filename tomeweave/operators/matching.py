@@ -121,6 +121,13 @@ def scorer(options: Options) -> Callable[[DataFrame, float], DataFrame]:
     return scored if options.sequence else cheap_scored
 
 
+def accepted_links(items: DataFrame, options: Options | None = None) -> DataFrame:
+    """What a group rests on: block, left_id, right_id, similarity, method of each accepted pair of classes, by their first items."""
+    o = options or Options()
+    pairs = class_pairs(classes(items, o.aliases).select("item_id", "block", "canon", "rep", "last"), o.review if o.accept_review else o.auto, scorer(o))
+    return pairs.select("block", F.col("rep_l").alias("left_id"), F.col("rep_r").alias("right_id"), F.col("score").alias("similarity"), "method")
+
+
 def group_items(items: DataFrame, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, reviews) of items whose series have been adopted.
 

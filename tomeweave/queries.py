@@ -287,6 +287,11 @@ def accepted_reviews(spark, sf_dir):
     return groups.select("item_id", "group_id", F.round("similarity", 6).alias("similarity"))
 
 
+def plain_links(spark, sf_dir):
+    links = matching.accepted_links(matching.adopt_scope_series(_items(spark, sf_dir)), _BUILT_IN)
+    return links.withColumn("similarity", F.round("similarity", 6))
+
+
 def plain_decisions(spark, sf_dir):
     return _plain_analysis(spark, sf_dir).decisions.withColumn("reason_item", F.coalesce("reason_item", F.lit(-1)))
 
@@ -417,7 +422,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         item_metrics, sampled_metrics, series_scores, similarity_full, scope_adoption, exact_groups, dup_groups, dup_groups_full,
         review_pairs, overflow_scopes, overflow_regroup, scope_outliers, job_outliers, thin_members, pairwise_quality, winners_all,
         winners_exact, hash_distance, majority_name, padded_volumes, unified_names, flatten_plan, loser_actions, collision_rename,
-        evidence_rows, job_summary, zip_verify, plain_reviews, accepted_reviews, plain_decisions, plain_overflow, plain_actions, plain_names, plain_flat,
+        evidence_rows, job_summary, zip_verify, plain_reviews, plain_links, accepted_reviews, plain_decisions, plain_overflow, plain_actions, plain_names, plain_flat,
         plain_evidence, plain_summary, canonical_series, title_forms, discovered_items, zip_listing, content_matches,
     )
 }
@@ -597,6 +602,7 @@ ORACLE_SQL: dict[str, str] = {
     "zip_verify": """SELECT concat(p_partkey, '.jpg') AS name, CASE WHEN p_partkey % 11 = 0 THEN 'missing' WHEN p_partkey % 17 = 0 THEN 'method' ELSE 'size' END AS problem
       FROM part WHERE p_partkey % 11 = 0 OR p_partkey % 17 = 0 OR p_partkey % 13 = 0""",
     "plain_reviews": f"WITH RECURSIVE {_ANALYSIS} SELECT left_id, right_id, round(similarity, 6) AS similarity, method FROM reviews",
+    "plain_links": f"WITH {_BLOCKED}, {_pair_scores('exact')} SELECT block, rep_l AS left_id, rep_r AS right_id, round(score, 6) AS similarity, method FROM pair_scores WHERE score >= 0.85",
     "accepted_reviews": f"WITH RECURSIVE {_BLOCKED}, {_grouped(0.65)} SELECT item_id, group_id, round(similarity, 6) AS similarity FROM grouped",
     **{name: f"WITH RECURSIVE {_ANALYSIS} SELECT {columns} FROM {table}" for name, (table, columns) in _PLAIN.items()},
     "plain_overflow": f"WITH RECURSIVE {_OVERFLOW}",

@@ -41,14 +41,23 @@ class ArchiveReader(DataSourceReader):
         if partition is None or not hasattr(partition, "path"):  # a folder without archives
             return
         try:
-            archive = Fallback(Path(partition.path).read_bytes(), _KINDS[Path(partition.path).suffix.lower()], self.backend)
+            kind = _KINDS[Path(partition.path).suffix.lower()]
+            archive = Fallback(Path(partition.path), kind, self.backend)
             entries = archive.entries()
-            data = dict(archive.read([e[0] for e in entries if not e[2]])) if self.content else {}
+            # others than ZIP are read in one pass, ZIP member by member, so that no more than one is held
+            held = dict(archive.read([e[0] for e in entries if not e[2]])) if self.content and kind != "zip" else {}
+            opened = archive.attempt(lambda backend: backend)
         except BackendError as e:
             yield partition.container, None, None, False, None, str(e)
             return
         for name, size, is_dir in entries:
-            yield partition.container, name, size, is_dir, data.get(name), None
+            data, error = held.get(name), None
+            if self.content and kind == "zip" and not is_dir:
+                try:
+                    ((_, data),) = opened.read([name])
+                except BackendError as e:
+                    error = str(e)
+            yield partition.container, name, size, is_dir, data, error
 
 
 class ArchiveDataSource(DataSource):

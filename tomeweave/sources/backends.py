@@ -40,9 +40,9 @@ def decoded_zip_name(name: str, is_utf8: bool) -> str:
 
 
 class ZipBackend:
-    def __init__(self, data: bytes, suffix: str = ""):
+    def __init__(self, data: bytes | Path, suffix: str = ""):
         try:
-            self.zip = zipfile.ZipFile(io.BytesIO(data))
+            self.zip = zipfile.ZipFile(data if isinstance(data, Path) else io.BytesIO(data))
         except (zipfile.BadZipFile, OSError) as e:
             raise BackendError(f"zipfile: {e}") from e
         self.infos = {decoded_zip_name(i.filename, bool(i.flag_bits & 0x800)): i for i in self.zip.infolist()}
@@ -59,10 +59,10 @@ class ZipBackend:
 
 
 class LibarchiveBackend:
-    def __init__(self, data: bytes, suffix: str = ""):
+    def __init__(self, data: bytes | Path, suffix: str = ""):
         import libarchive
 
-        self.open = lambda: libarchive.memory_reader(data)
+        self.open = lambda: libarchive.file_reader(str(data)) if isinstance(data, Path) else libarchive.memory_reader(data)
 
     def entries(self):
         with self.open() as a:
@@ -80,12 +80,13 @@ class LibarchiveBackend:
 
 
 class _InFile:
-    """A backend whose program or module needs a file; the task's own temporary one."""
+    """A backend whose program or module needs a file: the archive's own, or the task's temporary one."""
 
-    def __init__(self, data: bytes, suffix: str):
+    def __init__(self, data: bytes | Path, suffix: str):
         self.folder = tempfile.TemporaryDirectory()
-        self.path = Path(self.folder.name, "archive" + suffix)
-        self.path.write_bytes(data)
+        self.path = data if isinstance(data, Path) else Path(self.folder.name, "archive" + suffix)
+        if not isinstance(data, Path):
+            self.path.write_bytes(data)
 
     def run(self, *command: str) -> bytes:
         command = (program(command[0]) or command[0], *command[1:])
@@ -128,10 +129,10 @@ class RarfileBackend(_InFile):
 
 
 class Py7zrBackend:
-    def __init__(self, data: bytes, suffix: str = ""):
+    def __init__(self, data: bytes | Path, suffix: str = ""):
         import py7zr
 
-        self.open = lambda: py7zr.SevenZipFile(io.BytesIO(data))
+        self.open = lambda: py7zr.SevenZipFile(data if isinstance(data, Path) else io.BytesIO(data))
 
     def entries(self):
         with self.open() as a:
@@ -212,9 +213,12 @@ def available(name: str) -> bool:
 
 
 class Fallback:
-    """The first backend that works; on an error the next one takes over with the same request."""
+    """The first backend that works; on an error the next one takes over with the same request.
 
-    def __init__(self, data: bytes, kind: str, backend: str = "auto"):
+    ``data`` is the archive's bytes, or the path of a file that the task sees, which is then read from place to place and not as a whole.
+    """
+
+    def __init__(self, data: bytes | Path, kind: str, backend: str = "auto"):
         if backend != "auto" and backend not in BACKENDS:
             raise ValueError(f"unknown backend {backend}")
         names = ORDER.get(kind, ()) if backend == "auto" or kind == "zip" else (backend,)
