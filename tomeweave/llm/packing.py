@@ -122,11 +122,12 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
     spark = docs.sparkSession
     pieces = materialize(cut_pieces(docs, capacity, end_id, tokenizer, with_ids))
     counts = np.zeros(capacity + 1, np.int64)
-    for length, n in pieces.groupBy("length").count().collect():  # at most capacity rows
+    by_length = pieces.groupBy("length").count()  # at most capacity rows
+    for length, n in by_length.collect():
         counts[length] = n
     salts = np.maximum(1, -(-counts // RANKED_TOGETHER))
     begins = np.concatenate(([0], np.cumsum(salts)))  # of a length's parts
-    many = spark.createDataFrame([(length, int(n)) for length, n in enumerate(salts.tolist()) if n > 1], "length bigint, salts bigint")
+    many = by_length.where(F.col("count") > RANKED_TOGETHER).select("length", F.ceil(F.col("count") / RANKED_TOGETHER).alias("salts"))
     salted = pieces.join(F.broadcast(many), "length", "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1)))).drop("salts")
     counted = np.zeros(begins[-1], np.int64)
     for length, salt, n in salted.groupBy("length", "salt").count().collect():
