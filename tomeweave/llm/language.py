@@ -32,7 +32,7 @@ LANDMARKS, FIT_ROWS, RIDGE = 60, 800, 1e-4
 #: Steepness of the softmax that turns scores into shares.
 STEEP = 6.0
 #: Texts whose presence stands in memory at once.
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 128
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
