@@ -51,6 +51,7 @@ def test_pack_odd_rows(odd, none, reference, capacity):
 @pytest.mark.parametrize("together", [1 << 16, 1])
 def test_pack_table(table, reference, monkeypatch, together):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", together)
+    monkeypatch.setattr(packing, "FEWEST", min(256, together + 1))
     rows = [(r.doc_id, r.text) for r in table.collect()]
     out = packing.pack(table, with_ids=True).collect()
     used = check_packing(rows, out, reference, 4096)

@@ -9,7 +9,7 @@ gap opens new sequences. This is best-fit decreasing.
 
 Lengths and gaps lie in 1..capacity whatever the size of the corpus, so the sweep works on runs of
 sequences with equal gap and on counts of pieces by length. Only those counts reach the driver
-(at most a number for each length, and one for each RANKED_TOGETHER pieces). The pieces themselves get their ranks and places on the executors.
+(at most PARTS numbers for each length, and one for each RANKED_TOGETHER pieces). The pieces themselves get their ranks and places on the executors.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from tomeweave.llm._session import materialize, texts
 from tomeweave.llm._text import col, raw_bytes, sliced
 from tomeweave.llm._tokens import WordEncoder
 
-#: Pieces of one length whose ranks are counted together: a frequent length is dealt to as many tasks as it needs.
-RANKED_TOGETHER = 1 << 16
+#: Ranks of a length are counted in parts: of so many pieces at most, so that a frequent length is dealt to as many tasks as it
+#: needs, and of FEWEST at least while there are no more than PARTS.
+RANKED_TOGETHER, FEWEST, PARTS = 1 << 16, 256, 32
 #: Bytes of text encoded at once; a task's memory follows it.
 SLICE_BYTES = 2 << 20
 
@@ -125,9 +126,10 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
     by_length = pieces.groupBy("length").count()  # at most capacity rows
     for length, n in by_length.collect():
         counts[length] = n
-    salts = np.maximum(1, -(-counts // RANKED_TOGETHER))
+    salts = np.maximum(np.maximum(1, -(-counts // RANKED_TOGETHER)), np.minimum(PARTS, -(-counts // FEWEST)))
     begins = np.concatenate(([0], np.cumsum(salts)))  # of a length's parts
-    many = by_length.where(F.col("count") > RANKED_TOGETHER).select("length", F.ceil(F.col("count") / RANKED_TOGETHER).alias("salts"))
+    salt_of = F.greatest(F.ceil(F.col("count") / RANKED_TOGETHER), F.least(F.lit(PARTS), F.ceil(F.col("count") / FEWEST)))
+    many = by_length.select("length", salt_of.alias("salts")).where("salts > 1")
     salted = pieces.join(F.broadcast(many), "length", "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1)))).drop("salts")
     counted = np.zeros(begins[-1], np.int64)
     for length, salt, n in salted.groupBy("length", "salt").count().collect():
