@@ -257,3 +257,21 @@ def test_many_surroundings_in_bounded_memory():
 
 def test_long_text_is_there():
     assert len(LONG) > 300_000
+
+
+def test_strings_that_cannot_repeat_are_not_sorted(monkeypatch):
+    import pyarrow as pa
+
+    draw, anchor, width = random.Random(7), b"the anchor's 20 byte", suffix_dedup.REACH + suffix_dedup.WINDOW
+    rows = [bytes(draw.randbytes(suffix_dedup.REACH)) + anchor + bytes(draw.randbytes(width - suffix_dedup.REACH - 20)) for _ in range(40)]
+    at = 33  # two rows share the 100 bytes that begin 33 before the anchor, and so one string
+    begin = suffix_dedup.REACH - at
+    rows.append(draw.randbytes(begin) + rows[0][begin : begin + 100] + draw.randbytes(width - begin - 100))
+    n, sorted_ = len(rows), []
+    real = suffix_dedup.equal_suffixes
+    monkeypatch.setattr(suffix_dedup, "equal_suffixes", lambda flat, places, group: sorted_.append(len(places)) or real(flat, places, group))
+    names = ["key", "block", "doc", "a", "b", "doc_id", "bytes", "lo", "hi"]
+    columns = [[5] * n, [0] * n, list(range(n)), [500] * n, [100] * n, list(range(n)), rows, [0] * n, [suffix_dedup.REACH] * n]
+    out = suffix_dedup._repeats([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)]).to_pylist()
+    assert [(r["doc"], r["a"], r["b"]) for r in out] == [(n - 1, 500 - at, 500 - at + 100)]
+    assert sum(sorted_) <= 2 * suffix_dedup.NEAR < 81 * n  # distances of the two rows' range, not all of all rows

@@ -39,6 +39,8 @@ REACH = WINDOW - GRAM
 BLOCK_BYTES = 4 << 20
 #: Suffixes sorted at once, and surroundings of one anchor that are sorted together.
 SORTED_AT_ONCE, MOST_ROWS = 1 << 20, 1 << 13
+#: Neighbouring distances whose strings are ruled out together before sorting.
+NEAR = 20
 
 _ANCHOR, _COVER, _BLOCK, _FETCH, _SPREAD, _MARK = range(1, 7)
 _FIELDS = [("kind", pa.int8()), ("key", pa.int64()), ("ctx", pa.int64()), ("more", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("doc_id", pa.int64())]
@@ -246,6 +248,8 @@ def _fetch(root: str):
 
 def _symbols(flat: np.ndarray, at: np.ndarray, n: int = 8) -> np.ndarray:
     """The n bytes at each place as one number in their order."""
+    if n == 8 and len(flat) >= 8:
+        return np.ndarray(len(flat) - 7, ">u8", flat, strides=(1,))[at].astype(np.uint64)
     x = np.zeros(len(at), np.uint64)
     for i in range(n):
         x = (x << np.uint64(8)) | flat[at + i]
@@ -429,6 +433,29 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _may_repeat(flat: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each row and distance low <= r <= high whether its string can be another row's of that key.
+
+    All strings of NEAR neighbouring distances hold the same WINDOW - NEAR bytes and more. Where no other row of the key has
+    those, told by a hash, none of them repeats.
+    """
+    around = flat.reshape(len(key), REACH + WINDOW)
+    may = np.zeros((REACH + 1, len(key)), bool)
+    for lo in range(0, REACH + 1, NEAR):
+        hi = min(lo + NEAR - 1, REACH)
+        some = np.flatnonzero(np.maximum(low, lo) <= np.minimum(high, hi))
+        x = around[some, REACH - lo : REACH - lo + (WINDOW - NEAR) // 8 * 8].copy().view(np.uint64)
+        x *= np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        h = x.sum(axis=1, dtype=np.uint64) ^ (key[some].view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+        order = np.argsort(h)
+        alike = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        may[lo : hi + 1, some[order[np.concatenate((alike, alike + 1))]]] = True
+    r = np.arange(REACH + 1)[:, None]
+    return may & (low <= r) & (r <= high)
+
+
 def _repeats(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     key, block, doc, a, b, doc_id, lo, hi = (col(t, c).to_numpy().astype(np.int64) for c in ("key", "block", "doc", "a", "b", "doc_id", "lo", "hi"))
@@ -439,11 +466,10 @@ def _repeats(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     rank[np.lexsort((a, doc, block, doc_id))] = np.arange(n)
     # suffixes start ``r`` before the anchor: lo <= r <= back, WINDOW - r <= forth
     low, high = np.maximum(lo, WINDOW - b), np.minimum(hi, a)
-    found = np.zeros((n, REACH + 1), bool)
+    found, may = np.zeros((n, REACH + 1), bool), _may_repeat(flat, key, low, high)
     step = max(1, SORTED_AT_ONCE // n)
     for begin in range(0, REACH + 1, step):
-        r = np.arange(begin, min(begin + step, REACH + 1))
-        r, row = np.nonzero((low <= r[:, None]) & (r[:, None] <= high))
+        r, row = np.nonzero(may[begin : begin + step])
         r += begin
         live, group = equal_suffixes(flat, row * width + REACH - r, r * n + anchor[row])
         if len(live):  # all but the earliest of each class; one place can stand in several rows
