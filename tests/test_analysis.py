@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -179,3 +180,11 @@ def test_options():
     for bad in ({"sample": 0}, {"margin": 1.0}, {"review": 0.9}, {"language": "xx"}, {"rar_level": 9}):
         with pytest.raises(ValueError):
             Options(**bad).checked()
+
+
+def test_intermediate_tables_have_neither_checksum_files_nor_marks(spark):
+    df = storage.materialize(spark.range(10, numPartitions=2))
+    (folder,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    names = os.listdir(folder.removeprefix("file://"))
+    assert len(names) == 2 and all(n.startswith("part-") for n in names)  # each file more is a process more of its JVM
+    assert sorted(r.id for r in df.collect()) == list(range(10))

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _MADE: list[str] = []
+#: Without its native library Hadoop starts a chmod for every local file, also for those of checksums and marks. Until such a
+#: process runs its program, it has the memory of its JVM, and what adds up processes counts that twice.
+_FEW_PROCESSES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -65,5 +68,5 @@ def remove_work() -> int:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     path = work_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**_FEW_PROCESSES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
