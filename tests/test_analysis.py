@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tomeweave.operators import matching, measure, outliers, overflow, winners
 from tomeweave.operators import cluster
 from tomeweave.operators.cluster import connected_components
-from tomeweave.plans import storage
+from tomeweave.plans import actions, storage
 from tomeweave.plans.engine import analyze, titled
 from tomeweave.plans.options import Options
 from tomeweave.sources.catalogue import load_aliases
@@ -188,3 +188,20 @@ def test_intermediate_tables_have_neither_checksum_files_nor_marks(spark):
     names = os.listdir(folder.removeprefix("file://"))
     assert len(names) == 2 and all(n.startswith("part-") for n in names)  # each file more is a process more of its JVM
     assert sorted(r.id for r in df.collect()) == list(range(10))
+
+
+@pytest.mark.parametrize("approved", [frozenset(), frozenset({("b/Night Tide v1.zip", "c/Knight Ride v1.zip")})])
+def test_review_ends_without_pairs_of_items(spark, approved):
+    names = [f"{d}/{n} v{v}.zip" for d in "abc" for n in ("Night Tide", "Knight Ride", "Knight Tidal", "Day") for v in (1, 2)] + ["a/第1巻.zip", "b/第1巻.zip"]
+    options = Options(approved=approved, retry_overflow=False)
+    items = matching.adopt_scope_series(make(spark, [(n, {}) for n in names]))
+    _, reviews, gray = matching.grouped_with_gray(items, options)
+    shown = actions.shown(items)
+    want = sorted(map(tuple, actions.ends_of(reviews, shown).select("item_id", "path", "pages", "similarity", "method", "other").collect()))
+    got = matching.review_ends(gray, items, shown, options)
+    assert sorted(map(tuple, got.select("item_id", "path", "pages", "similarity", "method", "other").collect())) == want
+    assert len(want) > 20 and any(r[4] == "one_sided" for r in want)
+    result = analyze(make(spark, names), options)
+    assert result.evidence.where("`group` = 'review'").count() == len(want)
+    plan = result.evidence._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row of a pair is taken apart and joined to its items again

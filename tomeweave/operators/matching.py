@@ -135,6 +135,12 @@ def group_items(items: DataFrame, options: Options | None = None) -> tuple[DataF
     pos. reviews: left_id, right_id, similarity, method for every pair of items in the gray zone that is not
     approved. Items without volume are in neither.
     """
+    groups, reviews, _ = grouped_with_gray(items, options)
+    return groups, reviews
+
+
+def grouped_with_gray(items: DataFrame, options: Options | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """group_items, and the pairs of classes in the gray zone that reviews are made from: rep_l, rep_r, score, method."""
     o = options or Options()
     classed = classes(items, o.aliases).select("item_id", "rel_path", "block", "canon", "rep", "last", "n")
     pairs = materialize(class_pairs(classed, o.review, scorer(o)))  # read several times below; scoring is the costly part
@@ -163,4 +169,24 @@ def group_items(items: DataFrame, options: Options | None = None) -> tuple[DataF
         .join(least, "component", "left")
         .select("item_id", "block", F.col("component").alias("group_id"), F.concat("block", F.lit("#"), "component").alias("group_key"), F.coalesce("least", F.lit(1.0)).alias("similarity"), F.col("item_id").alias("pos"))
     )
-    return groups, reviews
+    return groups, reviews, gray.select("rep_l", "rep_r", "score", "method")
+
+
+def review_ends(gray: DataFrame, items: DataFrame, shown: DataFrame, options: Options | None = None) -> DataFrame:
+    """Both ends of every review: the columns of ``shown`` (of an item_id), similarity as written, method, other.
+
+    The rows that reviews would give, but each item meets the classes it is alike to before their members, so
+    nothing is shuffled that grows with the pairs of items.
+    """
+    o = options or Options()
+    members = classes(items, o.aliases).select("item_id", "rep", *["rel_path"] * bool(o.approved))
+    gray = gray.withColumn("similarity", C.fixed(F.col("score"), 2)).drop("score")
+    ways = gray.select(F.col("rep_l").alias("rep"), F.col("rep_r").alias("rep_o"), "similarity", "method", F.lit(True).alias("ahead")).unionByName(
+        gray.select(F.col("rep_r").alias("rep"), F.col("rep_l").alias("rep_o"), "similarity", "method", F.lit(False).alias("ahead"))
+    )
+    others = members.select(F.col("rep").alias("rep_o"), F.col("item_id").alias("other"), *(F.col(c).alias("path_o") for c in members.columns[2:]))
+    ends = members.join(shown, "item_id").join(ways, "rep").join(others, "rep_o").where(F.col("ahead") == (F.col("item_id") < F.col("other")))
+    if o.approved:
+        keys = F.array(*(F.lit("\x00".join(sorted(p))) for p in o.approved))
+        ends = ends.where(~F.array_contains(keys, F.array_join(F.array_sort(F.array("rel_path", "path_o")), "\x00")))
+    return ends.select(*shown.columns, "similarity", "method", "other")

@@ -65,21 +65,30 @@ def flatten_plan(items: DataFrame, alive: DataFrame, names: DataFrame, decisions
     return collision_free(rows, "folder", "name", "item_id").select("item_id", "route", "destination")
 
 
-def evidence(groups: DataFrame, decisions: DataFrame, reviews: DataFrame, items: DataFrame, actions: DataFrame) -> DataFrame:
-    """Rows of the evidence table: members of duplicate groups, and both ends of each pair to review."""
-    shown = [
-        F.col("rel_path").alias("path"), "kind", F.col("page_count").alias("pages"), F.rint(F.coalesce("median_pixels", F.lit(0.0))).cast("bigint").cast("string").alias("median_pixels"),
+def shown(items: DataFrame) -> DataFrame:
+    """item_id and what the evidence table shows of an item."""
+    return items.select(
+        "item_id", F.col("rel_path").alias("path"), "kind", F.col("page_count").alias("pages"), F.rint(F.coalesce("median_pixels", F.lit(0.0))).cast("bigint").cast("string").alias("median_pixels"),
         C.fixed(F.coalesce("median_bpp", F.lit(0.0)), 4).alias("bytes_per_pixel"), "total_bytes",
-    ]
-    base = decisions.join(groups.select("item_id", "similarity"), "item_id").join(items, "item_id").join(actions.select("item_id", "result"), "item_id", "left")
+    )
+
+
+def ends_of(reviews: DataFrame, shown: DataFrame) -> DataFrame:
+    """Both ends of each review: the columns of ``shown``, similarity as written, method, other."""
+    ends = reviews.select(F.explode(F.array(*(F.struct(F.col(a).alias("item_id"), F.col(b).alias("other")) for a, b in (("left_id", "right_id"), ("right_id", "left_id"))))).alias("e"), "similarity", "method")
+    return ends.select("e.*", C.fixed(F.col("similarity"), 2).alias("similarity"), "method").join(shown, "item_id")
+
+
+def evidence(groups: DataFrame, decisions: DataFrame, ends: DataFrame, shown: DataFrame, actions: DataFrame) -> DataFrame:
+    """Rows of the evidence table: members of duplicate groups, and both ends of each pair to review."""
+    own = [c for c in shown.columns if c != "item_id"]
+    base = decisions.join(groups.select("item_id", "similarity"), "item_id").join(shown, "item_id").join(actions.select("item_id", "result"), "item_id", "left")
     role = F.when(F.col("role") == "undecided", "pending").otherwise(F.col("role"))
     members = base.select(
-        F.col("group_key").alias("group"), role.alias("role"), *shown, C.fixed(F.col("similarity"), 2).alias("similarity"), F.col("reason_code").alias("reason"), F.coalesce("result", F.lit("keep")).alias("result")
+        F.col("group_key").alias("group"), role.alias("role"), *own, C.fixed(F.col("similarity"), 2).alias("similarity"), F.col("reason_code").alias("reason"), F.coalesce("result", F.lit("keep")).alias("result")
     )
-    ends = reviews.select(F.explode(F.array(*(F.struct(F.col(a).alias("item_id"), F.col(b).alias("other")) for a, b in (("left_id", "right_id"), ("right_id", "left_id"))))).alias("e"), "similarity", "method")
-    ends = ends.select("e.*", "similarity", "method").join(items, "item_id")
     gray = ends.select(
-        F.lit("review").alias("group"), F.lit("pending").alias("role"), *shown, C.fixed(F.col("similarity"), 2).alias("similarity"), F.concat("method", F.lit(":"), "other").alias("reason"), F.lit("skipped").alias("result")
+        F.lit("review").alias("group"), F.lit("pending").alias("role"), *own, "similarity", F.concat("method", F.lit(":"), "other").alias("reason"), F.lit("skipped").alias("result")
     )
     return members.unionByName(gray)
 

@@ -31,11 +31,12 @@ class Result:
         return materialize(matching.adopt_scope_series(self._items, self.options.aliases))
 
     @cached_property
-    def _grouped(self) -> tuple[DataFrame, DataFrame]:
-        groups, reviews = matching.group_items(self.items, self.options)
-        if self.options.retry_overflow:
+    def _grouped(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        groups, reviews, gray = matching.grouped_with_gray(self.items, self.options)
+        if self.options.retry_overflow:  # that drops single reviews, so the pairs of classes don't tell them any more
             groups, reviews = overflow.retry_overflow(materialize(groups), reviews, self.items, self.options)
-        return materialize(groups), reviews
+            gray = None
+        return materialize(groups), reviews, gray
 
     @property
     def groups(self) -> DataFrame:
@@ -75,7 +76,9 @@ class Result:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return actions.evidence(self.groups, self.decisions, self.reviews, self.items, self.actions)
+        gray, shown = self._grouped[2], actions.shown(self.items)
+        ends = actions.ends_of(self.reviews, shown) if gray is None else matching.review_ends(gray, self.items, shown, self.options)
+        return actions.evidence(self.groups, self.decisions, ends, shown, self.actions)
 
     @cached_property
     def summary(self) -> DataFrame:
